@@ -8,7 +8,7 @@ from tallywright.operators.assemble import PAGE_MARK
 from tallywright.operators.documents import EXTRACTORS, NO_INSIGHTS, UNKNOWN_TYPE
 from tallywright.plans import reports
 
-_SPACE = text.SPACE
+_SPACE = "".join(rf"\x{{{ord(c):x}}}" for c in text.WHITE_SPACE)
 
 
 def _quote(value: str) -> str:

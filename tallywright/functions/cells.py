@@ -9,12 +9,12 @@ from pyspark.sql import types as T
 # --- fixed values -----------------------------------------------------------
 # Lexical classes of a text cell, tested in this order; anything else is text.
 CELL_PATTERNS = {
-    "integer": r"^[+-]?[0-9]+$",
-    "floating": r"^[+-]?[0-9]*\.[0-9]+([eE][+-]?[0-9]+)?$",
-    "boolean": r"^(?i:true|false)$",
+    "integer": r"\A[+-]?[0-9]+\z",
+    "floating": r"\A[+-]?[0-9]*\.[0-9]+([eE][+-]?[0-9]+)?\z",
+    "boolean": r"\A(?i:true|false)\z",
     "datetime": (
-        r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-        r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$"
+        r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}"
+        r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?\z"
     ),
 }
 CELL_CLASSES = ("integer", "floating", "boolean", "datetime", "string")
@@ -79,28 +79,50 @@ def declared_kind(data_type: T.DataType) -> str | None:
     return "mixed"
 
 
-def cell_class(text: Column) -> Column:
-    """Lexical class of a text cell, NULL for a missing one.
+def _by_class(text: Column, results: dict[str, Column]) -> Column:
+    """The result for a text cell's lexical class, NULL for a missing cell.
 
     Patterns, not casts: a cast also accepts '1d', ' 12 ', 'NaN' as numbers.
+    A look at single characters leaves one pattern to try for most cells.
     """
-    chain = F.when(text.isNull(), F.lit(None).cast("string"))
-    for kind, pattern in CELL_PATTERNS.items():
-        chain = chain.when(text.rlike(pattern), F.lit(kind))
-    return chain.otherwise(F.lit("string"))
-
-
-def kind_of_classes(has: dict[str, Column]) -> Column:
-    """Kind of a text column from which cell classes occur in it."""
-    distinct = sum((c.cast("int") for c in has.values()), F.lit(0))
-    kind = F.when(distinct == 0, F.lit("empty"))
-    for cls, seen in has.items():
-        kind = kind.when((distinct == 1) & seen, F.lit(cls))
+    first = F.ascii(text)
+    numeral = first.between(ord("0"), ord("9")) | first.isin(*map(ord, "+-."))
+    letter = first.isin(*map(ord, "tTfF"))
+
+    def tried(*kinds: str) -> Column:
+        chain = F
+        for kind in kinds:
+            chain = chain.when(text.rlike(CELL_PATTERNS[kind]), results[kind])
+        return chain.otherwise(results["string"])
+
+    return (
+        F.when(numeral & (F.substring(text, 5, 1) == "-"), tried("datetime", "floating"))
+        .when(numeral & F.contains(text, F.lit(".")), tried("floating"))
+        .when(numeral, tried("integer"))
+        .when(letter, tried("boolean"))
+        .when(text.isNotNull(), results["string"])
+    )
+
+
+def cell_class(text: Column) -> Column:
+    """Name of a text cell's lexical class, NULL for a missing cell."""
+    return _by_class(text, {cls: F.lit(cls) for cls in CELL_CLASSES})
+
+
+def cell_class_bit(text: Column) -> Column:
+    """One bit per lexical class, so that a column's classes can be or-ed."""
+    return _by_class(text, {c: F.lit(1 << i) for i, c in enumerate(CELL_CLASSES)})
+
+
+def kind_of_classes(bits: Column) -> Column:
+    """Kind of a text column from the or-ed bits of its cells' classes."""
+    place = {cls: 1 << i for i, cls in enumerate(CELL_CLASSES)}
+    kind = F.when(bits.isNull(), F.lit("empty"))
+    for cls, bit in place.items():
+        kind = kind.when(bits == bit, F.lit(cls))
+    numbers = place["integer"] | place["floating"]
     return (
-        kind.when(
-            (distinct == 2) & has["integer"] & has["floating"],
-            F.lit("mixed-integer-float"),
-        )
-        .when(has["integer"], F.lit("mixed-integer"))
+        kind.when(bits == numbers, F.lit("mixed-integer-float"))
+        .when(bits.bitwiseAND(place["integer"]) != 0, F.lit("mixed-integer"))
         .otherwise(F.lit("mixed"))
     )

@@ -10,13 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-# Characters Python's str.split() and str.strip() treat as white space, as the
-# inside of a character class (valid for Java regexes and for RE2 alike).
-SPACE = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Characters Python's str.split() and str.strip() treat as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 FENCE = "```"
+FENCE_TAG = "python"
 PREVIEW_CHARS = 1000
 INPUT_CHARS = 4000
 INSIGHT_CHARS = 1000
@@ -70,15 +71,22 @@ def fill(template: str, **fields: Column) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Drop white space at both ends (Spark's own trim drops only blanks)."""
-    return F.regexp_replace(_col(text), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column | str) -> Column:
-    return ~F.regexp_like(_col(text), F.lit(rf"[^{SPACE}]"))
+    return strip(text) == ""
+
+
+# Both classes name the printable ASCII characters first: the engine then settles
+# the usual character with one comparison.
+_SPACE_CLASS = "".join(rf"\x{{{ord(c):x}}}" for c in WHITE_SPACE)
+_WORD = rf"[[!-~][^{_SPACE_CLASS}]]++"
+_GAP = rf"[[^!-~]&&[{_SPACE_CLASS}]]++"
 
 
 def word_count(text: Column | str) -> Column:
-    return F.regexp_count(_col(text), F.lit(rf"[^{SPACE}]+"))
+    return F.regexp_count(_col(text), F.lit(_WORD))
 
 
 def char_count(text: Column | str) -> Column:
@@ -87,8 +95,10 @@ def char_count(text: Column | str) -> Column:
 
 def lead_words(text: Column | str, count: Column | int) -> Column:
     """The first ``count`` words, joined by single blanks."""
-    words = F.regexp_extract_all(_col(text), F.lit(rf"([^{SPACE}]+)"), F.lit(1))
     size = count if isinstance(count, Column) else F.lit(count)
+    # leading white space takes up one piece; the text behind stays uncut
+    pieces = F.split(_col(text), F.lit(_GAP), size + 2)
+    words = F.filter(pieces, lambda piece: piece != "")
     return F.array_join(F.slice(words, F.lit(1), size), " ")
 
 
@@ -127,10 +137,12 @@ def clean_response(response: Column | str) -> Column:
     """Strip a model response and unwrap its first fenced block, if it has one."""
     response = strip(response)
     fenced = F.split_part(response, F.lit(FENCE), F.lit(2))
-    untagged = F.regexp_replace(fenced, rf"\A[{SPACE}]*python", "")
-    return F.when(F.contains(response, F.lit(FENCE)), strip(untagged)).otherwise(
-        response
-    )
+    bare = strip(fenced)
+    untagged = F.when(
+        F.startswith(bare, F.lit(FENCE_TAG)),
+        strip(F.substring(bare, F.lit(len(FENCE_TAG) + 1), F.length(bare))),
+    ).otherwise(bare)
+    return F.when(F.contains(response, F.lit(FENCE)), untagged).otherwise(response)
 
 
 def chunks(

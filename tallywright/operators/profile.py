@@ -23,14 +23,19 @@ def _column_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _numeric_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]):
-    """Long table (keys, column_name, value) of the numeric cells as doubles."""
+    """Long table (keys, position, value) of the numeric cells as doubles.
+
+    Positions rather than names, since grouping by a number is cheaper.
+    """
     clean = df.select(
         *[cells.name(k).alias(f"key{i}") for i, k in enumerate(keys)],
-        *[cells.present(df, c).cast("double").alias(c) for c in columns],
+        *[cells.present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)],
+    )
+    entries = ", ".join(f"{i}, v{i}" for i in range(len(columns)))
+    return clean.selectExpr(
+        *[f"key{i}" for i in range(len(keys))],
+        f"stack({len(columns)}, {entries}) AS (position, value)",
     )
-    ids = [F.col(f"key{i}") for i in range(len(keys))]
-    values = [cells.name(c) for c in columns]
-    return clean.unpivot(ids, values, "column_name", "value")
 
 
 def _missing_counts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
@@ -115,8 +120,8 @@ def missing_by_column(df: DataFrame, only_missing: bool = False) -> DataFrame:
 def infer_types(df: DataFrame) -> DataFrame:
     """Kind of every column: from the schema, or from the cells of text columns.
 
-    All text columns are read in one pass with one counter per cell class; a
-    table without text columns is not read at all.
+    All text columns are read in one pass that keeps, per column, which classes
+    of cells occur; a table without text columns is not read at all.
     """
     text = cells.categorical_columns(df)
     names = _column_table(df, df.columns)
@@ -129,25 +134,19 @@ def infer_types(df: DataFrame) -> DataFrame:
             ).otherwise(declared)
     if not text:
         return names.select("position", "column_name", declared.alias("inferred_type"))
-    classes = df.select(
-        *[cells.cell_class(cells.name(c)).alias(f"c{i}") for i, c in enumerate(text)]
-    )
-    counts = classes.agg(
+    found = df.agg(
         *[
-            F.count_if(F.col(f"c{i}") == cls).alias(f"{cls}{i}")
-            for i in range(len(text))
-            for cls in cells.CELL_CLASSES
+            F.bit_or(cells.cell_class_bit(cells.name(c))).alias(f"classes{i}")
+            for i, c in enumerate(text)
         ]
     )
-    read = counts.select(
+    read = found.select(
         F.explode(
             F.array(
                 *[
                     F.struct(
                         F.lit(c).alias("text_column"),
-                        cells.kind_of_classes(
-                            {k: F.col(f"{k}{i}") > 0 for k in cells.CELL_CLASSES}
-                        ).alias("kind"),
+                        cells.kind_of_classes(F.col(f"classes{i}")).alias("kind"),
                     )
                     for i, c in enumerate(text)
                 ]
@@ -266,7 +265,7 @@ def _statistics(
 ) -> DataFrame:
     long = _numeric_cells(df, keys, columns)
     key_names = [f"key{i}" for i in range(len(keys))]
-    group = [*key_names, "column_name"]
+    group = [*key_names, "position"]
     if approx:
         return ranks.approximate_quantiles(long, group, probabilities)
     # without keys the groups are the schema's columns, always few
@@ -290,13 +289,11 @@ def profile_by_group(
     if columns is None:
         columns = [c for c in cells.numeric_columns(df) if c not in by]
     stats = _statistics(df, by, columns, (0.5,), approx, max_groups)
-    position = F.array_position(
-        F.array(*[F.lit(c) for c in columns]), F.col("column_name")
-    )
+    names = F.array(*[F.lit(c) for c in columns])
     return stats.select(
         *[F.col(f"key{i}").alias(k) for i, k in enumerate(by)],
-        (position - 1).cast("int").alias("position"),
-        "column_name",
+        "position",
+        F.get(names, F.col("position")).alias("column_name"),
         "n",
         _zero_if_all_missing("mean"),
         _zero_if_all_missing("q0").alias("median"),
@@ -331,7 +328,7 @@ def _with_defaults(names: DataFrame, stats: DataFrame | None) -> DataFrame:
             *[F.lit(0.0).alias(m) for m in measures],
         )
     else:
-        joined = names.join(F.broadcast(stats), "column_name", "left").withColumn(
+        joined = names.join(F.broadcast(stats), "position", "left").withColumn(
             "n", F.coalesce("n", F.lit(0).cast("bigint"))
         )
     return joined.select(
@@ -352,7 +349,7 @@ def summary_statistics(
     columns = cells.numeric_columns(df) if columns is None else list(columns)
     names = _column_table(df, columns)
     stats = _statistics(df, (), columns, QUARTILES, approx, FEW_GROUPS)
-    return names.join(F.broadcast(stats), "column_name", "left").select(
+    return names.join(F.broadcast(stats), "position", "left").select(
         "position",
         "column_name",
         F.coalesce("n", F.lit(0).cast("bigint")).alias("count"),
