@@ -231,17 +231,17 @@ def schema_description(
     )
     counted = df.agg(F.count(F.lit(1)).alias("row_count"))
     types = [f.dataType.simpleString() for f in df.schema]
-    # two one-row tables side by side
-    return (
-        counted.withColumn("one", F.lit(1))
-        .join(F.broadcast(sample.withColumn("one", F.lit(1))), "one")
-        .select(
-            "row_count",
-            F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-            F.array(*[F.lit(c) for c in df.columns]).alias("column_names"),
-            F.array(*[F.lit(t) for t in types]).alias("column_types"),
-            "sample_data",
-        )
+    # both have one row, each holding one half of the answer
+    halves = counted.unionByName(sample, allowMissingColumns=True)
+    return halves.agg(
+        F.first("row_count", ignorenulls=True).alias("row_count"),
+        F.first("sample_data", ignorenulls=True).alias("sample_data"),
+    ).select(
+        "row_count",
+        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("column_names"),
+        F.array(*[F.lit(t) for t in types]).alias("column_types"),
+        "sample_data",
     )
 
 

@@ -29,7 +29,8 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_name, text): whole files, UTF-8 or else Latin-1.
 
     A file with any invalid UTF-8 sequence is read as Latin-1 altogether. Line
-    ends become ``\\n``, as Python's text mode makes them.
+    ends become ``\\n``, as Python's text mode makes them. Spark's readers pass
+    over files without bytes, so an empty file has no row.
     """
     files = spark.read.format("binaryFile").load(path)
     as_utf8 = F.col("content").cast("string")
