@@ -197,7 +197,7 @@ def profile_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_by_many_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A group per customer: beyond the bound for broadcasting.
+    """A group per customer: too many to be handled as one, but small ones.
 
     Means over few prices often end in a 5 at the fifth place, hence six places.
     """

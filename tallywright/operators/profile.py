@@ -11,6 +11,7 @@ from tallywright.functions import cells
 from tallywright.operators import ranks
 
 FEW_GROUPS = 10_000
+SMALL_GROUP = 50_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -245,10 +246,9 @@ def schema_description(
     )
 
 
-def few_groups(df: DataFrame, keys: Sequence[str], limit: int = FEW_GROUPS) -> bool:
-    """Are there at most ``limit`` distinct keys? Reads the key columns only."""
-    distinct = df.select(*[cells.name(k) for k in keys]).distinct()
-    return distinct.limit(limit + 1).count() <= limit
+def at_most(df: DataFrame, limit: int) -> bool:
+    """Has the table no more than ``limit`` rows? Counts no further than that."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def _zero_if_all_missing(column: str) -> Column:
@@ -257,20 +257,60 @@ def _zero_if_all_missing(column: str) -> Column:
 
 def _statistics(
     df: DataFrame,
-    keys: Sequence[str],
     columns: Sequence[str],
     probabilities: Sequence[float],
     approx: bool,
-    max_groups: int,
 ) -> DataFrame:
-    long = _numeric_cells(df, keys, columns)
-    key_names = [f"key{i}" for i in range(len(keys))]
-    group = [*key_names, "position"]
+    long = _numeric_cells(df, (), columns)
     if approx:
-        return ranks.approximate_quantiles(long, group, probabilities)
-    # without keys the groups are the schema's columns, always few
-    few = few_groups(df, keys, max_groups) if keys else True
-    return ranks.quantiles(long, group, probabilities, few)
+        return ranks.approximate_quantiles(long, ["position"], probabilities)
+    # the groups are the schema's columns, always few
+    return ranks.quantiles(long, ["position"], probabilities, few_groups=True)
+
+
+def _group_statistics(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    max_groups: int,
+    small_group: int,
+) -> DataFrame:
+    """Exact statistics per (key0, ..., position), by how many groups there are.
+
+    A moderate number of groups is handled as one; the groups are counted first
+    from the key columns alone. Beyond that, groups of bounded size go through
+    Spark's own percentile in one shuffle, and only the large ones, few by
+    their size, are counted through.
+    """
+    probabilities = (0.5,)
+    group = [*[f"key{i}" for i in range(len(keys))], "position"]
+    key_columns = [cells.name(k) for k in keys]
+    if at_most(df.select(*key_columns).distinct(), max_groups):
+        long = _numeric_cells(df, keys, columns)
+        return ranks.quantiles(long, group, probabilities, few_groups=True)
+    large = (
+        df.groupBy(*[k.alias(f"large{i}") for i, k in enumerate(key_columns)])
+        .agg(F.count(F.lit(1)).alias("size"))
+        .filter(F.col("size") > small_group)
+        .drop("size")
+    )
+    # read up to the bound: few large groups need no second look at the keys
+    head = large.limit(max_groups + 1).toArrow()
+    few = head.num_rows <= max_groups
+    if few:
+        known = df.sparkSession.createDataFrame(head, large.schema)
+        large = F.broadcast(known)
+    same = F.lit(True)
+    for i, k in enumerate(key_columns):
+        same = same & k.eqNullSafe(F.col(f"large{i}"))
+    rest = df.join(large, same, "left_anti") if head.num_rows else df
+    small = ranks.small_group_quantiles(
+        _numeric_cells(rest, keys, columns), group, probabilities
+    )
+    if not head.num_rows:
+        return small
+    big = _numeric_cells(df.join(large, same, "left_semi"), keys, columns)
+    return small.unionByName(ranks.quantiles(big, group, probabilities, few))
 
 
 def profile_by_group(
@@ -279,16 +319,23 @@ def profile_by_group(
     columns: Sequence[str] | None = None,
     approx: bool = False,
     max_groups: int = FEW_GROUPS,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Numeric statistics of every column within every group, in one job.
 
-    Up to ``max_groups`` groups (counted first) the exact median's selected
-    buckets are broadcast; beyond that they are joined by shuffle.
+    More than ``max_groups`` groups are split by size: those of up to
+    ``small_group`` rows are aggregated at once, larger ones counted through.
     """
     by = list(by)
     if columns is None:
         columns = [c for c in cells.numeric_columns(df) if c not in by]
-    stats = _statistics(df, by, columns, (0.5,), approx, max_groups)
+    if approx:
+        group = [*[f"key{i}" for i in range(len(by))], "position"]
+        stats = ranks.approximate_quantiles(
+            _numeric_cells(df, by, columns), group, (0.5,)
+        )
+    else:
+        stats = _group_statistics(df, by, columns, max_groups, small_group)
     names = F.array(*[F.lit(c) for c in columns])
     return stats.select(
         *[F.col(f"key{i}").alias(k) for i, k in enumerate(by)],
@@ -315,7 +362,7 @@ def numeric_stats(
     names = _column_table(df, columns)
     if not columns:
         return _with_defaults(names.limit(0), None)
-    stats = _statistics(df, (), columns, (0.5,), approx, FEW_GROUPS)
+    stats = _statistics(df, columns, (0.5,), approx)
     return _with_defaults(names, stats.withColumnRenamed("q0", "median"))
 
 
@@ -348,7 +395,7 @@ def summary_statistics(
     """
     columns = cells.numeric_columns(df) if columns is None else list(columns)
     names = _column_table(df, columns)
-    stats = _statistics(df, (), columns, QUARTILES, approx, FEW_GROUPS)
+    stats = _statistics(df, columns, QUARTILES, approx)
     return names.join(F.broadcast(stats), "position", "left").select(
         "position",
         "column_name",

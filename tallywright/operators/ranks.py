@@ -188,18 +188,37 @@ def _interpolate(
     return grouped.selectExpr(*keys, "n", "mean", std, "min", "max", *results)
 
 
-def approximate_quantiles(
-    long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
+def _one_pass(
+    long: DataFrame, keys: Sequence[str], several: str, count: int
 ) -> DataFrame:
-    """The same columns from one pass, with quantiles from a bounded sketch."""
-    wanted = ", ".join(f"{float(p)}D" for p in probabilities)
+    """The same columns from one aggregation; ``several`` gives the quantiles."""
     grouped = long.groupBy(*keys).agg(
         F.expr("count(value) AS n"),
         F.expr("avg(value) AS mean"),
         F.expr("stddev_samp(value) AS std"),
         F.expr("min(value) AS min"),
         F.expr("max(value) AS max"),
-        F.expr(f"percentile_approx(value, array({wanted}), 10000) AS sketch"),
+        F.expr(f"{several} AS several"),
     )
-    picks = [f"get(sketch, {i}) AS q{i}" for i in range(len(probabilities))]
+    picks = [f"get(several, {i}) AS q{i}" for i in range(count)]
     return grouped.selectExpr(*keys, "n", "mean", "std", "min", "max", *picks)
+
+
+def _listed(probabilities: Sequence[float]) -> str:
+    return ", ".join(f"{float(p)}D" for p in probabilities)
+
+
+def small_group_quantiles(
+    long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """Exact, in one shuffle, for groups small enough to be held by a task."""
+    several = f"percentile(value, array({_listed(probabilities)}))"
+    return _one_pass(long, keys, several, len(probabilities))
+
+
+def approximate_quantiles(
+    long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """Quantiles from a bounded sketch, for groups of any size, in one pass."""
+    several = f"percentile_approx(value, array({_listed(probabilities)}), 10000)"
+    return _one_pass(long, keys, several, len(probabilities))

@@ -27,9 +27,14 @@ def _normalised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors / np.where(usable, length, 1.0)[:, None], usable
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """An array column as a matrix; its vectors must all have the same width."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    width = width if width is not None else int(lengths[0]) if len(lengths) else 0
+    if (lengths != width).any():
+        raise ValueError(f"vectors must have {width} elements")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), width)
 
 
 class _Best:
@@ -71,10 +76,16 @@ class _Best:
         }
 
 
+def _vector_column(table: pa.Table, name: str) -> pa.Array:
+    whole = table[name].combine_chunks()
+    # an empty chunked array stays chunked
+    return pa.array([], whole.type) if isinstance(whole, pa.ChunkedArray) else whole
+
+
 def _vectors(df: DataFrame, id_column: str, vector: str, prefix: str) -> DataFrame:
     return df.select(
         cells.name(id_column).cast("bigint").alias(f"{prefix}_id"),
-        cells.name(vector).cast("array<double>").alias(f"{prefix}_vec"),
+        cells.name(vector).alias(f"{prefix}_vec"),
     ).filter(F.col(f"{prefix}_vec").isNotNull())
 
 
@@ -113,13 +124,14 @@ def topk_similar(
 def _against_all(head: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     if not head.num_rows:
         return corpus.sparkSession.createDataFrame([], _SCHEMA)
-    ids, vectors = head["q_id"].to_numpy(), _matrix(head["q_vec"].combine_chunks())
+    ids, vectors = head["q_id"].to_numpy(), _matrix(_vector_column(head, "q_vec"))
     shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*shared.value, k)
+        width = best.queries.shape[1]
         for batch in batches:
-            best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+            best.add(batch.column(0).to_numpy(), _matrix(batch.column(1), width))
         yield pa.RecordBatch.from_pydict(best.table())
 
     return corpus.mapInArrow(score, _SCHEMA)
@@ -147,10 +159,11 @@ def _by_blocks(
 
     def score(q: pa.Table, c: pa.Table) -> pa.Table:
         best = _Best(
-            q["q_id"].to_numpy(), _matrix(q["q_vec"].combine_chunks()), k
+            q["q_id"].to_numpy(), _matrix(_vector_column(q, "q_vec")), k
         )
         if q.num_rows and c.num_rows:
-            best.add(c["c_id"].to_numpy(), _matrix(c["c_vec"].combine_chunks()))
+            width = best.queries.shape[1]
+            best.add(c["c_id"].to_numpy(), _matrix(_vector_column(c, "c_vec"), width))
         return pa.table(best.table())
 
     return (

@@ -8,6 +8,7 @@ import io
 import pytest
 
 from checks import queries
+from tallywright.operators import profile
 
 PYTHON_BY_NATURE = {
     "topk_similar",  # matrix products
@@ -80,8 +81,13 @@ def test_only_bounded_sides_are_broadcast_by_hint(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "BroadcastHashJoin" in plan(queries.profile_by_group(spark, sf_dir))
-        for name in ("profile_by_many_groups", "attach_responses", "file_catalog"):
+        for name in ("attach_responses", "file_catalog"):
             assert "BroadcastHashJoin" not in plan(queries.ALL[name](spark, sf_dir))
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        many_large = profile.profile_by_group(
+            orders, ["o_custkey"], max_groups=10, small_group=1
+        )
+        assert "BroadcastHashJoin" not in plan(many_large)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

@@ -227,9 +227,11 @@ def test_moments_of_groups(spark):
     frame.loc[::17, "x"] = np.nan
     df = spark.createDataFrame(frame)
     expected = frame.groupby("g").agg(["mean", "median", "min", "max", "std", "count"])
-    few = profile.profile_by_group(df, ["g"]).toPandas()
-    many = profile.profile_by_group(df, ["g"], max_groups=3).toPandas()
-    for got in (few, many):
+    together = profile.profile_by_group(df, ["g"]).toPandas()
+    by_size = profile.profile_by_group(df, ["g"], max_groups=3, small_group=100)
+    # more large groups than may be broadcast
+    shuffled = profile.profile_by_group(df, ["g"], max_groups=3, small_group=10)
+    for got in (together, by_size.toPandas(), shuffled.toPandas()):
         assert len(got) == 2 * len(expected)
         for row in got.itertuples():
             want = expected.loc[row.g, row.column_name]
@@ -245,8 +247,9 @@ def test_group_keys_may_be_missing(spark):
     rows = {r["g"]: r for r in profile.profile_by_group(df, ["g"]).collect()}
     assert rows[None]["median"] == 2.0
     assert (rows["a"]["n"], rows["a"]["median"], rows["a"]["std"]) == (0, 0.0, 0.0)
-    many = profile.profile_by_group(df, ["g"], max_groups=1).collect()
-    assert {r["g"]: r["median"] for r in many} == {None: 2.0, "a": 0.0}
+    for small in (0, 1, 10):
+        many = profile.profile_by_group(df, ["g"], max_groups=1, small_group=small)
+        assert {r["g"]: r["median"] for r in many.collect()} == {None: 2.0, "a": 0.0}
 
 
 def test_all_missing_column_is_zero_and_single_value_has_no_std(spark):
@@ -275,10 +278,10 @@ def test_approximate_median_is_near(spark):
     assert stats["mean"] == 50000.0
 
 
-def test_few_groups_counts_missing_keys(spark):
+def test_at_most(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "g string")
-    assert profile.few_groups(df, ["g"], 3)
-    assert not profile.few_groups(df, ["g"], 2)
+    assert profile.at_most(df, 3)
+    assert not profile.at_most(df, 2)
 
 
 def test_cell_class_names(spark):

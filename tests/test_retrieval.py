@@ -70,3 +70,10 @@ def test_small_and_empty_sides(spark, vectors):
     for q, c in ((frame(spark, queries).limit(0), frame(spark, corpus)),
                  (frame(spark, queries), frame(spark, corpus).limit(0))):
         assert retrieval.topk_similar(q, c, "id", "v", "id", "v").count() == 0
+
+
+def test_vectors_of_unequal_width_are_refused(spark):
+    q = frame(spark, {1: [1.0, 0.0]})
+    c = frame(spark, {1: [1.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [1.0]})
+    with pytest.raises(Exception, match="vectors must have 2 elements"):
+        retrieval.topk_similar(q, c, "id", "v", "id", "v").collect()
