@@ -1,13 +1,15 @@
 """Moments and exact quantiles of many columns and groups at once.
 
 Spark's own exact percentile keeps every distinct value of a group in one
-task. Here the value at a rank is found by counting instead, in three passes
-that hold at most a few million counters per group, however many rows it has:
+task. Here the value at a rank is found by counting instead, in passes that
+hold at most a few million counters per group, however many rows it has:
 
 1. count values by their leading 9 significant bits and pick the buckets the
    wanted ranks fall into (the same pass yields the moments);
-2. within those buckets, count by the leading 30 bits and pick again;
-3. within those, count by the value itself.
+2. within those buckets, count by value where a bucket holds few rows, else by
+   the leading 30 bits, and pick again;
+3. within what was counted by 30 bits, count by value. Where nothing was, which
+   shows at run time, this pass does not read the table.
 
 Rounding to fewer bits keeps the order of values, so counting buckets from the
 smallest gives exact ranks. Rows are combined before each shuffle and spread
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 SIGNIFICAND_BITS = 53
 COARSE_BITS = 9
 FINE_BITS = 30
+FEW_ROWS = 1_000_000
 _MOMENTS = ("n", "mean", "m2", "min", "max")
 
 
@@ -77,6 +80,7 @@ def quantiles(
     keys: Sequence[str],
     probabilities: Sequence[float],
     few_groups: bool,
+    few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """Per key: n, mean, std, min, max and ``q0, q1, ...`` for the probabilities.
 
@@ -85,12 +89,12 @@ def quantiles(
     Quantiles interpolate linearly. ``few_groups`` says the caller has bounded
     the number of keys, so the picked buckets (two per key and probability at
     most) may be broadcast; otherwise they are joined by key and bucket, which
-    spreads a large key over many tasks.
+    spreads a large key over many tasks. Buckets of up to ``few_rows`` rows are
+    counted by value at once.
     """
     keys = list(keys)
     group = ", ".join(keys)
     coarse = leading_bits("value", COARSE_BITS) + " AS coarse"
-    fine = leading_bits("value", FINE_BITS) + " AS fine"
     over_key = f"OVER (PARTITION BY {group})"
 
     rows = long.selectExpr(*keys, "value", coarse)
@@ -116,25 +120,29 @@ def quantiles(
             f" {over_key} AS m2",
         )
         .filter(_picked(probabilities))
-        .selectExpr(*keys, "coarse", "below", *_MOMENTS)
+        .selectExpr(*keys, "coarse", "below", "cnt AS held", *_MOMENTS)
     )
+    exact = "coalesce(value, double('NaN'))"
+    fine = leading_bits("value", FINE_BITS)
     picked = _recount(
-        rows.selectExpr("*", fine),
+        rows,
         picked,
         [*keys, "coarse"],
-        "fine",
+        f"CASE WHEN held <= {few_rows} THEN {exact} ELSE {fine} END AS fine",
         probabilities,
         few_groups,
-    ).drop("cnt")
-    found = _recount(
-        rows.selectExpr("*", fine, "coalesce(value, double('NaN')) AS found"),
-        picked,
+    )
+    result = [*keys, "below", "cnt", *_MOMENTS]
+    found = picked.filter(f"held <= {few_rows}").selectExpr(*result, "fine AS found")
+    rest = _recount(
+        rows.selectExpr("*", f"{fine} AS fine"),
+        picked.filter(f"held > {few_rows}").drop("cnt", "held"),
         [*keys, "coarse", "fine"],
-        "found",
+        f"{exact} AS found",
         probabilities,
         few_groups,
-    )
-    return _interpolate(found, keys, probabilities)
+    ).selectExpr(*result, "found")
+    return _interpolate(found.unionByName(rest), keys, probabilities)
 
 
 def _recount(
@@ -145,24 +153,23 @@ def _recount(
     probabilities: Sequence[float],
     few_groups: bool,
 ) -> DataFrame:
-    """Count the rows of the picked buckets by ``label`` and pick again."""
+    """Count the rows of the picked buckets by a finer label and pick again."""
     carried = [c for c in picked.columns if c not in on]
     right = picked.selectExpr(*[f"{c} AS p_{c}" for c in on], *carried)
     if few_groups:
         right = F.broadcast(right)
     # bucket labels are never NULL; the caller's keys may be
-    labels = ("coarse", "fine")
     match = " AND ".join(
-        f"{c} = p_{c}" if c in labels else f"{c} <=> p_{c}" for c in on
+        f"{c} = p_{c}" if c in ("coarse", "fine") else f"{c} <=> p_{c}" for c in on
     )
-    counted = (
-        rows.join(right, F.expr(match))
-        .groupBy(*on, *carried, label)
-        .agg(F.expr("count(value) AS cnt"))
+    labelled = rows.join(right, F.expr(match)).selectExpr(*on, *carried, label, "value")
+    name = labelled.columns[-2]
+    counted = labelled.groupBy(*on, *carried, name).agg(
+        F.expr("count(value) AS cnt")
     )
     place = [c for c in counted.columns if c != "below"]
     return counted.selectExpr(
-        *place, f"below + {_before(on, label)} AS below"
+        *place, f"below + {_before(on, name)} AS below"
     ).filter(_picked(probabilities))
 
 

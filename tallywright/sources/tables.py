@@ -14,12 +14,14 @@ def load_table(
     name: str,
     fmt: str = "parquet",
     schema: T.StructType | str | None = None,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Load ``directory/name.fmt``; the schema is read or inferred unless given.
 
     Inferring the schema of CSV or JSON reads the whole table once more, so
     large ones should come with a schema. CSV cells keep their blanks, quotes
-    are doubled and may hold line breaks, as ``write_csv`` writes them.
+    are doubled and may hold line breaks, as ``write_csv`` writes them. Such a
+    file is read by one task; ``line_breaks=False`` lets many share a large one.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
@@ -31,7 +33,7 @@ def load_table(
         return (
             reader.option("header", True)
             .option("inferSchema", schema is None)
-            .option("multiLine", True)
+            .option("multiLine", line_breaks)
             .option("escape", '"')
             .csv(path)
         )

@@ -200,6 +200,36 @@ def test_exact_quantiles(spark, name):
         assert got == pytest.approx(expected, rel=1e-12, abs=0)
 
 
+@pytest.mark.parametrize("few_rows", [0, 3, 100])
+@pytest.mark.parametrize("few_groups", [True, False])
+def test_every_pass_is_exact(spark, few_rows, few_groups):
+    """All of HARD as groups of one table, most buckets too large for two passes."""
+    rows = [(name, x) for name, numbers in HARD.items() for x in numbers]
+    rows += [("nothing", None), (None, 1.0), (None, 2.0), ("hot", None)]
+    random.Random(6).shuffle(rows)
+    long = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    found = ranks.quantiles(long, ["g"], [0.0, 0.5, 1.0], few_groups, few_rows)
+    got = {r["g"]: r for r in found.collect()}
+    assert set(got) == {*HARD, "nothing", None}
+    for name, numbers in HARD.items():
+        row = got[name]
+        assert row["n"] == len(numbers)
+        assert row["q0"] == row["min"] == min(numbers)
+        assert row["q1"] == statistics.median(numbers)
+        assert row["q2"] == row["max"] == max(numbers)
+    assert (got["nothing"]["n"], got["nothing"]["q1"]) == (0, None)
+    assert (got[None]["n"], got[None]["q1"]) == (2, 1.5)
+
+
+def test_third_pass_reads_nothing_where_buckets_are_small(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    stats = profile.numeric_stats(df)
+    assert stats.count() == 8
+    stats.collect()
+    done = stats._jdf.queryExecution().executedPlan().toString()
+    assert done.split("== Initial Plan ==")[0].count("FileScan") == 2
+
+
 def test_leading_bits_keep_the_order(spark):
     rng = random.Random(4)
     numbers = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-320, 307) for _ in range(20000)]
