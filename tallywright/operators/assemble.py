@@ -99,36 +99,42 @@ def block_concat(
     """
     is_para = F.col("kind") == "para"
     raw = F.coalesce(F.col("text"), F.lit(""))
+    stripped = text.strip(raw)
+    line = F.when(is_para, F.col("block")).otherwise(F.col("row"))
     # paragraphs are numbered by block, table rows by table and row
     placed = blocks.select(
         cells.name(doc).alias(doc),
         F.when(is_para, F.lit(0)).otherwise(F.lit(1)).alias("_kind"),
-        F.when(is_para, F.lit(0).cast("bigint")).otherwise(F.col("block")).alias("_table"),
-        F.when(is_para, F.col("block")).otherwise(F.col("row")).alias("_line"),
+        F.when(is_para, F.lit(0).cast("bigint"))
+        .otherwise(F.col("block"))
+        .alias("_table"),
+        (F.floor(line / segment) if segment else F.lit(0)).alias("_run"),
+        line.alias("_line"),
         F.col("cell").alias("_cell"),
-        F.when(~text.is_blank(raw), F.when(is_para, raw).otherwise(text.strip(raw)))
-        .alias("_text"),
-        F.when(is_para & text.is_blank(raw), raw).alias("_blank"),
-    )
-    lines = placed.groupBy(doc, "_kind", "_table", "_line").agg(
-        _joined([F.col("_cell")], F.col("_text"), CELL_SEPARATOR).alias("_text"),
-        F.max("_blank").alias("_blank"),
+        F.when(
+            stripped != "", F.when(is_para, raw).otherwise(stripped)
+        ).alias("_text"),
+        F.when(is_para & (stripped == ""), raw).alias("_blank"),
     )
-    order = [F.col("_kind"), F.col("_table"), F.col("_line")]
-    if segment is not None:
-        lines = (
-            lines.groupBy(
-                doc, "_kind", "_table", F.floor(F.col("_line") / segment).alias("_run")
-            )
-            .agg(
-                _joined([F.col("_line")], F.col("_text"), LINE_SEPARATOR).alias("_text"),
-                _joined([F.col("_line")], F.col("_blank"), " ").alias("_blank"),
-            )
+    # one shuffle serves both the lines and the runs they form
+    run = [doc, "_kind", "_table", "_run"] if segment else [doc]
+    order = [doc, "_kind", "_table", "_run"]
+    lines = (
+        placed.repartition(*run)
+        .groupBy(*order, "_line")
+        .agg(
+            _joined([F.col("_cell")], F.col("_text"), CELL_SEPARATOR).alias("_text"),
+            F.max("_blank").alias("_blank"),
         )
-        order = [F.col("_kind"), F.col("_table"), F.col("_run")]
-    whole = lines.groupBy(doc).agg(
-        text.strip(_joined(order, F.col("_text"), LINE_SEPARATOR)).alias("_text"),
-        _joined(order, F.col("_blank"), " ").alias("_blank"),
+    )
+    runs = lines.groupBy(*order).agg(
+        _joined([F.col("_line")], F.col("_text"), LINE_SEPARATOR).alias("_text"),
+        _joined([F.col("_line")], F.col("_blank"), " ").alias("_blank"),
+    )
+    places = [F.col(c) for c in ("_kind", "_table", "_run")]
+    whole = runs.groupBy(doc).agg(
+        text.strip(_joined(places, F.col("_text"), LINE_SEPARATOR)).alias("_text"),
+        _joined(places, F.col("_blank"), " ").alias("_blank"),
     )
     return whole.select(
         doc,

@@ -8,7 +8,7 @@ import io
 import pytest
 
 from checks import queries
-from tallywright.operators import profile
+from tallywright.operators import assemble, profile
 
 PYTHON_BY_NATURE = {
     "topk_similar",  # matrix products
@@ -94,3 +94,14 @@ def test_only_bounded_sides_are_broadcast_by_hint(spark, sf_dir):
 
 def test_samples_are_cut_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(queries.ALL["report_business"](spark, sf_dir))
+
+
+def test_blocks_are_shuffled_once_per_level(spark):
+    blocks = spark.createDataFrame(
+        [("d", "cell", 0, 0, 0, "a")],
+        "doc_id string, kind string, block bigint, row bigint, cell bigint, text string",
+    )
+    for segment, shuffles in ((1000, 2), (None, 1)):
+        shown = assemble.block_concat(blocks, segment=segment)
+        physical = shown._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("Exchange hashpartitioning") == shuffles
