@@ -24,18 +24,16 @@ def doc_type(df: DataFrame, file_name: str, strict: bool = False) -> DataFrame:
 
     An unknown extension gets no extractor, or fails the job when ``strict``.
     """
-    ending = suffix(cells.name(file_name))
-    unknown = F.lit(None).cast("string")
-    if strict:
-        unknown = F.raise_error(
-            F.concat(F.lit("Unsupported file type: "), ending)
-        ).cast("string")
-    extractor = unknown
+    ending = F.col("_suffix")
+    extractor = F
     for known, label in EXTRACTORS.items():
-        extractor = F.when(F.lower(ending) == known, F.lit(label)).otherwise(extractor)
+        extractor = extractor.when(F.lower(ending) == known, F.lit(label))
+    if strict:
+        refusal = F.concat(F.lit("Unsupported file type: "), ending)
+        extractor = extractor.otherwise(F.raise_error(refusal).cast("string"))
     shown = F.replace(F.upper(ending), F.lit("."), F.lit(""))
-    return df.select(
-        "*",
+    return df.select("*", suffix(cells.name(file_name)).alias("_suffix")).select(
+        *[cells.name(c) for c in df.columns],
         F.lower(ending).alias("suffix"),
         extractor.alias("extractor"),
         F.coalesce(F.nullif(shown, F.lit("")), F.lit(UNKNOWN_TYPE)).alias("file_type"),

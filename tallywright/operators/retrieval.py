@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import cells
+from tallywright.session import ship
+
+ship(__name__)
 
 RESULTS = 3  # fixed value: results returned per query
 MAX_QUERIES = 2048

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tallywright.functions import cells, text
 from tallywright.operators import profile
 from tallywright.operators.documents import NO_INSIGHTS
+from tallywright.session import ship
+
+ship(__name__)
 
 # --- fixed values -----------------------------------------------------------
 REPORT_TYPES = ("executive", "technical", "business")

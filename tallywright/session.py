@@ -1,9 +1,11 @@
-"""Where jobs may put intermediate data."""
+"""Where jobs may put intermediate data, and how code reaches the workers."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -17,3 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get(_SETTING, None)
     return named or tempfile.mkdtemp(prefix="tallywright-")
+
+
+def ship(module_name: str) -> None:
+    """Send a module's functions along with the jobs that use them.
+
+    Python workers then need no installation of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
