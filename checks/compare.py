@@ -13,6 +13,15 @@ from pyspark.sql import SparkSession
 from checks import oracles, queries
 
 
+_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
     """An in-process database with a view per table."""
     connection = duckdb.connect()
@@ -45,12 +54,16 @@ def rows(frame: pd.DataFrame) -> list[str]:
 
 def difference(spark: SparkSession, connection, name: str, sf_dir: str) -> str | None:
     """None where both agree, else what differs first."""
-    ours = queries.ALL[name](spark, sf_dir).toPandas()
+    result = queries.ALL[name](spark, sf_dir)
+    ours = result.toPandas()
     if name not in oracles.ALL:
         return None if len(ours) else "no rows"
+    described = connection.execute(f"DESCRIBE {oracles.ALL[name]}").fetchall()
+    expected = {row[0]: row[1] for row in described}
+    got = {c: _TYPES.get(t, t) for c, t in result.dtypes}
+    if got != expected:
+        return f"types {got} != {expected}"
     theirs = connection.execute(oracles.ALL[name]).df()
-    if sorted(ours.columns) != sorted(theirs.columns):
-        return f"columns {sorted(ours.columns)} != {sorted(theirs.columns)}"
     if len(ours) != len(theirs):
         return f"rows {len(ours)} != {len(theirs)}"
     for a, b in zip(rows(ours), rows(theirs)):

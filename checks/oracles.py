@@ -85,7 +85,8 @@ _EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 _EVENTS = with_views("events_missing")
 _MISSING = " + ".join(f"(count(*) - count({c}))" for c in _EVENT_COLUMNS)
 _SHAPE = (
-    f"SELECT count(*) AS total_rows, {len(_EVENT_COLUMNS)} AS total_columns,"
+    f"SELECT count(*) AS total_rows,"
+    f" CAST({len(_EVENT_COLUMNS)} AS bigint) AS total_columns,"
     f" {_MISSING} AS missing_values FROM events_missing"
 )
 _MISSING_BY_COLUMN = " UNION ALL ".join(
@@ -298,7 +299,7 @@ ALL: dict[str, str] = {
     "write_summaries": f"{_NAMED} SELECT doc_id, file_name AS original_file,"
     f" {_LEAD} AS summary,"
     r" concat(regexp_replace(file_name, '\.[^.]+$', ''), '_summary.txt')"
-    f" AS summary_file, length({_LEAD}) AS summary_length,"
+    f" AS summary_file, CAST(length({_LEAD}) AS integer) AS summary_length,"
     f" '{CREATED_AT}' AS created_at FROM documents_named",
     "filter_gt": "SELECT * FROM events WHERE value > 100",
     "coerce_mixed": f"{_LINEITEM_TEXT} SELECT * REPLACE"
@@ -312,7 +313,7 @@ ALL: dict[str, str] = {
     "completeness": f"{_EVENTS} SELECT round(100.0 - missing_values"
     f" / (total_rows * total_columns) * 100.0, 4) AS completeness_pct FROM ({_SHAPE})",
     "schema_description": "SELECT (SELECT count(*) FROM customer) AS row_count,"
-    " 5 AS column_count,"
+    " CAST(5 AS bigint) AS column_count,"
     " 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' AS column_names,"
     " 'bigint, string, int, double, string' AS column_types,"
     " string_agg(concat('{\"c_custkey\":', c_custkey, ',\"c_name\":\"', c_name,"
@@ -372,8 +373,9 @@ ALL: dict[str, str] = {
     "attach_responses": with_views("label_responses")
     + f" SELECT doc_id, lang, coalesce(response, {_quote(NO_INSIGHTS)}) AS response"
     " FROM documents LEFT JOIN label_responses USING (doc_id)",
-    "text_metrics": f"SELECT doc_id, len(regexp_extract_all(text, '[^{_SPACE}]+'))"
-    " AS word_count, length(text) AS char_count FROM documents",
+    "text_metrics": "SELECT doc_id,"
+    f" CAST(len(regexp_extract_all(text, '[^{_SPACE}]+')) AS integer) AS word_count,"
+    " CAST(length(text) AS integer) AS char_count FROM documents",
     "text_preview": "SELECT doc_id, CASE WHEN length(text) > 1000"
     " THEN concat(substring(text, 1, 1000), '...') ELSE text END AS preview"
     " FROM documents",
@@ -407,8 +409,9 @@ ALL: dict[str, str] = {
          GROUP BY label, place) GROUP BY label),
     scored AS (SELECT m.label AS query_id, vec_id, round(list_cosine_similarity(
         CAST(embedding AS double[]), mean), 12) AS exact FROM embeddings, means m)
-    SELECT query_id, vec_id, round(exact, 6) AS score, row_number() OVER
-        (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS rank
+    SELECT CAST(query_id AS bigint) AS query_id, vec_id, round(exact, 6) AS score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id)
+        AS integer) AS rank
     FROM scored QUALIFY rank <= 3""",
     "report_document": _document_reports("CAST(doc_id AS varchar) AS report_key"),
 }
