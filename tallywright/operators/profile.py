@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tallywright.functions import cells
 from tallywright.operators import ranks
 
-FEW_GROUPS = 10_000
+FEW_GROUPS = 100
 SMALL_GROUP = 50_000
+LARGE_GROUPS = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -274,11 +275,12 @@ def _group_statistics(
     columns: Sequence[str],
     max_groups: int,
     small_group: int,
+    max_large: int,
 ) -> DataFrame:
     """Exact statistics per (key0, ..., position), by how many groups there are.
 
-    A moderate number of groups is handled as one; the groups are counted first
-    from the key columns alone. Beyond that, groups of bounded size go through
+    Few groups are counted through together; how many there are is read from the
+    key columns first. Beyond that counters would hardly combine, so groups of bounded size go through
     Spark's own percentile in one shuffle, and only the large ones, few by
     their size, are counted through.
     """
@@ -295,8 +297,8 @@ def _group_statistics(
         .drop("size")
     )
     # read up to the bound: few large groups need no second look at the keys
-    head = large.limit(max_groups + 1).toArrow()
-    few = head.num_rows <= max_groups
+    head = large.limit(max_large + 1).toArrow()
+    few = head.num_rows <= max_large
     if few:
         known = df.sparkSession.createDataFrame(head, large.schema)
         large = F.broadcast(known)
@@ -320,11 +322,13 @@ def profile_by_group(
     approx: bool = False,
     max_groups: int = FEW_GROUPS,
     small_group: int = SMALL_GROUP,
+    max_large: int = LARGE_GROUPS,
 ) -> DataFrame:
     """Numeric statistics of every column within every group, in one job.
 
     More than ``max_groups`` groups are split by size: those of up to
-    ``small_group`` rows are aggregated at once, larger ones counted through.
+    ``small_group`` rows are aggregated at once, larger ones counted through,
+    with a broadcast only where there are at most ``max_large`` of them.
     """
     by = list(by)
     if columns is None:
@@ -335,7 +339,9 @@ def profile_by_group(
             _numeric_cells(df, by, columns), group, (0.5,)
         )
     else:
-        stats = _group_statistics(df, by, columns, max_groups, small_group)
+        stats = _group_statistics(
+            df, by, columns, max_groups, small_group, max_large
+        )
     names = F.array(*[F.lit(c) for c in columns])
     return stats.select(
         *[F.col(f"key{i}").alias(k) for i, k in enumerate(by)],

@@ -85,7 +85,7 @@ def test_only_bounded_sides_are_broadcast_by_hint(spark, sf_dir):
             assert "BroadcastHashJoin" not in plan(queries.ALL[name](spark, sf_dir))
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
         many_large = profile.profile_by_group(
-            orders, ["o_custkey"], max_groups=10, small_group=1
+            orders, ["o_custkey"], max_groups=10, small_group=1, max_large=10
         )
         assert "BroadcastHashJoin" not in plan(many_large)
     finally:

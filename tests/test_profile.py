@@ -260,7 +260,9 @@ def test_moments_of_groups(spark):
     together = profile.profile_by_group(df, ["g"]).toPandas()
     by_size = profile.profile_by_group(df, ["g"], max_groups=3, small_group=100)
     # more large groups than may be broadcast
-    shuffled = profile.profile_by_group(df, ["g"], max_groups=3, small_group=10)
+    shuffled = profile.profile_by_group(
+        df, ["g"], max_groups=3, small_group=10, max_large=3
+    )
     for got in (together, by_size.toPandas(), shuffled.toPandas()):
         assert len(got) == 2 * len(expected)
         for row in got.itertuples():
@@ -278,7 +280,9 @@ def test_group_keys_may_be_missing(spark):
     assert rows[None]["median"] == 2.0
     assert (rows["a"]["n"], rows["a"]["median"], rows["a"]["std"]) == (0, 0.0, 0.0)
     for small in (0, 1, 10):
-        many = profile.profile_by_group(df, ["g"], max_groups=1, small_group=small)
+        many = profile.profile_by_group(
+            df, ["g"], max_groups=1, small_group=small, max_large=1
+        )
         assert {r["g"]: r["median"] for r in many.collect()} == {None: 2.0, "a": 0.0}
 
 
