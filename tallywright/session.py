@@ -26,4 +26,5 @@ def ship(module_name: str) -> None:
 
     Python workers then need no installation of this package.
     """
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    for name in (module_name, __name__):
+        cloudpickle.register_pickle_by_value(sys.modules[name])
