@@ -93,7 +93,12 @@ def _candidates(ends: np.ndarray, sentences: np.ndarray, length: int, last: bool
 
 
 class _Encoder:
-    """Token ids of whole texts. Words between ASCII white space are encoded once."""
+    """Token ids of whole texts. Words between ASCII white space are encoded once.
+
+    So are letters and the punctuation behind them, which the vocabulary's tokenizer
+    takes apart; words of letters alone go to it many to a text, and the tokens that
+    end a word part them again.
+    """
 
     def __init__(self, path: str, separator: int) -> None:
         import os
@@ -103,23 +108,52 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.tail = np.array([separator], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab()
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             if re.search(r"[.!?]\W*(</w>)?$", token):
                 self.ends_sentence[number] = True
+        self.ends_word = np.zeros(len(self.ends_sentence), bool)
+        self.ends_word[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _learn(self, words: list[bytes]) -> None:
+        parted, whole = [], []
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(".,;:!?")
+            if core.isalpha():
+                tail = text[len(core) :]
+                parted.append((word, core.lower() if core.isascii() else core, tail))
+            else:
+                whole.append((word, text))
+        self.known.update(zip((w for w, _ in whole), self._encode([t for _, t in whole])))
+        new = list({c for _, c, _ in parted}.difference(self.cores))
+        for at in range(0, len(new), 256):
+            some = new[at : at + 256]
+            ids = np.frombuffer(self._encode([" ".join(some)])[0], "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.cores.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends))))
+            else:
+                self.cores.update(zip(some, self._encode(some)))
+        tails = list({t for _, _, t in parted}.difference(self.cores))
+        self.cores.update(zip(tails, self._encode(tails)))
+        for word, core, tail in parted:
+            self.known[word] = self.cores[core] + self.cores[tail]
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [text.split() for text in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        encoded = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in new], add_special_tokens=False
-        )
-        for word, found in zip(new, encoded):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.cores.clear()
+        self._learn(list(set().union(*split).difference(self.known)))
         for listed in split:
             yield b"".join(map(self.known.__getitem__, listed)) + self.tail
 
