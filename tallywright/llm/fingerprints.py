@@ -22,6 +22,7 @@ LEVELS = 256
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5
+BROADCAST_PARTS = 200_000
 _GAP = 2 * WINDOW
 _NEVER = np.int64(1) << 62
 
@@ -179,54 +180,62 @@ def likeness(one: str, other: str) -> Column:
     return run(one, other)
 
 
-def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", part_rows: int = 1000) -> DataFrame:
+def with_next(
+    docs: DataFrame,
+    columns: list[str],
+    keys: DataFrame | None = None,
+    id_column: str = "doc_id",
+    part_rows: int = 1000,
+) -> DataFrame:
     """Each row with next_<column>: the values of the next row, descending by key.
 
     After the last row comes the first. A null key is the last of all, and rows with
-    the same key follow one another by their columns. The rows are ordered
-    in parts of the key's range holding about `part_rows`; the head of each part also
-    visits the part before, so no task orders more than a part.
+    the same key follow one another by their columns. `keys` may give the same keys
+    from a cheaper table.
+
+    The rows are ordered in parts of the key's range holding about `part_rows`; the
+    head of each part also visits the part before, so no task orders more than a part
+    and the rows are shuffled once. The heads (a row per part) are broadcast up to
+    `BROADCAST_PARTS`, and joined by shuffle beyond.
     """
-    spark, key = docs.sparkSession, F.col(id_column)
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    key = F.col(id_column)
+    keys = (docs if keys is None else keys).select(key)
+    low, high, known, n = keys.agg(F.min(key), F.max(key), F.count(key), F.count(F.lit(1))).first()
     low, high = (0, 0) if low is None else (int(low), int(high))
     wide = max(1, (high - low + 2) * part_rows // max(1, n))
-    rows = docs.withColumn("_key", F.coalesce(key, F.lit(low - 1)))
-    rows = rows.withColumn("_part", ((F.col("_key") - (low - 1)) / wide).cast("long"))
-    heads = rows.groupBy("_part").agg(F.max("_key").alias("_head")).withColumn("_block", (F.col("_part") / 1000).cast("long"))
-    # the part that a head visits is the nearest one above; from block to block for their last parts
+    lowest = 0 if known < n else 1 // wide
+    filled = F.coalesce(key, F.lit(low - 1))
+    part = F.floor((filled - F.lit(low - 1)) / F.lit(wide)).cast("bigint")
+    heads = keys.groupBy(part.alias("_part")).agg(F.max(filled).alias("_key"))
+    heads = heads.withColumn("_block", F.floor(F.col("_part") / 1000))
+    # a head visits the nearest part above; the last part of a block looks into the next block
     blocks = heads.groupBy("_block").agg(F.min("_part").alias("_low"))
-    ordered = Window.orderBy("_block")
-    above = blocks.select("_block", F.lead("_low").over(ordered).alias("_above"))
+    above = blocks.select("_block", F.lead("_low").over(Window.orderBy("_block")).alias("_above"))
     within = Window.partitionBy("_block").orderBy("_part")
-    lowest = heads.agg(F.min("_part").alias("_lowest"))
     visits = (
         heads.withColumn("_up", F.lead("_part").over(within))
         .join(above, "_block")
-        .crossJoin(F.broadcast(lowest))  # one row
-        .select(F.col("_head").alias("_key"), F.coalesce("_up", "_above", "_lowest").alias("_visits"))
+        .select("_key", F.coalesce("_up", "_above", F.lit(lowest)).alias("_visits"))
     )
-    guests = (
-        rows.join(visits, "_key", "left")
-        .withColumn(
-            "_seat",
-            F.explode(
-                F.when(
-                    F.col("_visits").isNull(), F.array(F.struct(F.lit(False).alias("guest"), F.col("_part").alias("part")))
-                ).otherwise(
-                    F.array(
-                        F.struct(F.lit(False).alias("guest"), F.col("_part").alias("part")),
-                        F.struct(F.lit(True).alias("guest"), F.col("_visits").alias("part")),
-                    )
-                )
-            ),
-        )
+    if (high - low + 2) // wide < BROADCAST_PARTS:
+        visits = F.broadcast(visits)
+    seat = lambda guest, where: F.struct(F.lit(guest).alias("guest"), where.alias("part"))
+    own = seat(False, F.col("_part"))
+    seats = F.when(F.col("_visits").isNull(), F.array(own)).otherwise(
+        F.array(own, seat(True, F.col("_visits")))
     )
     order = Window.partitionBy("_seat.part").orderBy("_seat.guest", F.desc("_key"), *columns)
     return (
-        guests.select(*docs.columns, "_key", "_seat", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+        docs.withColumns({"_key": filled, "_part": part})
+        .join(visits, "_key", "left")
+        .withColumn("_seat", F.explode(seats))
+        .select(
+            *docs.columns,
+            "_seat",
+            *[F.lead(c).over(order).alias(f"next_{c}") for c in columns],
+        )
         .where("NOT _seat.guest")
-        .drop("_key", "_seat")
+        .drop("_seat")
     )
 
 

@@ -75,7 +75,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rank = fingerprints.rarity(docs)
-    both = fingerprints.with_next(fingerprints.fingerprint(docs, rank), ["text", "fingerprint"])
+    both = fingerprints.with_next(fingerprints.fingerprint(docs, rank), ["text", "fingerprint"], docs)
     both = both.select("doc_id", "text", "fingerprint", "next_fingerprint", fingerprints.edited().alias("edited"))
     both = both.select(
         "doc_id",
