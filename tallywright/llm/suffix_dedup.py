@@ -18,7 +18,8 @@ BATCH = 1 << 16
 _PLACE_BITS = 26
 _SEGMENT = 1 << 24
 _NO_ID = -(1 << 63)
-_SUFFIXES = "doc_id bigint, key bigint, context bigint, lo bigint, n int, again boolean"
+_SUFFIXES = "doc_id bigint, key bigint, context bigint, place bigint"
+_STRINGS = "doc_id bigint, key bigint, place bigint"
 _MATCHES = "doc_id bigint, lo bigint, n int, covered boolean"
 
 
@@ -33,24 +34,24 @@ def _segments(content: np.ndarray, bounds: np.ndarray, length: int):
 
 
 def _suffix_rows(names: np.ndarray, key, context, lo, n) -> pa.RecordBatch:
-    """Rows in order of key and place; all but the first of a context are `again`."""
-    order = np.lexsort((lo, names, context))
+    """Rows of doc_id, key, context and place; without a context the key is all.
+
+    place is lo * 65536 + n, so rows sort by lo; inverted (below zero) it marks all but
+    the first row of a context.
+    """
+    whole = key if context is None else context
+    order = np.lexsort((lo, names, whole))
     same = np.zeros(len(order), bool)
-    same[order[1:]] = context[order[1:]] == context[order[:-1]]
+    same[order[1:]] = whole[order[1:]] == whole[order[:-1]]
     # rows of one key and place are one document, not a repeat
     twin = (names[order[1:]] == names[order[:-1]]) & (lo[order[1:]] == lo[order[:-1]])
     same[order[1:][twin]] = False
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(names),
-            pa.array(key.view(np.int64)),
-            pa.array(context.view(np.int64)),
-            pa.array(lo),
-            pa.array(n.astype(np.int32)),
-            pa.array(same),
-        ],
-        ["doc_id", "key", "context", "lo", "n", "again"],
-    )
+    place = (lo << 16) | n
+    columns = {"doc_id": names, "key": key.view(np.int64)}
+    if context is not None:
+        columns["context"] = context.view(np.int64)
+    columns["place"] = np.where(same, ~place, place)
+    return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
 
 def sampled_suffixes(docs: DataFrame, length: int = LENGTH, probe: int = PROBE) -> DataFrame:
@@ -59,9 +60,12 @@ def sampled_suffixes(docs: DataFrame, length: int = LENGTH, probe: int = PROBE)
     A string is represented by the suffix at its least hash of `probe` bytes (the
     leftmost of equals), so equal strings are represented alike. Rows: doc_id; key,
     the hash of the suffix's first bytes; context, the hash of all bytes of the
-    strings represented; lo and n, those strings' starts (lo to lo + n - 1); again,
-    where an earlier row of the same slice of texts has the same context.
+    strings represented; and
+    place, which holds those strings' starts, lo to lo + n - 1, and whether an earlier
+    row of the same slice of texts has the same context (`_suffix_rows`).
     """
+    if not probe <= length < 1 << 15:
+        raise ValueError("the strings must be longer than the probe, and below 32768 bytes")
     reach = length - probe + 1
 
     def run(batches):
@@ -166,7 +170,7 @@ def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
     every document has is a stream of short rows; a task keeps each context once, and
     its memory is set by the number of partitions.
     """
-    spread = F.when(F.col("again"), F.xxhash64("doc_id", "lo")).otherwise(F.col("key"))
+    spread = F.when(F.col("place") < 0, F.xxhash64("doc_id", "place")).otherwise(F.col("key"))
     count = tables.parallelism(suffixes)
 
     def run(batches):
@@ -176,10 +180,11 @@ def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
         def scan():
             nonlocal before
             table = pa.Table.from_batches(waiting)
-            again = table["again"].to_numpy()
-            ids, keys, contexts, lo, n = (
-                table[c].to_numpy() for c in ("doc_id", "key", "context", "lo", "n")
-            )
+            ids, keys, place = (table[c].to_numpy() for c in ("doc_id", "key", "place"))
+            contexts = table["context"].to_numpy() if "context" in table.schema.names else keys
+            again = place < 0
+            place = np.where(again, ~place, place)
+            lo, n = place >> 16, (place & 0xFFFF).astype(np.int32)
             yield ids[again], lo[again], n[again], True
             ids, keys, contexts, lo, n = (x[~again] for x in (ids, keys, contexts, lo, n))
             fields = np.stack([ids, lo, contexts], axis=1)
@@ -223,7 +228,7 @@ def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
 
     return (
         suffixes.repartition(count, spread)
-        .sortWithinPartitions("doc_id", "lo", "context")
+        .sortWithinPartitions("doc_id", "place", "key")
         .mapInArrow(run, _MATCHES)
     )
 
@@ -250,10 +255,10 @@ def _single_strings(docs: DataFrame, open_rows: DataFrame, length: int) -> DataF
             start = bounds[owner] + at
             code = textops.Hasher(content).of(start, start + length)
             yield _suffix_rows(
-                batch.column("doc_id").to_numpy()[owner], code, code, at, np.ones(len(at))
+                batch.column("doc_id").to_numpy()[owner], code, None, at, np.ones(len(at), np.int64)
             )
 
-    return docs.join(_listed(open_rows), "doc_id", "left").mapInArrow(run, _SUFFIXES)
+    return docs.join(_listed(open_rows), "doc_id", "left").mapInArrow(run, _STRINGS)
 
 
 def deduplicate(
