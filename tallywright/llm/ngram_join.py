@@ -199,6 +199,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Tokens by which two members of the group around a hub can know each other.
+
+    Let D be a set's symmetric difference from the hub's, and B the most by which it
+    may differ from any linked set. Two linked sets in different components share more
+    than |D| - B tokens of D, at least one: else they would differ by no more than
+    both do from the hub together, and both be linked with it. So the first
+    |D| - max(1, |D| - B) + 1 of them in a common order are enough to meet at; those
+    that the hub lacks, mostly a set's own, come first. Rows: hub, token, a, n,
+    component.
+    """
+
+    def run(batches):
+        for batch in batches:
+            hubs, tokens, names, sizes, groups = [], [], [], [], []
+            rows = zip(
+                batch.column("a").to_pylist(), batch.column("b").to_pylist(),
+                batch.column("component").to_pylist(), batch.column("set_a"), batch.column("set_b"),
+            )
+            for a, b, component, x, y in rows:
+                one = np.frombuffer(x.as_buffer(), np.uint64)
+                hub = np.frombuffer(y.as_buffer(), np.uint64)
+                own = np.setdiff1d(one, hub, assume_unique=True)
+                lost = np.setdiff1d(hub, one, assume_unique=True)
+                d = np.concatenate([np.sort(own), np.sort(lost)])
+                most = (100 - percent) * (len(one) + len(one) * 100 // percent) // (100 + percent)
+                d = d[: len(d) - max(1, len(d) - most) + 1]
+                hubs.append(np.full(len(d), b))
+                tokens.append(d)
+                names.append(np.full(len(d), a))
+                sizes.append(np.full(len(d), len(one)))
+                groups.append(np.full(len(d), component))
+            if hubs:
+                joined = [np.concatenate(c) for c in (hubs, tokens, names, sizes, groups)]
+                joined[1] = joined[1].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in joined], ["hub", "token", "a", "n", "component"]
+                )
+
+    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("set_a"))
+    other = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
+    rows = pairs.join(one, "a").join(other, "b").select("a", "b", "component", "set_a", "set_b")
+    return rows.mapInArrow(
+        run, "hub bigint, token bigint, a bigint, n bigint, component bigint"
+    )
+
+
 def link(
     docs: DataFrame,
     width: int = WORDS,
@@ -217,15 +264,15 @@ def link(
 
     Signatures of segments (`Bands`, `_signatures`) are shuffled once, so that every
     linked pair shares one. Each document is first compared with the least document of
-    each of its signatures, which joins most copies; then those that share a
-    signature but lie in different components, the members of smaller ones against
-    all, and nothing is left out. Only documents that share a signature have their
+    each of its signatures (the hub), which joins most copies. Members of a signature's
+    group that still lie in different components can only be linked if they differ
+    from the hub in some of the same tokens (`_differences`): those that do are
+    compared, and nothing is left out. Only documents that share a signature have their
     sets computed again for that. Equality is that of 64-bit hashes of the shingles.
     """
     key = F.coalesce(F.col(id_column), F.lit(_NO_ID))
     plain = docs.select(key.alias("doc_id"), F.col(text_column).alias("text"))
     marked = tables.settled(_fingerprinted(plain, width, percent), "signatures")
-    sets_of = F.when(F.col("n") > 0, F.struct("one", "two", "n"))
     heads = marked.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("class_id"))
     classes = tables.settled(
         marked.select("doc_id", "n", "one", "two").join(heads, ["one", "two", "n"], "left").select(
@@ -271,21 +318,21 @@ def link(
     links = tables.settled(_verified(near, sets, percent), "links")
     nodes = components(links)
 
-    placed = shared.join(nodes.select(F.col("node").alias("a"), "component"), "a", "left").select(
-        "signature", "a", "n", F.coalesce("component", "a").alias("component")
-    )
-    sizes = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
+    placed = shared.join(heads_of, "hub").join(
+        nodes.select(F.col("node").alias("a"), "component"), "a", "left"
+    ).select("signature", "a", F.coalesce("component", "a").alias("component"), "b")
     open_ = (
-        sizes.groupBy("signature")
-        .agg(F.max_by("component", F.col("members")).alias("major"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
+        placed.groupBy("signature")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        .where("x < y")
+        .select("signature")
     )
-    placed = tables.settled(placed.join(open_.drop("parts"), "signature"), "placed")
-    few = placed.where("component <> major").select("signature", "a", "n", "component", "major")
-    all_ = placed.select("signature", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    placed = placed.join(open_, "signature").where("a <> b").select("a", "b", "component").distinct()
+    differing = tables.settled(_differences(placed, sets, percent), "differences")
+    other = differing.select("hub", "token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     rest = (
-        few.join(all_, "signature")
-        .where("component <> other AND (other = major OR a < b)")
+        differing.join(other, ["hub", "token"])
+        .where("a < b AND component <> other")
         .where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
         .select("a", "b")
         .distinct()
