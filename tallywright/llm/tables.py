@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame
 
 from tallywright.session import shared_folder
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet and read again.
 
-    What follows doesn't compute them anew, also after an executor is lost.
+    What follows doesn't compute them anew, also after an executor is lost. The shuffle
+    files behind them have served their purpose and go with the write.
     """
-    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def parallelism(frame: DataFrame) -> int:
