@@ -20,6 +20,8 @@ PERCENT = 80
 _NO_ID = -(1 << 63)
 _COLLISION_COST = 10.0
 _NO_WORD = np.uint64(0x1234567)
+SKETCH = 128  # cells of a set's counts by hash
+_PAIRS = 1 << 15
 
 
 def shingle_sets(content: np.ndarray, bounds: np.ndarray, width: int):
@@ -124,6 +126,10 @@ def _fingerprinted(docs: DataFrame, width: int, percent: int) -> DataFrame:
             found = [_signatures(values[a:b], bands) if b > a else values[:0] for a, b in zip(edges[:-1], edges[1:])]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             joined = np.concatenate(found) if found else values[:0]
+            owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            cells = (owner * SKETCH) + (values & np.uint64(SKETCH - 1)).astype(np.int64)
+            sketch = np.bincount(cells, minlength=(len(edges) - 1) * SKETCH).reshape(-1, SKETCH)
+            sketch = np.minimum(sketch, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -131,12 +137,14 @@ def _fingerprinted(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined.view(np.int64))),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()),
                 ],
-                ["doc_id", "n", "one", "two", "signatures"],
+                ["doc_id", "n", "one", "two", "signatures", "sketch"],
             )
 
     return docs.mapInArrow(
-        run, "doc_id bigint, n bigint, one bigint, two bigint, signatures array<bigint>"
+        run,
+        "doc_id bigint, n bigint, one bigint, two bigint, signatures array<bigint>, sketch binary",
     )
 
 
@@ -199,50 +207,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Tokens by which two members of the group around a hub can know each other.
+def _near(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets may be linked, by their sizes and sketches.
 
-    Let D be a set's symmetric difference from the hub's, and B the most by which it
-    may differ from any linked set. Two linked sets in different components share more
-    than |D| - B tokens of D, at least one: else they would differ by no more than
-    both do from the hub together, and both be linked with it. So the first
-    |D| - max(1, |D| - B) + 1 of them in a common order are enough to meet at; those
-    that the hub lacks, mostly a set's own, come first. Rows: hub, token, a, n,
-    component.
+    Sets differ in at least as many tokens as their counts by cell do, and linked ones
+    in no more than (1 - similarity) / (1 + similarity) of both sizes.
     """
+    apart = (np.maximum(one, other) - np.minimum(one, other)).sum(axis=-1, dtype=np.int64)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (
+        apart * (100 + percent) <= (100 - percent) * (n + m)
+    )
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    content, _ = textops.flat(column)
+    return content.reshape(-1, SKETCH)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out."""
 
     def run(batches):
         for batch in batches:
-            hubs, tokens, names, sizes, groups = [], [], [], [], []
-            rows = zip(
-                batch.column("a").to_pylist(), batch.column("b").to_pylist(),
-                batch.column("component").to_pylist(), batch.column("set_a"), batch.column("set_b"),
+            keep = _near(
+                _matrix(batch.column("x")), _matrix(batch.column("y")),
+                batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent,
             )
-            for a, b, component, x, y in rows:
-                one = np.frombuffer(x.as_buffer(), np.uint64)
-                hub = np.frombuffer(y.as_buffer(), np.uint64)
-                own = np.setdiff1d(one, hub, assume_unique=True)
-                lost = np.setdiff1d(hub, one, assume_unique=True)
-                d = np.concatenate([np.sort(own), np.sort(lost)])
-                most = (100 - percent) * (len(one) + len(one) * 100 // percent) // (100 + percent)
-                d = d[: len(d) - max(1, len(d) - most) + 1]
-                hubs.append(np.full(len(d), b))
-                tokens.append(d)
-                names.append(np.full(len(d), a))
-                sizes.append(np.full(len(d), len(one)))
-                groups.append(np.full(len(d), component))
-            if hubs:
-                joined = [np.concatenate(c) for c in (hubs, tokens, names, sizes, groups)]
-                joined[1] = joined[1].view(np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sketches.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x"))
+    other = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(
+        run, "a bigint, b bigint"
+    )
+
+
+def _meetings(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a signature's members in different components that may be linked.
+
+    Members outside a group's largest component meet all others, by matrix operations
+    in the task that streams the groups; only pairs that pass the sketches come out.
+    """
+    count = tables.parallelism(members)
+
+    def group(rows: pa.Table):
+        part, ids = rows["component"].to_numpy(), rows["a"].to_numpy()
+        n, sketch = rows["n"].to_numpy(), _matrix(rows["sketch"])
+        names, sizes = np.unique(part, return_counts=True)
+        if len(names) < 2:
+            return
+        major = names[sizes.argmax()]
+        step = max(1, _PAIRS // len(ids))
+        few = np.flatnonzero(part != major)
+        for at in range(0, len(few), step):
+            i = few[at : at + step]
+            ok = _near(sketch[i][:, None, :], sketch[None, :, :], n[i][:, None], n[None, :], percent)
+            ok &= part[i][:, None] != part[None, :]
+            x, y = np.nonzero(ok)
+            if len(x):
+                a, b = ids[i[x]], ids[y]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in joined], ["hub", "token", "a", "n", "component"]
+                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
                 )
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("set_a"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
-    rows = pairs.join(one, "a").join(other, "b").select("a", "b", "component", "set_a", "set_b")
-    return rows.mapInArrow(
-        run, "hub bigint, token bigint, a bigint, n bigint, component bigint"
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            s = batch.column("signature").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]]).tolist()
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b == a:
+                    continue
+                if held and held[-1].column("signature")[0].as_py() != s[a]:
+                    yield from group(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from group(pa.Table.from_batches(held))
+
+    return (
+        members.repartition(count, "signature").sortWithinPartitions("signature").mapInArrow(run, "a bigint, b bigint")
     )
 
 
@@ -264,11 +308,11 @@ def link(
 
     Signatures of segments (`Bands`, `_signatures`) are shuffled once, so that every
     linked pair shares one. Each document is first compared with the least document of
-    each of its signatures (the hub), which joins most copies. Members of a signature's
-    group that still lie in different components can only be linked if they differ
-    from the hub in some of the same tokens (`_differences`): those that do are
-    compared, and nothing is left out. Only documents that share a signature have their
-    sets computed again for that. Equality is that of 64-bit hashes of the shingles.
+    each of its signatures, which joins most copies; then members of a signature's
+    group that still lie in different components with each other. Sizes and small
+    sketches of the sets rule most pairs out before any set is fetched, without losing
+    a link, and no pair that they rule out leaves a task. Only documents of the pairs left have their sets
+    computed again. Equality is that of 64-bit hashes of the shingles.
     """
     key = F.coalesce(F.col(id_column), F.lit(_NO_ID))
     plain = docs.select(key.alias("doc_id"), F.col(text_column).alias("text"))
@@ -290,13 +334,9 @@ def link(
         "shared",
     )
     heads_of = to_class.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("b"))
-    near = tables.settled(
-        shared.select("a", "hub").distinct().join(heads_of, "hub").where("a <> b").select("a", "b").distinct(),
-        "stars",
-    )
-    many = shared.groupBy("signature").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("signature")
-    shared = shared.join(many, "signature")
-    wanted = shared.select(F.col("a").alias("doc_id")).distinct()
+    sketches = marked.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    near = shared.select("a", "hub").distinct().join(heads_of, "hub").where("a <> b").select("a", "b").distinct()
+    near = tables.settled(_plausible(near, sketches, percent), "stars")
 
     def token_sets(batches):
         for batch in textops.slices(batches):
@@ -309,37 +349,29 @@ def link(
                 ["doc_id", "tokens"],
             )
 
-    sets = tables.settled(
-        plain.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(token_sets, "doc_id bigint, tokens binary")
-        .dropDuplicates(["doc_id"]),
-        "sets",
-    )
-    links = tables.settled(_verified(near, sets, percent), "links")
-    nodes = components(links)
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = plain.join(wanted, "doc_id", "left_semi").mapInArrow(token_sets, "doc_id bigint, tokens binary")
+        sets = tables.settled(sets.dropDuplicates(["doc_id"]), "sets")
+        return tables.settled(_verified(pairs, sets, percent), "links")
 
-    placed = shared.join(heads_of, "hub").join(
+    links = verified(near)
+    nodes = components(links)
+    placed = shared.select("signature", "a", "n").join(
         nodes.select(F.col("node").alias("a"), "component"), "a", "left"
-    ).select("signature", "a", F.coalesce("component", "a").alias("component"), "b")
+    ).withColumn("component", F.coalesce("component", "a"))
     open_ = (
         placed.groupBy("signature")
         .agg(F.min("component").alias("x"), F.max("component").alias("y"))
         .where("x < y")
         .select("signature")
     )
-    placed = placed.join(open_, "signature").where("a <> b").select("a", "b", "component").distinct()
-    differing = tables.settled(_differences(placed, sets, percent), "differences")
-    other = differing.select("hub", "token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = (
-        differing.join(other, ["hub", "token"])
-        .where("a < b AND component <> other")
-        .where(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
-        .select("a", "b")
-        .distinct()
-    )
+    members = placed.join(open_, "signature").distinct().join(
+        sketches.select(F.col("doc_id").alias("a"), "sketch"), "a"
+    ).select("signature", "a", "n", "component", "sketch")
+    rest = _meetings(members, percent).distinct()
     rest = tables.settled(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    more = tables.settled(_verified(rest, sets, percent), "links")
-    nodes = components(links.unionByName(more))
+    nodes = components(links.unionByName(verified(rest)))
     result = classes.join(nodes.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     shown = lambda c: F.when(c != _NO_ID, c)
     return result.select(
