@@ -187,10 +187,23 @@ def _shared(signatures: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their exact intersection."""
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by their exact intersection.
 
-    def run(batches):
+    The set of each a is made where its text is and sent to the sets of its partners;
+    b should be the side with fewer different documents.
+    """
+
+    def token_sets(batches):
+        for batch in textops.slices(batches):
+            values, edges = shingle_sets(*textops.flat(batch.column("text")), width)
+            found = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.drop_columns(["text"]).columns, pa.array(found, pa.binary())],
+                [*batch.drop_columns(["text"]).schema.names, "tokens"],
+            )
+
+    def compare(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
@@ -200,11 +213,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("set_a"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(
-        run, "a bigint, b bigint"
+    partners = pairs.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners"))
+    one = (
+        docs.join(partners, "doc_id")
+        .select("doc_id", "partners", "text")
+        .mapInArrow(token_sets, "doc_id bigint, partners array<bigint>, tokens binary")
+        .select(F.col("doc_id").alias("a"), F.explode("partners").alias("b"), F.col("tokens").alias("set_a"))
+    )
+    other = (
+        docs.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        .select("doc_id", "text")
+        .mapInArrow(token_sets, "doc_id bigint, tokens binary")
+        .select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
     )
+    found = one.join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint")
+    return tables.settled(found.distinct(), "links")
 
 
 def _near(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -338,24 +361,15 @@ def link(
     near = shared.select("a", "hub").distinct().join(heads_of, "hub").where("a <> b").select("a", "b").distinct()
     near = tables.settled(_plausible(near, sketches, percent), "stars")
 
-    def token_sets(batches):
-        for batch in textops.slices(batches):
-            values, edges = shingle_sets(*textops.flat(batch.column("text")), width)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
-                ],
-                ["doc_id", "tokens"],
-            )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = plain.join(wanted, "doc_id", "left_semi").mapInArrow(token_sets, "doc_id bigint, tokens binary")
-        sets = tables.settled(sets.dropDuplicates(["doc_id"]), "sets")
-        return tables.settled(_verified(pairs, sets, percent), "links")
-
-    links = verified(near)
+    # a document's least partner first: it mostly joins them, and the others need no check
+    links = _verified(near.groupBy("a").agg(F.min("b").alias("b")), plain, width, percent)
+    nodes = components(links)
+    place = nodes.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    other = nodes.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    apart = near.join(place, "a", "left").join(other, "b", "left").where(
+        "coalesce(x, a) <> coalesce(y, b)"
+    ).select("a", "b")
+    links = links.unionByName(_verified(apart, plain, width, percent)).distinct()
     nodes = components(links)
     placed = shared.select("signature", "a", "n").join(
         nodes.select(F.col("node").alias("a"), "component"), "a", "left"
@@ -371,7 +385,7 @@ def link(
     ).select("signature", "a", "n", "component", "sketch")
     rest = _meetings(members, percent).distinct()
     rest = tables.settled(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    nodes = components(links.unionByName(verified(rest)))
+    nodes = components(links.unionByName(_verified(rest, plain, width, percent)))
     result = classes.join(nodes.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     shown = lambda c: F.when(c != _NO_ID, c)
     return result.select(
