@@ -56,7 +56,10 @@ def _col(column: Column | str) -> Column:
 
 
 def fill(template: str, **fields: Column) -> Column:
-    """Concatenate a template's fixed parts with columns for its {fields}."""
+    """Concatenate a template's fixed parts with columns for its {fields}.
+
+    A missing field leaves its place empty rather than making all of it missing.
+    """
     parts: list[Column] = []
     rest = template
     while rest:
@@ -65,7 +68,7 @@ def fill(template: str, **fields: Column) -> Column:
             parts.append(F.lit(fixed))
         if opened:
             name, _, rest = rest.partition("}")
-            parts.append(fields[name].cast("string"))
+            parts.append(F.coalesce(fields[name].cast("string"), F.lit("")))
     return F.concat(*parts)
 
 

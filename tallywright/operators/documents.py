@@ -16,7 +16,7 @@ NO_INSIGHTS = "Unable to generate insights: no response"
 
 def suffix(file_name: Column) -> Column:
     """Last extension with its dot, in its own case; '' when there is none."""
-    return F.regexp_extract(file_name, r"[^./](\.[^./]+)$", 1)
+    return F.regexp_extract(file_name, r"[^/](\.[^./]+)$", 1)
 
 
 def doc_type(df: DataFrame, file_name: str, strict: bool = False) -> DataFrame:
@@ -120,9 +120,13 @@ def attach_responses(
     response: str = "response",
     fallback: str = NO_INSIGHTS,
 ) -> DataFrame:
-    """Left join model output to its document; the fallback text if there is none."""
-    answers = responses.select(
-        cells.name(doc), cells.name(response).cast("string").alias("_response")
+    """Left join model output to its document; the fallback text if there is none.
+
+    Of several responses to a document the last in the order of their text is taken,
+    so documents are never multiplied.
+    """
+    answers = responses.groupBy(cells.name(doc).alias(doc)).agg(
+        F.max(cells.name(response).cast("string")).alias("_response")
     )
     return (
         docs.join(answers, doc, "left")

@@ -33,6 +33,10 @@ def _numeric_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]):
         *[cells.name(k).alias(f"key{i}") for i, k in enumerate(keys)],
         *[cells.present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)],
     )
+    if not columns:
+        return clean.where("false").select(
+            "*", F.lit(0).alias("position"), F.lit(0.0).alias("value")
+        )
     entries = ", ".join(f"{i}, v{i}" for i in range(len(columns)))
     return clean.selectExpr(
         *[f"key{i}" for i in range(len(keys))],
@@ -48,10 +52,9 @@ def _missing_counts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
 
 
 def _sum(columns: Sequence[Column]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for c in columns:
-        total = total + c
-    return total
+    # one expression for any number of columns: a chain of additions nests too deep
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(F.array(*columns), zero, lambda a, x: a + x) if columns else zero
 
 
 def completeness_of(missing: Column, cells_total: Column) -> Column:
@@ -126,14 +129,14 @@ def infer_types(df: DataFrame) -> DataFrame:
     of cells occur; a table without text columns is not read at all.
     """
     text = cells.categorical_columns(df)
-    names = _column_table(df, df.columns)
-    declared = F.lit(None).cast("string")
-    for field in df.schema:
-        kind = cells.declared_kind(field.dataType)
-        if kind is not None:
-            declared = F.when(
-                F.col("column_name") == field.name, F.lit(kind)
-            ).otherwise(declared)
+    kinds = [cells.declared_kind(f.dataType) for f in df.schema]
+    table = F.arrays_zip(
+        F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("name"),
+        F.array(*[F.lit(k) for k in kinds]).cast("array<string>").alias("kind"),
+    )
+    names = df.sparkSession.range(1).select(F.posexplode(table).alias("position", "x"))
+    names = names.select("position", F.col("x.name").alias("column_name"), F.col("x.kind").alias("declared"))
+    declared = F.col("declared")
     if not text:
         return names.select("position", "column_name", declared.alias("inferred_type"))
     found = df.agg(

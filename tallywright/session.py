@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
@@ -14,10 +15,12 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every machine sees, as the cluster names it.
 
-    Only where the setting is absent, as on a single machine in tests, a fresh
-    temporary folder stands in.
+    Only on a local master, as in tests, a fresh temporary folder stands in; a
+    cluster without the setting is refused, since its machines share no such folder.
     """
     named = spark.conf.get(_SETTING, None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{_SETTING} must name a folder that all machines see")
     return named or tempfile.mkdtemp(prefix="tallywright-")
 
 

@@ -25,37 +25,72 @@ SUMMARY_ENDING = "_summary.txt"
 # --- end of fixed values ----------------------------------------------------
 
 
+def _file_name(path: str = "path"):
+    """The last part of a path, as it is (reader metadata holds it encoded)."""
+    return F.regexp_extract(F.col(path), r"([^/]+)$", 1)
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_name, text): whole files, UTF-8 or else Latin-1.
 
     A file with any invalid UTF-8 sequence is read as Latin-1 altogether. Line
-    ends become ``\\n``, as Python's text mode makes them. Spark's readers pass
-    over files without bytes, so an empty file has no row.
+    ends become ``\\n``, as Python's text mode makes them. A file without bytes is
+    an empty text. Spark's readers don't open names starting with ``_`` or ``.``;
+    such a file with content fails the call with its name.
     """
+    listed = _listing(spark, path)
+    shut = sorted(r[0] for r in listed if r[2] and r[0].startswith(("_", ".")))
+    if shut:
+        raise ValueError(f"files that Spark's readers pass over: {', '.join(shut)}")
+    empty = _frame(spark, [r for r in listed if not r[2]]).select(
+        "path", "file_name", F.lit("").alias("text")
+    )
+    if all(not r[2] for r in listed):
+        return empty
     files = spark.read.format("binaryFile").load(path)
     as_utf8 = F.col("content").cast("string")
     content = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(
         F.decode("content", "ISO-8859-1")
     )
-    return files.select(
+    return files.filter("length > 0").select(
         "path",
-        F.col("_metadata.file_name").alias("file_name"),
+        _file_name().alias("file_name"),
         F.regexp_replace(content, r"\r\n?", "\n").alias("text"),
+    ).unionByName(empty)
+
+
+def _listing(spark: SparkSession, path: str) -> list[tuple[str, str, int, int]]:
+    """(name, path, bytes, modified in ms) of every file of a folder or pattern.
+
+    The listing is the file system's own, as Spark's index takes it on the driver,
+    but with empty files and with names that Spark's readers leave out.
+    """
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for start in system.globStatus(place) or []:
+        for status in [start] if start.isFile() else system.listStatus(start.getPath()):
+            if status.isFile():
+                at = status.getPath()
+                found.append(
+                    (at.getName(), at.toString(), status.getLen(), status.getModificationTime())
+                )
+    return found
+
+
+def _frame(spark: SparkSession, listed: list[tuple[str, str, int, int]]) -> DataFrame:
+    rows = spark.createDataFrame(
+        listed, "file_name string, path string, size_bytes bigint, modified bigint"
+    )
+    return rows.select(
+        "file_name", "path", "size_bytes", F.timestamp_millis("modified").alias("modified_at")
     )
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, path, size_bytes, modified_at) without opening the files."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("path"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified_at"),
-        )
-    )
+    """(file_name, path, size_bytes, modified_at) of every file, none left out."""
+    return _frame(spark, _listing(spark, path))
 
 
 def _whole_json(spark: SparkSession, path: str, schema: T.StructType | str):
@@ -74,7 +109,8 @@ def read_metadata_json(
 
     Adds ``name``, the file the sidecar belongs to.
     """
-    owner = F.regexp_replace(F.col("_metadata.file_name"), r"\.meta\.json$", "")
+    whole = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
+    owner = F.regexp_replace(whole, r"\.meta\.json$", "")
     return _whole_json(spark, path, schema).select("*", owner.alias("name"))
 
 
@@ -172,6 +208,7 @@ def write_reports(
     that suits a handful of reports, not millions.
     """
     if as_text:
+        reports = reports.select("content", "report_type", "report_key")
         reports.write.mode(mode).partitionBy("report_type", "report_key").text(path)
     else:
         reports.write.mode(mode).partitionBy("report_type").parquet(path)
