@@ -38,7 +38,9 @@ def read_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     items.write.partitionBy("item_id").text(folder)
     item = F.regexp_extract("path", r"item_id=([0-9]+)/", 1).cast("bigint")
-    return files.read_text_files(spark, folder).select(item.alias("item_id"), "text")
+    # without the writer's own empty marker
+    read = files.read_text_files(spark, folder).where("file_name <> '_SUCCESS'")
+    return read.select(item.alias("item_id"), "text")
 
 
 def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,6 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     empty = _frame(spark, [r for r in listed if not r[2]]).select(
         "path", "file_name", F.lit("").alias("text")
     )
-    if all(not r[2] for r in listed):
-        return empty
     files = spark.read.format("binaryFile").load(path)
     as_utf8 = F.col("content").cast("string")
     content = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(
