@@ -20,8 +20,7 @@ PERCENT = 80
 _NO_ID = -(1 << 63)
 _COLLISION_COST = 10.0
 _NO_WORD = np.uint64(0x1234567)
-SKETCH = 128  # cells of a set's counts by hash
-_PAIRS = 1 << 15
+_CELLS = 1 << 22
 
 
 def shingle_sets(content: np.ndarray, bounds: np.ndarray, width: int):
@@ -126,10 +125,7 @@ def _fingerprinted(docs: DataFrame, width: int, percent: int) -> DataFrame:
             found = [_signatures(values[a:b], bands) if b > a else values[:0] for a, b in zip(edges[:-1], edges[1:])]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             joined = np.concatenate(found) if found else values[:0]
-            owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-            cells = (owner * SKETCH) + (values & np.uint64(SKETCH - 1)).astype(np.int64)
-            sketch = np.bincount(cells, minlength=(len(edges) - 1) * SKETCH).reshape(-1, SKETCH)
-            sketch = np.minimum(sketch, 255).astype(np.uint8)
+            sketches = [_sketch(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -137,7 +133,7 @@ def _fingerprinted(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined.view(np.int64))),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    pa.array(sketches, pa.binary()),
                 ],
                 ["doc_id", "n", "one", "two", "signatures", "sketch"],
             )
@@ -230,32 +226,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return tables.settled(found.distinct(), "links")
 
 
-def _near(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Counts of a set by the last bits of its hashes, one or two tokens to a cell."""
+    cells = 1 << max(5, int(len(tokens) - 1).bit_length() - 1)
+    counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _aligned(sketches: list[bytes]) -> np.ndarray:
+    """Sketches in rows; longer ones are folded to the shortest one's cells."""
+    cells = min(map(len, sketches), default=1)
+    rows = [np.frombuffer(x, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32) for x in sketches]
+    return np.stack(rows) if rows else np.zeros((0, cells), np.int32)
+
+
+def _near(one: np.ndarray, other: np.ndarray, n, m, percent: int) -> np.ndarray:
     """Whether sets may be linked, by their sizes and sketches.
 
     Sets differ in at least as many tokens as their counts by cell do, and linked ones
     in no more than (1 - similarity) / (1 + similarity) of both sizes.
     """
-    apart = (np.maximum(one, other) - np.minimum(one, other)).sum(axis=-1, dtype=np.int64)
+    apart = np.abs(one - other).sum(axis=-1, dtype=np.int64)
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (
         apart * (100 + percent) <= (100 - percent) * (n + m)
     )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    content, _ = textops.flat(column)
-    return content.reshape(-1, SKETCH)
-
-
 def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches don't rule out."""
 
     def run(batches):
         for batch in batches:
-            keep = _near(
-                _matrix(batch.column("x")), _matrix(batch.column("y")),
-                batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent,
-            )
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            keep = [bool(_near(*_aligned([x, y]), n, m, percent)) for x, y, n, m in zip(*columns)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = sketches.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x"))
@@ -275,23 +278,27 @@ def _meetings(members: DataFrame, percent: int) -> DataFrame:
 
     def group(rows: pa.Table):
         part, ids = rows["component"].to_numpy(), rows["a"].to_numpy()
-        n, sketch = rows["n"].to_numpy(), _matrix(rows["sketch"])
+        n = rows["n"].to_numpy()
         names, sizes = np.unique(part, return_counts=True)
         if len(names) < 2:
             return
         major = names[sizes.argmax()]
-        step = max(1, _PAIRS // len(ids))
+        sketch = _aligned(rows["sketch"].to_pylist())
         few = np.flatnonzero(part != major)
+        wide = max(1, _CELLS // sketch.shape[1])
+        step = max(1, wide // len(ids))
         for at in range(0, len(few), step):
             i = few[at : at + step]
-            ok = _near(sketch[i][:, None, :], sketch[None, :, :], n[i][:, None], n[None, :], percent)
-            ok &= part[i][:, None] != part[None, :]
-            x, y = np.nonzero(ok)
-            if len(x):
-                a, b = ids[i[x]], ids[y]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
-                )
+            for j in range(0, len(ids), wide):
+                other = slice(j, j + wide)
+                ok = _near(sketch[i][:, None, :], sketch[None, other, :], n[i][:, None], n[None, other], percent)
+                ok &= part[i][:, None] != part[None, other]
+                x, y = np.nonzero(ok)
+                if len(x):
+                    a, b = ids[i[x]], ids[other][y]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
+                    )
 
     def run(batches):
         held: list[pa.RecordBatch] = []
