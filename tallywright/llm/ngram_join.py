@@ -357,9 +357,12 @@ def link(
     exploded = marked.select("doc_id", F.explode("signatures").alias("signature"))
     shared = _shared(exploded)
     to_class = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n").alias("n"))
+    # a document's rows travel together: the join has a row for each document
+    held = shared.groupBy("doc_id").agg(F.collect_list(F.struct("signature", "hub")).alias("held"))
     shared = tables.settled(
-        shared.join(to_class, "doc_id")
-        .select("signature", F.col("class_id").alias("a"), "n", "hub")
+        held.join(to_class, "doc_id")
+        .select(F.col("class_id").alias("a"), "n", F.inline("held"))
+        .select("signature", "a", "n", "hub")
         .distinct(),
         "shared",
     )
