@@ -105,8 +105,9 @@ def lead_words(text: Column | str, count: Column | int) -> Column:
     return F.array_join(F.slice(words, F.lit(1), size), " ")
 
 
-def truncate(text: Column | str, chars: int = INPUT_CHARS) -> Column:
-    return F.substring(_col(text), 1, chars)
+def truncate(text: Column | str, chars: int | None = INPUT_CHARS) -> Column:
+    """The first ``chars`` characters; all of them for None."""
+    return _col(text) if chars is None else F.substring(_col(text), 1, chars)
 
 
 def preview(text: Column | str, chars: int = PREVIEW_CHARS) -> Column:
@@ -125,15 +126,21 @@ def summary_budget(label: Column | str) -> Column:
 
 
 def summary_prompt(
-    text: Column | str, words: Column | int = SUMMARY_WORDS_DEFAULT
+    text: Column | str,
+    words: Column | int = SUMMARY_WORDS_DEFAULT,
+    chars: int | None = INPUT_CHARS,
 ) -> Column:
     words = words if isinstance(words, Column) else F.lit(words)
-    return fill(SUMMARY_PROMPT, words=words, text=truncate(text, INPUT_CHARS))
+    return fill(SUMMARY_PROMPT, words=words, text=truncate(text, chars))
 
 
-def insight_prompt(summary: Column | str, report_type: Column | str) -> Column:
+def insight_prompt(
+    summary: Column | str,
+    report_type: Column | str,
+    chars: int | None = INSIGHT_CHARS,
+) -> Column:
     kind = F.lit(report_type) if isinstance(report_type, str) else report_type
-    return fill(INSIGHT_PROMPT, type=kind, text=truncate(summary, INSIGHT_CHARS))
+    return fill(INSIGHT_PROMPT, type=kind, text=truncate(summary, chars))
 
 
 def clean_response(response: Column | str) -> Column:

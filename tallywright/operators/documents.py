@@ -54,7 +54,7 @@ def text_preview(df: DataFrame, content: str = "text") -> DataFrame:
 
 
 def truncate_input(
-    df: DataFrame, content: str = "text", chars: int = text.INPUT_CHARS
+    df: DataFrame, content: str = "text", chars: int | None = text.INPUT_CHARS
 ) -> DataFrame:
     return df.withColumn(content, text.truncate(cells.name(content), chars))
 
@@ -68,9 +68,13 @@ def summary_prompts(
     doc: str = "doc_id",
     content: str = "text",
     words: Column | int = text.SUMMARY_WORDS_DEFAULT,
+    chars: int | None = text.INPUT_CHARS,
 ) -> DataFrame:
-    """(doc, prompt): the input table of a batch inference job."""
-    prompt = text.summary_prompt(cells.name(content), words)
+    """(doc, prompt): the input table of a batch inference job.
+
+    A prompt holds the first ``chars`` characters, or the whole text for None.
+    """
+    prompt = text.summary_prompt(cells.name(content), words, chars)
     return df.select(cells.name(doc), prompt.alias("prompt"))
 
 
@@ -79,8 +83,10 @@ def insight_prompts(
     report_type: Column | str,
     doc: str = "doc_id",
     summary: str = "summary",
+    chars: int | None = text.INSIGHT_CHARS,
 ) -> DataFrame:
-    prompt = text.insight_prompt(cells.name(summary), report_type)
+    """(doc, prompt), with the first ``chars`` characters of the summary or, for None, all."""
+    prompt = text.insight_prompt(cells.name(summary), report_type, chars)
     return df.select(cells.name(doc), prompt.alias("prompt"))
 
 

@@ -49,3 +49,12 @@ def test_responses_do_not_multiply(spark):
     responses = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id int, response string")
     got = {r["doc_id"]: r["response"] for r in documents.attach_responses(docs, responses).collect()}
     assert len(got) == 2 and got[1] == "b"
+
+
+def test_prompts_hold_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "x" * 9000, "x" * 9000)], "doc_id int, text string, summary string")
+    count = lambda df: df.first()["prompt"].count("x" * 100)
+    assert count(documents.summary_prompts(docs)) == 40
+    assert count(documents.summary_prompts(docs, chars=None)) == 90
+    assert count(documents.insight_prompts(docs, "executive")) == 10
+    assert count(documents.insight_prompts(docs, "executive", chars=None)) == 90
