@@ -77,19 +77,20 @@ def _running(values: Column, step: int = 128) -> Column:
 
     Arrays only grow by copying, so a long one is summed in blocks.
     """
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / step) - 1, F.lit(0)).cast("int")),
-        lambda i: F.slice(values, i * step + 1, step),
-    )
-    return _let(
-        blocks,
-        lambda b: _let(
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / step) - 1, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * step + 1, step))
+
+    def sums(b: Column) -> Column:
+        return _let(
             _short_running(F.transform(b, lambda x: _sum(x, "int"))),
             lambda before: F.flatten(
                 F.transform(b, lambda x, i: F.transform(_short_running(x), lambda y: y + F.get(before, i)))
             ),
-        ),
-    )
+        )
+
+    return _let(values, lambda v: _let(blocks(v), sums))
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
@@ -100,18 +101,29 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
     """
     none = F.array().cast("array<struct<start:int,end:int,kind:string,found:string>>")
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
-    places = F.zip_with(
-        _running(lengths),
-        F.arrays_zip(gaps.alias("g"), hits.alias("h")),
-        lambda before, x: F.struct(
-            (before + F.length(x["g"])).alias("start"),
-            (before + F.length(x["g"]) + F.length(x["h"])).alias("end"),
-            F.lit(kind).alias("kind"),
-            x["h"].alias("found"),
+    parts = F.zip_with(
+        gaps,
+        hits,
+        lambda g, h: F.struct(
+            F.length(g).alias("gap"), F.coalesce(F.length(h), F.lit(0)).alias("length"), h.alias("found")
         ),
     )
-    return F.when(text.rlike(pattern), F.filter(places, lambda x: x["found"].isNotNull())).otherwise(none)
+
+    def placed(p: Column) -> Column:
+        return F.zip_with(
+            _running(F.transform(p, lambda x: x["gap"] + x["length"])),
+            p,
+            lambda before, x: F.struct(
+                (before + x["gap"]).alias("start"),
+                (before + x["gap"] + x["length"]).alias("end"),
+                F.lit(kind).alias("kind"),
+                x["found"].alias("found"),
+            ),
+        )
+
+    return F.when(
+        text.rlike(pattern), F.filter(_let(parts, placed), lambda x: x["found"].isNotNull())
+    ).otherwise(none)
 
 
 def _base(text: Column) -> Column:
@@ -131,15 +143,18 @@ def _ordered(spans: Column) -> Column:
 
 def _candidates(text: Column, base: Column) -> Column:
     """Long tokens that touch no span of a known form."""
-    return F.filter(
-        _found(text, TOKEN, "random"),
-        lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    return _let(
+        base,
+        lambda base: F.filter(
+            _found(text, TOKEN, "random"),
+            lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+        ),
     )
 
 
 def _normal(z: Column) -> Column:
     """The normal distribution, by a logistic curve (within 0.00015)."""
-    return 1 / (1 + F.exp(-z * (1.5976 + 0.070565992 * z * z)))
+    return _let(z, lambda z: 1 / (1 + F.exp(-z * (1.5976 + 0.070565992 * z * z))))
 
 
 def _floored(p: Column) -> Column:
@@ -162,41 +177,58 @@ def battery(token: Column) -> Column:
     )
     n, size = F.length(token).cast("double"), F.length(alphabet).cast("double")
     chars = F.filter(F.split(token, ""), lambda c: c != "")
+    # each is computed once: a column named twice in a lambda is computed twice
+    return _let(
+        F.struct(n.alias("n"), size.alias("size"), alphabet.alias("alphabet"), chars.alias("chars")),
+        lambda t: _let(
+            F.transform(t["chars"], lambda c: F.instr(t["alphabet"], c).cast("double")),
+            lambda v: _tests(token, t["chars"], t["n"], t["size"], v),
+        ),
+    )
+
+
+def _tests(token: Column, chars: Column, n: Column, size: Column, v: Column) -> Column:
+    """The battery's struct; v are the places of the characters in the alphabet."""
     # the length without a character tells its count
     squares = _sum(
         F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
     )
-    chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-    uniform = 1 - _normal(chi)
-
-    def of_values(v: Column) -> Column:
-        pairs = F.zip_with(F.slice(v, F.lit(1), (n - 1).cast("int")), F.slice(v, F.lit(2), (n - 1).cast("int")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        mean = _sum(v) / n
-        upper = _sum(F.transform(v, lambda x: (2 * x > size).cast("double")))
-        lower = n - upper
-        both = 2 * upper * lower
-
-        def tests(m: Column) -> Column:
-            scatter = _sum(F.transform(v, lambda x: (x - m) * (x - m)))
-            product = _sum(F.transform(pairs, lambda p: (p["a"] - m) * (p["b"] - m)))
-            serial = F.when(scatter > 0, (product / scatter + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
-            turns = 1 + _sum(F.transform(pairs, lambda p: ((2 * p["a"] > size) != (2 * p["b"] > size)).cast("double")))
+    uniform = 1 - _normal((size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n))
+    halves = F.transform(v, lambda x: (2 * x > size).cast("double"))
+
+    def neighbours(values: Column, then: Callable[[Column, Column], Column]) -> Column:
+        rest = F.slice(values, F.lit(2), (n - 1).cast("int"))
+        return _sum(F.zip_with(F.slice(values, F.lit(1), (n - 1).cast("int")), rest, then))
+
+    def two_sided(z: Column) -> Column:
+        return 2 * (1 - _normal(F.abs(z)))
+
+    def correlation(m: Column) -> Column:
+        scatter = _sum(F.transform(v, lambda x: (x - m) * (x - m)))
+        product = neighbours(v, lambda a, b: (a - m) * (b - m))
+        return _let(
+            scatter, lambda s: F.when(s > 0, (product / s + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
+        )
+
+    def turning(h: Column) -> Column:
+        turns = 1 + neighbours(h, lambda a, b: (a != b).cast("double"))
+
+        def of_spread(both: Column) -> Column:
             spread = both * (both - n) / (n * n * (n - 1))
-            runs = F.when(spread > 0, (turns - both / n - 1) / F.sqrt(spread)).otherwise(F.lit(0.0))
-            two_sided = lambda z: 2 * (1 - _normal(F.abs(z)))
-            half = -(F.log(_floored(uniform)) + F.log(_floored(two_sided(runs))) + F.log(_floored(two_sided(serial))))
-            return _let(
-                half,
-                lambda h: F.struct(
-                    n.cast("int").alias("length"),
-                    F.log(2 * h + 1e-9).alias("statistic"),
-                    (F.exp(-h) * (1 + h + h * h / 2)).alias("p"),
-                ),
-            )
+            return F.when(spread > 0, (turns - both / n - 1) / F.sqrt(spread)).otherwise(F.lit(0.0))
 
-        return _let(mean, tests)
+        return _let(_sum(h), lambda upper: _let(2 * upper * (n - upper), of_spread))
 
-    return _let(F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")), of_values)
+    serial, runs = _let(_sum(v) / n, correlation), _let(halves, turning)
+    half = -(F.log(_floored(uniform)) + F.log(_floored(two_sided(runs))) + F.log(_floored(two_sided(serial))))
+    return _let(
+        half,
+        lambda h: F.struct(
+            n.cast("int").alias("length"),
+            F.log(2 * h + 1e-9).alias("statistic"),
+            (F.exp(-h) * (1 + h + h * h / 2)).alias("p"),
+        ),
+    )
 
 
 def _band(length: Column) -> Column:
@@ -220,9 +252,11 @@ def calibrate(docs: DataFrame, text_column: str = "text", false_discoveries: flo
     per band and one number.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    tokens = docs.select(F.explode(_candidates(text, _base(text))).alias("x")).select(
-        battery(F.col("x.found")).alias("b"), F.col("x.found").rlike("^[A-Za-z]+$").alias("word")
+    tested = F.transform(
+        _candidates(text, _base(text)),
+        lambda x: F.struct(battery(x["found"]).alias("b"), x["found"].rlike("^[A-Za-z]+$").alias("word")),
     )
+    tokens = docs.select(F.inline(tested))
     tokens = tables.settled(tokens.select("b.*", "word"), "tokens")
     mean, deviation = _typical(F.col("length"))
     seen = (
