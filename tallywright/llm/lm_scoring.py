@@ -177,8 +177,22 @@ def _trained(words: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
     return pieces
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Small whole numbers as compressed planes of bytes."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(stored: bytes, count: int) -> np.ndarray:
+    planes = pa.decompress(stored, decompressed_size=4 * count, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, count).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def _tokenised(docs: DataFrame) -> DataFrame:
-    """One row per slice of texts: its distinct words, and each text's words by number."""
+    """One row per slice of texts: its distinct words, and each text's words by number.
+
+    The most frequent words have the least numbers, which compress best.
+    """
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -187,7 +201,9 @@ def _tokenised(docs: DataFrame) -> DataFrame:
             content = textops.LOWER[content]
             starts, ends, before = textops.words(content, bounds)
             code = textops.Hasher(content).of(starts, ends)
-            _, first, inner = np.unique(code, return_index=True, return_inverse=True)
+            _, first, inner, uses = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-uses, kind="stable")
+            first, inner = first[order], np.argsort(order)[inner]
             raw = content.tobytes()
             listed = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
@@ -202,7 +218,7 @@ def _tokenised(docs: DataFrame) -> DataFrame:
                     pa.array([ids.to_pylist()], pa.list_(pa.int64())),
                     pa.array([held.tolist()], pa.list_(pa.bool_())),
                     pa.array([before], pa.list_(pa.int64())),
-                    pa.array([inner.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([_squeezed(inner)], pa.binary()),
                 ],
                 ["slice", "words", "counts", "ids", "held", "bounds", "numbers"],
             )
@@ -292,8 +308,8 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
                 else:
                     c, log = np.zeros((2, 0))
                 base = np.log10((c + 1) / (every + distinct + 1))
-                at = np.frombuffer(row.column("numbers")[0].as_py(), "<u4").astype(np.int64)
                 bounds = row.column("bounds")[0].values.to_numpy()
+                at = _unsqueezed(row.column("numbers")[0].as_py(), int(bounds[-1]))
 
                 def per_text(values):
                     if not len(at):
