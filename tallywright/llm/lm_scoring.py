@@ -23,6 +23,7 @@ _MARK = 32  # a word's begin: a blank, which no word holds
 _SLICE = 1 << 23
 _PART = 1 << 20  # a slice is hashed in parts, since hashing takes 40 bytes to a byte
 _WORD_BYTES = 1 << 18
+_BATCH = "16m"
 
 
 @dataclass
@@ -234,6 +235,8 @@ def _tokenised(docs: DataFrame) -> DataFrame:
                 ["slice", "words", "counts", "ids", "held", "bounds", "numbers"],
             )
             number += 1
+            del batch, raw, listed
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(
         run,
@@ -265,6 +268,7 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
     sliced = tables.settled(
         _tokenised(docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))),
         "slices",
+        _BATCH,
     )
     totals = sliced.select(
         F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"),

@@ -9,22 +9,27 @@ from pyspark.sql import DataFrame
 from tallywright.session import shared_folder
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def settled(frame: DataFrame, name: str) -> DataFrame:
+def settled(frame: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     """The rows, written once as Parquet and read again.
 
     What follows doesn't compute them anew, also after an executor is lost. The shuffle
-    files behind them have served their purpose and go with the write.
+    files behind them have served their purpose and go with the write. `batch` bounds
+    the bytes of an Arrow batch meanwhile.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH: batch} if batch else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         frame.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(frame.schema).parquet(path)
 
 
