@@ -21,6 +21,9 @@ _NO_ID = -(1 << 63)
 _COLLISION_COST = 10.0
 _NO_WORD = np.uint64(0x1234567)
 _CELLS = 1 << 22
+GROUP_ROWS = 2048  # members on either side of a comparison in one task
+_CROWD = 16  # blocks outside the largest component from which a second signature pays
+_SECOND = np.uint64(0xA5A5)
 
 
 def shingle_sets(content: np.ndarray, bounds: np.ndarray, width: int):
@@ -268,34 +271,108 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     )
 
 
-def _meetings(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a signature's members in different components that may be linked.
+def _sizes(members: DataFrame) -> DataFrame:
+    """Per open signature: all members, the largest component, members outside of it."""
+    parts = members.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("own"))
+    whole = parts.groupBy("signature").agg(
+        F.sum("own").alias("all"), F.max(F.struct("own", "component")).alias("top")
+    )
+    return whole.select(
+        "signature", "all", F.col("top.component").alias("major"), (F.col("all") - F.col("top.own")).alias("few")
+    ).where("few > 0")
+
+
+def _crowds(members: DataFrame, docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
+    """Members with their group's sizes; crowded groups are split by a second signature.
+
+    Linked sets also share a signature where their hashes are mixed anew, so in a split
+    group strangers that share one signature by chance don't meet.
+    """
+
+    def run(batches):
+        bands = Bands(percent)
+        for batch in textops.slices(batches):
+            values, edges = shingle_sets(*textops.flat(batch.column("text")), width)
+            found = [
+                _signatures(np.sort(textops.mix(values[a:b] ^ _SECOND)), bands).view(np.int64) if b > a else []
+                for a, b in zip(edges[:-1], edges[1:])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["a", "second"]
+            )
 
-    Members outside a group's largest component meet all others, by matrix operations
-    in the task that streams the groups; only pairs that pass the sketches come out.
+    sizes = tables.settled(_sizes(members), "groups")
+    crowded = F.col("few") > _CROWD * rows
+    if sizes.where(crowded).isEmpty():
+        return members.join(sizes, "signature")
+    crowd = members.join(sizes.where(crowded).select("signature"), "signature")
+    texts = docs.join(crowd.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    second = texts.mapInArrow(run, "a bigint, second array<bigint>").select("a", F.explode("second").alias("second"))
+    split = tables.settled(
+        crowd.join(second, "a")
+        .select(F.xxhash64("signature", "second").alias("signature"), "a", "n", "component")
+        .distinct(),
+        "split",
+    )
+    return members.join(sizes.where(~crowded), "signature").unionByName(split.join(_sizes(split), "signature"))
+
+
+def _dealt(sized: DataFrame, rows: int) -> DataFrame:
+    """Members in blocks of about `rows`: a row for each comparison they take part in.
+
+    Those outside the largest component (left) meet all (right), block by block.
     """
-    count = tables.parallelism(members)
+    blocks = lambda c: F.ceil(F.col(c) / rows).cast("bigint")
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    i = F.pmod(F.xxhash64("a", F.lit("left")), blocks("few"))
+    j = F.pmod(F.xxhash64("a", F.lit("right")), blocks("all"))
+    cell = lambda x, y: F.struct(x.alias("i"), y.alias("j"))
+    minor = F.col("component") != F.col("major")
+    met = F.transform(every(blocks("few")), lambda x: cell(x, F.col("own_j")))
+    asks = F.transform(every(blocks("all")), lambda y: cell(F.col("own_i"), y))
+    return (
+        sized.withColumn("own_i", i)
+        .withColumn("own_j", j)
+        .withColumn("at", F.explode(F.when(minor, F.array_union(met, asks)).otherwise(met)))
+        .select(
+            F.xxhash64("signature", "at.i", "at.j").alias("signature"),
+            "a",
+            "n",
+            "component",
+            "sketch",
+            (minor & (F.col("at.i") == F.col("own_i"))).alias("left"),
+            (F.col("at.j") == F.col("own_j")).alias("right"),
+        )
+    )
+
+
+def _meetings(dealt: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a block's left and right members in different components that may be linked.
+
+    They meet by matrix operations in the task that streams the blocks; only pairs that
+    pass the sketches come out.
+    """
+    count = tables.parallelism(dealt)
 
     def group(rows: pa.Table):
         part, ids = rows["component"].to_numpy(), rows["a"].to_numpy()
         n = rows["n"].to_numpy()
-        names, sizes = np.unique(part, return_counts=True)
-        if len(names) < 2:
+        few = np.flatnonzero(rows["left"].to_numpy())
+        all_ = np.flatnonzero(rows["right"].to_numpy())
+        if not len(few) or not len(all_):
             return
-        major = names[sizes.argmax()]
         sketch = _aligned(rows["sketch"].to_pylist())
-        few = np.flatnonzero(part != major)
         wide = max(1, _CELLS // sketch.shape[1])
-        step = max(1, wide // len(ids))
+        step = max(1, wide // len(all_))
         for at in range(0, len(few), step):
             i = few[at : at + step]
-            for j in range(0, len(ids), wide):
-                other = slice(j, j + wide)
-                ok = _near(sketch[i][:, None, :], sketch[None, other, :], n[i][:, None], n[None, other], percent)
-                ok &= part[i][:, None] != part[None, other]
+            for from_ in range(0, len(all_), wide):
+                j = all_[from_ : from_ + wide]
+                ok = _near(sketch[i][:, None, :], sketch[None, j, :], n[i][:, None], n[None, j], percent)
+                ok &= part[i][:, None] != part[None, j]
                 x, y = np.nonzero(ok)
                 if len(x):
-                    a, b = ids[i[x]], ids[other][y]
+                    a, b = ids[i[x]], ids[j[y]]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
                     )
@@ -316,7 +393,7 @@ def _meetings(members: DataFrame, percent: int) -> DataFrame:
             yield from group(pa.Table.from_batches(held))
 
     return (
-        members.repartition(count, "signature").sortWithinPartitions("signature").mapInArrow(run, "a bigint, b bigint")
+        dealt.repartition(count, "signature").sortWithinPartitions("signature").mapInArrow(run, "a bigint, b bigint")
     )
 
 
@@ -326,6 +403,7 @@ def link(
     percent: int = PERCENT,
     id_column: str = "doc_id",
     text_column: str = "text",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id, component_id.
 
@@ -339,7 +417,9 @@ def link(
     Signatures of segments (`Bands`, `_signatures`) are shuffled once, so that every
     linked pair shares one. Each document is first compared with the least document of
     each of its signatures, which joins most copies; then members of a signature's
-    group that still lie in different components with each other. Sizes and small
+    group that still lie in different components with each other, in blocks of about
+    `group_rows`, so that no task holds a whole group; where very many lie outside the
+    largest component, only those that share a second signature. Sizes and small
     sketches of the sets rule most pairs out before any set is fetched, without losing
     a link, and no pair that they rule out leaves a task. Only documents of the pairs left have their sets
     computed again. Equality is that of 64-bit hashes of the shingles.
@@ -387,10 +467,13 @@ def link(
         .where("x < y")
         .select("signature")
     )
-    members = placed.join(open_, "signature").distinct().join(
+    members = tables.settled(
+        placed.join(open_, "signature").select("signature", "a", "n", "component").distinct(), "members"
+    )
+    sized = _crowds(members, plain, width, percent, group_rows).join(
         sketches.select(F.col("doc_id").alias("a"), "sketch"), "a"
-    ).select("signature", "a", "n", "component", "sketch")
-    rest = _meetings(members, percent).distinct()
+    )
+    rest = _meetings(_dealt(sized, group_rows), percent).distinct()
     rest = tables.settled(rest.join(near, ["a", "b"], "left_anti"), "rest")
     nodes = components(links.unionByName(_verified(rest, plain, width, percent)))
     result = classes.join(nodes.select(F.col("node").alias("class_id"), "component"), "class_id", "left")

@@ -260,6 +260,45 @@ def test_links_against_brute_force(docs, empty):
     assert ngram_join.link(empty).count() == 0
 
 
+def test_hot_groups_meet_in_blocks(spark, monkeypatch):
+    """Many small components in one signature's group: bounded blocks, the same links."""
+    rng, rows = random.Random(5), []
+    base = _words(21, 60).split()
+    for family in range(40):  # of one text; 2 to 4 copies each, the families apart
+        own = list(base)
+        for at in rng.sample(range(5, 55), 6):
+            own[at] = f"f{family}x{at}"
+        for copy in range(rng.randint(2, 4)):
+            rows.append((len(rows), " ".join(own + [f"c{family}y{copy}"])))
+    rng.shuffle(rows)
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert 20 < len({find(i) for i in sets}) < len(sets)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    largest, dealt = [], ngram_join._dealt
+
+    def watched(sized, block_rows):
+        out = dealt(sized, block_rows)
+        largest.append(out.groupBy("signature").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "_dealt", watched)
+    for crowd in (16, 1):  # also with a second signature
+        monkeypatch.setattr(ngram_join, "_CROWD", crowd)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(table, 3, 90, group_rows=8).collect()}
+        assert got == {i: find(i) for i in sets}
+    assert all(8 <= n <= 40 for n in largest)
+
+
 def test_one_segment_of_linked_sets_agrees():
     rng = np.random.default_rng(2)
     for percent in (80, 90):
