@@ -131,6 +131,29 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def _dealt(placed: DataFrame, asked: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and visiting queries of each leaf in blocks of about `rows` of each.
+
+    Every block of a leaf's vectors meets every block of its queries, as (block, part).
+    """
+
+    def blocks(frame: DataFrame) -> Column:
+        counts = {r["leaf"]: r["count"] for r in frame.groupBy("leaf").count().collect()}  # a row per leaf
+        large = {n: c for n, c in counts.items() if c > rows}
+        if not large:
+            return F.lit(1).cast("bigint")
+        table = F.create_map(*[F.lit(x) for n, c in large.items() for x in (n, -(-c // rows))])
+        return F.coalesce(table[F.col("leaf")], F.lit(1)).cast("bigint")
+
+    own = lambda n, salt: F.pmod(F.xxhash64("head", F.lit(salt)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    here, there = blocks(placed), blocks(asked)
+    return (
+        placed.select("*", own(here, "block").alias("block"), every(there).alias("part")),
+        asked.select("*", every(here).alias("block"), own(there, "part").alias("part")),
+    )
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -153,7 +176,8 @@ def search(
     its size, and sent to all tasks. Every vector is put in a leaf.
     How many leaves a query visits, best bin first, is calibrated to the wanted
     recall on the sample, whose neighbours lie farther apart than those of all
-    vectors. Large leaves and frequently visited ones are split into blocks.
+    vectors. Large leaves are split into blocks, and so are the queries of frequently
+    visited ones, so a task compares a bounded number of either.
     """
     rows = vectors.where(usable(F.col(vector_column)) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("bigint").alias("vec_id"),
@@ -185,24 +209,18 @@ def search(
     def visit(batches):
         for batch in batches:
             found = [tree.best_first(q, tree.visits) for q in _matrix(batch.column("v"))]
-            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            taken = batch.take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [taken.column("head"), taken.column("v"), pa.array(np.concatenate(found) if found else [], pa.int64())],
-                ["head", "v", "leaf"],
+                [batch.column("head"), batch.column("v"), pa.array(found, pa.list_(pa.int64()))],
+                ["head", "v", "leaves"],
             )
 
     shape = "head bigint, v array<double>, leaf bigint"
     placed = distinct.select("head", "v").mapInArrow(put, shape)
-    # a leaf's vectors in blocks; every visiting query meets each of them
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    blocks = F.lit(1)
-    if counts and (large := {n: c for n, c in counts.items() if c > _BLOCK}):
-        table = F.create_map(*[F.lit(x) for n, c in large.items() for x in (n, -(-c // _BLOCK))])
-        blocks = F.coalesce(table[F.col("leaf")], F.lit(1))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("head"), blocks))
-    asked = distinct.where("asked").select("head", "v").mapInArrow(visit, shape)
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1)).alias("block"))
+    asked = tables.settled(
+        distinct.where("asked").select("head", "v").mapInArrow(visit, "head bigint, v array<double>, leaves array<bigint>"),
+        "visits",
+    ).select("head", "v", F.explode("leaves").alias("leaf"))
+    placed, asked = _dealt(placed, asked, _BLOCK)
     best = k + 1
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -229,8 +247,8 @@ def search(
         return pd.concat(out)
 
     pairs = (
-        placed.groupBy("leaf", "block")
-        .cogroup(asked.groupBy("leaf", "block"))
+        placed.groupBy("leaf", "block", "part")
+        .cogroup(asked.groupBy("leaf", "block", "part"))
         .applyInPandas(compare, "query bigint, head bigint, score double")
     )
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "head")

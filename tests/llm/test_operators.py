@@ -193,6 +193,24 @@ def test_nearest_finds_copies_and_most_others(spark):
     assert nearest.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_of_a_leaf_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(900)], "vec_id bigint, embedding array<double>")
+    wanted = sorted(map(tuple, nearest.search(table, F.col("vec_id") % 2 == 0, k=5).collect()))
+    largest, dealt = [], nearest._dealt
+
+    def watched(placed, asked, rows):
+        out = dealt(placed, asked, rows)
+        largest.extend(x.groupBy("leaf", "block", "part").count().agg(F.max("count")).first()[0] for x in out)
+        return out
+
+    monkeypatch.setattr(nearest, "_dealt", watched)
+    monkeypatch.setattr(nearest, "_BLOCK", 20)
+    got = sorted(map(tuple, nearest.search(table, F.col("vec_id") % 2 == 0, k=5).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in wanted] and np.allclose([x[3] for x in got], [x[3] for x in wanted])
+    assert len(largest) == 2 and max(largest) <= 50  # a leaf is visited by hundreds
+
+
 def test_suffixes_against_brute_force(docs, empty):
     seen, want = {}, {}
     for i, text in sorted({(-1 if r[0] is None else r[0], r[1] or "") for r in _rows()}):
