@@ -15,20 +15,23 @@ from tallywright.session import ship
 
 ship(__name__)
 
-LONGEST_PIECE = 8  # bytes, with the mark of a word's begin
+_PACKED = 8  # bytes of a piece that are looked up as they are; longer ones by a hash
 DISCOUNT = 0.75
 END_SHARE = 0.1
 ROUNDS = 2
 _MARK = 32  # a word's begin: a blank, which no word holds
 _SLICE = 1 << 23
 _PART = 1 << 20  # a slice is hashed in parts, since hashing takes 40 bytes to a byte
-_WORD_BYTES = 1 << 18
+_WORD_BYTES = 1 << 17
 _BATCH = "16m"
 
 
 @dataclass
 class Pieces:
-    """Pieces by length: sorted packed bytes, numbers, and log probabilities (base e)."""
+    """Pieces by length: sorted packed bytes, numbers, and log probabilities (base e).
+
+    In place of packed bytes, pieces of more than 8 bytes have the 64-bit hash of theirs.
+    """
 
     packed: list[np.ndarray]
     numbers: list[np.ndarray]
@@ -36,14 +39,18 @@ class Pieces:
     stop: float = 0.25  # chance that a word ends after a piece
 
 
-def read_vocabulary(path: str, longest: int = LONGEST_PIECE) -> Pieces:
+def _hashed(pieces: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(p) for p in pieces])
+    starts = ends - [len(p) for p in pieces]
+    return textops.Hasher(np.frombuffer(b"".join(pieces), np.uint8)).of(starts, ends)
+
+
+def read_vocabulary(path: str) -> Pieces:
     """The pieces of a sentencepiece file, lower-cased, and every single byte.
 
-    A piece's first weight falls with its rank in the file's scores. Longer pieces
-    than `longest` bytes, 8 at most, are left out.
+    A piece's first weight falls with its rank in the file's scores. Pieces that no
+    lower-cased word can use are left out: those with A to Z, or a blank further on.
     """
-    if not 1 <= longest <= 8:
-        raise ValueError("a piece is packed in 8 bytes")
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,17 +59,24 @@ def read_vocabulary(path: str, longest: int = LONGEST_PIECE) -> Pieces:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         raw = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(raw) <= longest and b" " not in raw[1:] and not set(raw) & set(range(65, 91)):
+        if b" " not in raw[1:] and not set(raw) & set(range(65, 91)):
             weight[raw] = 1.0 / (200.0 - model.get_score(i))
     for byte in range(256):
         weight.setdefault(bytes([byte]), 1e-6)
     total = sum(weight.values())
     listed = sorted(weight, key=lambda p: (len(p), p))
     packed, numbers = [], []
-    for size in range(1, longest + 1):
-        own = [(int.from_bytes(p), i) for i, p in enumerate(listed) if len(p) == size]
-        packed.append(np.array([p for p, _ in own], np.uint64))
-        numbers.append(np.array([i for _, i in own], np.int64))
+    for size in range(1, len(listed[-1]) + 1):
+        number = np.array([i for i, p in enumerate(listed) if len(p) == size], np.int64)
+        own = [listed[i] for i in number]
+        if size <= _PACKED or not own:
+            packed.append(np.array([int.from_bytes(p) for p in own], np.uint64))
+        else:
+            code = _hashed(own)
+            order = np.argsort(code)
+            number = number[order]
+            packed.append(code[order])
+        numbers.append(number)
     return Pieces(packed, numbers, np.log([weight[p] / total for p in listed]))
 
 
@@ -79,20 +93,26 @@ class _Lattice:
         slots = int(self.sizes.sum()) + len(begins)
         slot = np.arange(len(raw) - 2) + np.repeat(np.arange(len(begins)), self.sizes)
         left = np.repeat(begins + self.sizes, self.sizes) - np.arange(len(slot))
-        self.slots, self.arcs, self.numbers = slots, [], []
+        self.slots, self.arcs, self.numbers = slots, {}, {}
         value = np.zeros(len(slot), np.uint64)
-        longer = np.concatenate([raw, np.zeros(len(pieces.packed), np.uint8)])
+        longer = np.concatenate([raw, np.zeros(_PACKED, np.uint8)])
+        hasher = textops.Hasher(raw)
         for size, (known, number) in enumerate(zip(pieces.packed, pieces.numbers), 1):
-            value = (value << np.uint64(8)) | longer[size - 1 : size - 1 + len(slot)]
+            if size <= _PACKED:
+                value = (value << np.uint64(8)) | longer[size - 1 : size - 1 + len(slot)]
+            fits = np.flatnonzero(left >= size)
+            if not len(known) or not len(fits):
+                continue
+            sought = value[fits] if size <= _PACKED else hasher.of(fits, fits + size)
+            at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+            hit = known[at] == sought
+            where, which = slot[fits[hit]], number[at[hit]]
+            found_number = np.full(slots, -1, np.int32)
+            found_number[where] = which
             logs = np.full(slots, -np.inf)
-            found_number = np.full(slots, -1, np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                hit = np.flatnonzero((known[at] == value) & (left >= size))
-                found_number[slot[hit]] = number[at[hit]]
-                logs[slot[hit]] = pieces.logs[number[at[hit]]]
-            self.arcs.append(logs + np.log(1 - pieces.stop))
-            self.numbers.append(found_number)
+            logs[where] = pieces.logs[which] + np.log(1 - pieces.stop)
+            self.arcs[size] = logs
+            self.numbers[size] = found_number
         self.final = np.log(pieces.stop / (1 - pieces.stop))
 
     def _swept(self, forward: bool) -> np.ndarray:
@@ -104,11 +124,10 @@ class _Lattice:
             here = (self.begins if forward else self.begins + self.sizes)[:active]
             here = here + step if forward else here - step
             terms = []
-            for size in range(1, min(step, len(self.arcs)) + 1):
-                if forward:
-                    terms.append(out[here - size] + self.arcs[size - 1][here - size])
-                else:
-                    terms.append(out[here + size] + self.arcs[size - 1][here])
+            for size, arc in self.arcs.items():
+                if size > step:
+                    break
+                terms.append(out[here - size] + arc[here - size] if forward else out[here + size] + arc[here])
             rows = np.stack(terms)
             top = rows.max(axis=0)
             safe = np.where(np.isfinite(top), top, 0.0)
@@ -127,7 +146,8 @@ class _Lattice:
         ahead, back = self._swept(True), self._swept(False)
         whole = np.repeat(ahead[self.begins + self.sizes], self.sizes + 1)
         uses = np.zeros(count)
-        for size, (arc, number) in enumerate(zip(self.arcs, self.numbers), 1):
+        for size, arc in self.arcs.items():
+            number = self.numbers[size]
             at = np.flatnonzero(number >= 0)
             share = np.exp(ahead[at] + arc[at] + back[at + size] - whole[at])
             uses += np.bincount(number[at], share, minlength=count)

@@ -167,6 +167,34 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, want)
 
 
+def test_lattice_has_the_long_pieces():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, logs = sentencepiece.SentencePieceProcessor(model_file=path), {}
+    pieces = lm_scoring.read_vocabulary(path)
+    names = {bytes([b]) for b in range(256)}
+    for i in range(model.get_piece_size()):
+        raw = model.id_to_piece(i).replace("▁", " ").encode()
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or b" " in raw[1:] or re.search(rb"[A-Z]", raw)):
+            names.add(raw)
+    logs = dict(zip(sorted(names, key=lambda p: (len(p), p)), pieces.logs))
+    assert len(logs) == len(pieces.logs) and {b" function", b" information", b"translation"} <= set(logs)
+
+    def total(word: bytes) -> float:
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[a] * np.exp(logs[word[a:end]]) * (1 - pieces.stop) for a in range(end) if word[a:end] in logs))
+        return sums[-1]
+
+    words = [b"function", b"information", b"translations", b"x", "préinformation".encode(), b"a" * 40]
+    lattice = lm_scoring._Lattice(words, pieces)
+    want = [np.log10(total(b" " + w) * pieces.stop / (1 - pieces.stop)) for w in words]
+    assert np.allclose(lattice.log_probability(), want)
+    uses, number = lattice.expected(len(pieces.logs))
+    assert uses[list(logs).index(b" information")] > 0.9 and np.isclose(uses.sum(), number)
+
+
 def test_scores_of_odd_texts(docs, empty):
     marked = docs.withColumn("held_out", language_id.held_out("doc_id", 7))
     got = lm_scoring.score(marked, public_tokenizers.path("piece_bpe_32k.model"), rounds=1).toPandas()
