@@ -49,8 +49,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences, with their token ids."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    """Pieces of documents in training sequences, with their token ids.
+
+    sequence_id follows the mixture. Files read again come in the order of their sizes,
+    so the places in the mixture are computed anew: they depend on the rows only.
+    """
+    mixed = mix_sources(spark, docs.select("doc_id", "source", "text"), sf_dir)
+    return packing.pack(mixed, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

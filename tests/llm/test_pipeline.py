@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tallywright.llm import mixing, tables
 
 
 def test_stages(spark, sf_dir):
@@ -18,6 +19,23 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.pack_sequences(spark, mixed, sf_dir).select("doc_id").distinct().count() == kept.count()
 
 
+def test_sequences_follow_the_mixture(spark, sf_dir):
+    """Also over several files of unequal size, the last ones largest."""
+    rows = [(i, f"word{i} " * (5 if i % 3 else 40), "hot" if i % 10 else "rare", "en", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    place = {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs).collect()}
+    files = tables.settled(
+        corpus_pipeline.mix_sources(spark, docs, sf_dir).selectExpr(
+            "doc_id", "IF(spark_partition_id() > 1, repeat(text, 20), text) AS text", "source", "lang", "n_chars"
+        ),
+        "mixed",
+    )
+    assert len(files.inputFiles()) > 2
+    pieces = corpus_pipeline.pack_sequences(spark, files, sf_dir).orderBy("sequence_id", "offset").collect()
+    order = list(dict.fromkeys(r["doc_id"] for r in pieces))
+    assert order == sorted(place, key=place.get)
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
