@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallywright.llm import (
     chunk_dedup,
+    conversations,
     fingerprints,
     language_id,
+    line_quality,
     lm_scoring,
     mixing,
     nearest,
     ngram_join,
+    oracles,
     packing,
+    phrases,
     secret_scan,
     suffix_dedup,
 )
@@ -113,6 +117,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged(_read(spark, sf_dir, "conversations"))
+    return conversations.summary(conversations.repair(damaged))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out().alias("held_out"))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = line_quality.fit(docs.where("NOT held_out").join(labels, "doc_id"))
+    return line_quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -130,7 +150,13 @@ ALL = {
         op8_ngram_join,
         op9_chunk_dedup,
         op10_language_id,
+        op11_conversation_repair,
+        op12_phrase_mining,
+        op13_line_quality,
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_conversation_repair": oracles.CONVERSATIONS,
+    "op12_phrase_mining": oracles.PHRASES,
+}
