@@ -14,9 +14,10 @@ from tallywright.session import ship
 ship(__name__)
 
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
+ARROW_BYTES = "16m"
 CELL_BITS = 27  # of the sieves: 16 MB of bits, whatever the corpus
-HELD_ENTRIES = 1 << 21
+HELD_ENTRIES = 1 << 20
 BLOCK_ENTRIES = 1 << 20
 SCALE = 2_000_000
 
@@ -48,10 +49,11 @@ class _Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.owner = np.searchsorted(bounds, self.start, side="right") - 1
-        stops = np.cumsum(_STOP[self.content], dtype=np.int64)[self.start] if len(content) else self.start
+        stops = np.cumsum(_STOP[self.content], dtype=np.int32)[self.start] if len(content) else self.start
         self.beside = (self.owner[1:] == self.owner[:-1]) & (stops[1:] == stops[:-1])
         names, spots = textops.flat(batch.column("lang"))
         lang = textops.Hasher(names, seed).of(spots[:-1], spots[1:])
+        del inside, edge, begins, ends, stops
         own = textops.Hasher(self.content, seed).of(self.start, self.end)
         self.hash = textops.mix(own + textops.mix(lang + np.uint64(seed))[self.owner])
 
@@ -126,7 +128,7 @@ def counted(
     """N-grams with at least `least` occurrences: length, ids (8 bytes a word), a, cell.
 
     Each task counts its texts in sorted filters and hands on one filter per block and
-    two million entries; blocks are merged one by one. `known` sieves words; with
+    million entries; blocks are merged one by one. `known` sieves words; with
     `pairs`, a sieve of two-word phrases, only n-grams made of such pairs count.
     """
 
@@ -206,7 +208,7 @@ def _numbered(docs: DataFrame, least: int):
     checked over all of them; should even 64 bits not do, another seed is taken.
     """
     for seed in range(2):
-        every = tables.settled(words(docs, seed), "words")
+        every = tables.settled(words(docs, seed), "words", ARROW_BYTES)
         cell = F.shiftrightunsigned("number", 64 - CELL_BITS)
         cells = every.where(F.col("n") >= least).select(cell.alias("cell"))
         passing = every.join(cells.distinct(), cell == F.col("cell"), "left_semi")
@@ -253,11 +255,11 @@ def mine(
     spread = max(tables.parallelism(docs), 2 * tokens // BLOCK_ENTRIES, 2)
     block_bits = min((spread - 1).bit_length(), bits - 1)
     settings = {"bits": bits, "block_bits": block_bits, "seed": seed, "known": known, "least": least}
-    grams = tables.settled(counted(plain, [2], **settings), "pairs")
+    grams = tables.settled(counted(plain, [2], **settings), "pairs", ARROW_BYTES)
     if longest > 2:
         pairs = _sieve(grams.select("cell"))
         more = counted(plain, list(range(3, longest + 1)), pairs=pairs, **settings)
-        grams = grams.union(tables.settled(more, "phrases"))
+        grams = grams.union(tables.settled(more, "phrases", ARROW_BYTES))
     number = F.lpad(F.hex(F.shiftrightunsigned("number", 64 - bits)), 16, "0")
     usual = every.where(F.col("n") >= least).select(F.unhex(number).alias("id"), "lang", "word", "n")
     return _best(grams.select("length", "ids", "a"), usual, totals, share, top)
