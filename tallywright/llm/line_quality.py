@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tallywright.llm import textops
+from tallywright.llm import tables, textops
 from tallywright.session import ship
 
 ship(__name__)
@@ -224,24 +224,30 @@ def learn(rows: np.ndarray, before: np.ndarray, size: np.ndarray, good: np.ndarr
     return model
 
 
-def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES) -> Model | None:
-    """Learn from rows with doc_id, text and quality (0 or 1); None if there are none.
+def fit(docs: DataFrame, labels: DataFrame, sample_lines: int = SAMPLE_LINES) -> Model | None:
+    """Learn from doc_id and text, doc_id and quality (0 or 1); None if nothing meets.
 
     A bounded sample fits the field: documents chosen by a hash of their key, half of
     the lines from each label, about `sample_lines` in all; a longer document than 512
     lines gives its share by its first 512. The lines of all labelled rows are counted
-    to set the shares. Only features, 22 numbers a line, come to the driver.
+    to set the shares. Texts stay where they are: only keys and line counts meet the
+    labels, and the chosen keys, fewer than `sample_lines`, go to the texts. Only
+    features, 22 numbers a line, come to the driver.
     """
-    usable = labelled.where("quality IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
-    lines = F.least(F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1, F.lit(SAMPLE_DOC_LINES))
-    sizes = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.sum(lines).alias("n")).collect()}
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    counted = texts.select("doc_id", F.least(lines, F.lit(SAMPLE_DOC_LINES)).alias("lines"))
+    usable = counted.join(labels.where("quality IN (0, 1)").select("doc_id", "quality"), "doc_id")
+    sizes = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.sum("lines").alias("n")).collect()}
     if not sizes:
         return None
     limit = sample_lines // 2
     share = F.lit(0.0)
     for label, size in sizes.items():
         share = F.when(F.col("quality") == label, min(1.0, limit / size)).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    wanted = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    keys = tables.settled(wanted.select("doc_id", "quality").distinct(), "quality-sample")
+    chosen = texts.join(keys, "doc_id").select("doc_id", "text", "quality")
 
     def run(batches):
         for batch in textops.slices(batches, size=SLICE_BYTES):
@@ -258,7 +264,7 @@ def fit(labelled: DataFrame, sample_lines: int = SAMPLE_LINES) -> Model | None:
                 ["doc_id", "quality", "rows", "sizes"],
             )
 
-    key = labelled.schema["doc_id"].dataType.simpleString()
+    key = docs.schema["doc_id"].dataType.simpleString()
     sample = chosen.mapInArrow(run, f"doc_id {key}, quality int, rows binary, sizes binary").toPandas()
     sample = sample.sort_values(["quality", "rows"])
     if not len(sample):

@@ -129,7 +129,7 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out().alias("held_out"))
     labels = _read(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = line_quality.fit(docs.where("NOT held_out").join(labels, "doc_id"))
+    model = line_quality.fit(docs.where("NOT held_out"), labels)
     return line_quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -303,7 +303,7 @@ def test_odd_rows_of_quality(spark):
     good, bad = "This is a plain line of text.\nAnd one more, as it goes.", "BUY!! NOW!! BUY!! NOW!!\n$$$ %%% $$$ %%%"
     rows = [(i, good if i % 2 else bad, i % 2, "s") for i in range(40)] + [(None, None, 1, "s"), (50, "", 0, None), (51, good, None, "s")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, score string")
-    model = line_quality.fit(table)
+    model = line_quality.fit(table, table)
     more = spark.createDataFrame([(1, good), (1, good), (2, bad), (3, None), (4, ""), (5, "x " * 200_000), (6, bad * 2000)], "doc_id bigint, text string")
     found = [r["score"] for r in line_quality.score(more, model).collect()]
     assert found[0] == found[1] > 0.7 > found[2] and found[3] == found[4]
@@ -311,5 +311,5 @@ def test_odd_rows_of_quality(spark):
     kept = line_quality.score(table, model)
     assert kept.columns == ["doc_id", "text", "quality", "score", "predicted"] and kept.count() == len(rows)
     assert line_quality.score(table.limit(0), model).count() == 0
-    assert line_quality.fit(table.limit(0)) is None
+    assert line_quality.fit(table.limit(0), table) is None
     assert {r["score"] for r in line_quality.score(table, None).collect()} == {0.5}
