@@ -12,6 +12,11 @@ CREATED_AT = "2025-01-31T15:04:05"
 _INTEGER = "CAST(l_linenumber AS {text})"
 _DECIMAL = "concat(CAST(l_linenumber AS {text}), '.5')"
 
+_SUPPLIER_FILE = (
+    "concat(CASE s_suppkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END,"
+    " 'supplier ', CAST(s_suppkey AS {text}), '.xlsx')"
+)
+
 # Per view: its source table and its columns; {text} is the engine's text type.
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     # events with missing cells
@@ -79,6 +84,23 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
             " CAST(toxic AS {text}), ':00:00') AS uploaded_at",
         ),
     ),
+    # documents as files to be written
+    "document_files": (
+        "documents",
+        ("concat('doc_', CAST(doc_id AS {text}), '.txt') AS file_name", "text AS content"),
+    ),
+    # a sidecar per supplier: some broken, some with a name that Spark passes over
+    "supplier_sidecars": (
+        "supplier",
+        (
+            f"concat({_SUPPLIER_FILE}, '.meta.json') AS file_name",
+            f"CASE WHEN s_suppkey % 10 = 3 THEN concat('{{{{\"filename\": \"', {_SUPPLIER_FILE})"
+            f" ELSE concat('{{{{\"filename\": \"', {_SUPPLIER_FILE}, '\", \"size_bytes\": ',"
+            f" CAST(s_suppkey * 1000 AS {{text}}), ', \"uploaded_at\": \"2025-01-0',"
+            f" CAST(1 + s_suppkey % 9 AS {{text}}), '\", \"file_type\": \"',"
+            f" CASE WHEN s_suppkey % 2 = 0 THEN 'xlsx' ELSE 'csv' END, '\"}}}}') END AS content",
+        ),
+    ),
     # responses of a model for some of the documents
     "label_responses": (
         "labels",

@@ -162,7 +162,7 @@ def _document_reports(order: str) -> str:
         type="'executive'",
         date=_quote(REPORT_TIME.strftime(reports.DATE_FORMATS["document"])),
         source="file_name",
-        summary=_LEAD,
+        summary="text",
         insights=f"coalesce(response, {_quote(NO_INSIGHTS)})",
     )
     return (
@@ -290,16 +290,30 @@ ALL: dict[str, str] = {
     " LEFT JOIN catalog_sidecars ON file_name = name"
     r" WHERE regexp_extract(file_name, '\.[^.]*$') IN ('.xlsx', '.xls')"
     " ORDER BY uploaded_at DESC NULLS LAST, file_name",
-    "read_metadata_json": "SELECT event_id,"
+    "read_metadata_json": with_views("supplier_sidecars")
+    + r" SELECT regexp_replace(file_name, '\.meta\.json$', '') AS name,"
+    " CASE WHEN whole THEN content ->> 'filename' END AS filename,"
+    " CASE WHEN whole THEN CAST(content ->> 'size_bytes' AS double) END AS size_bytes,"
+    " CASE WHEN whole THEN content ->> 'uploaded_at' END AS uploaded_at,"
+    " CASE WHEN whole THEN content ->> 'file_type' END AS file_type,"
+    " CASE WHEN NOT whole THEN content END AS corrupt"
+    " FROM (SELECT *, json_valid(content) AS whole FROM supplier_sidecars)",
+    "ingest_manifest": with_views("document_files")
+    + " SELECT file_name AS filename, CAST(coalesce(strlen(content), 0) AS bigint)"
+    " AS size_bytes, 'document' AS file_type, file_name FROM document_files",
+    "parse_metadata": "SELECT event_id,"
     " CAST(json_extract(props, '$.k') AS bigint) AS k FROM events",
     "write_csv": f"SELECT {_CSV_COLUMNS} FROM conversations",
     "write_reports": _document_reports("doc_id"),
+    "write_report_files": "SELECT report_name, content FROM ("
+    + _document_reports("doc_id")
+    + ")",
     "report_html": "SELECT doc_id, concat("
     f"{_quote(_HTML[0])}, {_ESCAPED}, {_quote(_HTML[1])}) AS html FROM documents",
     "write_summaries": f"{_NAMED} SELECT doc_id, file_name AS original_file,"
-    f" {_LEAD} AS summary,"
+    " text AS summary,"
     r" concat(regexp_replace(file_name, '\.[^.]+$', ''), '_summary.txt')"
-    f" AS summary_file, CAST(length({_LEAD}) AS integer) AS summary_length,"
+    f" AS summary_file, CAST(length(text) AS integer) AS summary_length,"
     f" '{CREATED_AT}' AS created_at FROM documents_named",
     "filter_gt": "SELECT * FROM events WHERE value > 100",
     "coerce_mixed": f"{_LINEITEM_TEXT} SELECT * REPLACE"

@@ -12,7 +12,7 @@ from checks.inputs import CREATED_AT, REPORT_TIME, table, view
 from tallywright.operators import assemble, documents, profile, retrieval, shapes
 from tallywright.plans import reports
 from tallywright.session import shared_folder
-from tallywright.sources import files, tables
+from tallywright.sources import files, folders, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,8 +38,8 @@ def read_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     items.write.partitionBy("item_id").text(folder)
     item = F.regexp_extract("path", r"item_id=([0-9]+)/", 1).cast("bigint")
-    # without the writer's own empty marker
-    read = files.read_text_files(spark, folder).where("file_name <> '_SUCCESS'")
+    # without the writer's own marker and checksums
+    read = files.read_text_files(spark, folder).where("file_name LIKE 'part-%'")
     return read.select(item.alias("item_id"), "text")
 
 
@@ -73,6 +73,15 @@ def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sidecar file per supplier, some broken, some under a name Spark passes over."""
+    folder = _fresh(spark, "sidecars")
+    folders.write_files(view(spark, sf_dir, "supplier_sidecars"), folder)
+    read = files.read_metadata_json(spark, f"{folder}/*.meta.json")
+    size = F.col("size_bytes").cast("double").alias("size_bytes")
+    return read.select("name", "filename", size, "uploaded_at", "file_type", "corrupt")
+
+
+def parse_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "props")
     return files.parse_metadata(events, "props", "k bigint").select(
         "event_id", F.col("metadata.k").alias("k")
@@ -102,6 +111,17 @@ def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown file per document's report, read back under its own name."""
+    folder = _fresh(spark, "report-files")
+    files.write_report_files(report_document(spark, sf_dir), folder)
+    read = folders.read_files(files.list_files(spark, folder))
+    return read.select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("report_name"),
+        F.col("content").cast("string").alias("content"),
+    )
+
+
 def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return reports.report_html(docs, "text").select("doc_id", "html")
@@ -109,7 +129,7 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _fresh(spark, "summaries")
-    summaries = _summarised(spark, sf_dir).select(
+    summaries = _whole(spark, sf_dir).select(
         "doc_id", F.col("file_name").alias("original_file"), "summary"
     )
     files.write_summaries(summaries, folder, CREATED_AT)
@@ -117,8 +137,17 @@ def write_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of the given tables' own files."""
-    return files.ingest_manifest(spark, f"{sf_dir}/*.parquet", "table")
+    """The manifest of every document's text as a file of its own."""
+    folder = _fresh(spark, "ingested")
+    folders.write_files(view(spark, sf_dir, "document_files"), folder)
+    manifest = files.ingest_manifest(spark, folder, "document")
+    # the dates are those of the files just written
+    return manifest.where("uploaded_at IS NOT NULL").select(
+        "filename",
+        "size_bytes",
+        "file_type",
+        F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"),
+    )
 
 
 # --- projections and filters ----------------------------------------------------
@@ -305,6 +334,11 @@ def _summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.lead_summary(docs, F.col("max_words"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their whole text in place of a summary."""
+    return view(spark, sf_dir, "documents_named").withColumn("summary", F.col("text"))
+
+
 def lead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summarised(spark, sf_dir).select("doc_id", "max_words", "summary")
 
@@ -347,7 +381,7 @@ def _data_report(report_type: str) -> Query:
 
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = documents.attach_responses(
-        _summarised(spark, sf_dir), view(spark, sf_dir, "label_responses")
+        _whole(spark, sf_dir), view(spark, sf_dir, "label_responses")
     )
     return reports.document_reports(
         answered, "executive", generated=REPORT_TIME, insights="response"
@@ -364,8 +398,10 @@ ALL: dict[str, Query] = {
         doc_type,
         file_catalog,
         read_metadata_json,
+        parse_metadata,
         write_csv,
         write_reports,
+        write_report_files,
         report_html,
         write_summaries,
         ingest_manifest,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tallywright.functions import cells
 from tallywright.operators.documents import suffix
+from tallywright.sources import folders
 
 # --- fixed values -----------------------------------------------------------
 SIDECAR_ENDING = ".meta.json"
@@ -23,93 +24,53 @@ ACCESS_SCHEMA = (
 EXCEL_SUFFIXES = (".xlsx", ".xls")
 SUMMARY_ENDING = "_summary.txt"
 # --- end of fixed values ----------------------------------------------------
-
-
-def _file_name(path: str = "path"):
-    """The last part of a path, as it is (reader metadata holds it encoded)."""
-    return F.regexp_extract(F.col(path), r"([^/]+)$", 1)
+CORRUPT = "corrupt"
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_name, text): whole files, UTF-8 or else Latin-1.
+    """(path, file_name, text): whole files at any depth, UTF-8 or else Latin-1.
 
     A file with any invalid UTF-8 sequence is read as Latin-1 altogether. Line
     ends become ``\\n``, as Python's text mode makes them. A file without bytes is
-    an empty text. Spark's readers don't open names starting with ``_`` or ``.``;
-    such a file with content fails the call with its name.
+    an empty text, and names that Spark's readers pass over are read as well.
     """
-    listed = _listing(spark, path)
-    shut = sorted(r[0] for r in listed if r[2] and r[0].startswith(("_", ".")))
-    if shut:
-        raise ValueError(f"files that Spark's readers pass over: {', '.join(shut)}")
-    empty = _frame(spark, [r for r in listed if not r[2]]).select(
-        "path", "file_name", F.lit("").alias("text")
-    )
-    files = spark.read.format("binaryFile").load(path)
+    files = folders.read_files(folders.list_files(spark, path))
     as_utf8 = F.col("content").cast("string")
     content = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(
         F.decode("content", "ISO-8859-1")
     )
-    return files.filter("length > 0").select(
+    return files.select(
         "path",
-        _file_name().alias("file_name"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
         F.regexp_replace(content, r"\r\n?", "\n").alias("text"),
-    ).unionByName(empty)
-
-
-def _listing(spark: SparkSession, path: str) -> list[tuple[str, str, int, int]]:
-    """(name, path, bytes, modified in ms) of every file of a folder or pattern.
-
-    The listing is the file system's own, as Spark's index takes it on the driver,
-    but with empty files and with names that Spark's readers leave out.
-    """
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for start in system.globStatus(place) or []:
-        for status in [start] if start.isFile() else system.listStatus(start.getPath()):
-            if status.isFile():
-                at = status.getPath()
-                found.append(
-                    (at.getName(), at.toString(), status.getLen(), status.getModificationTime())
-                )
-    return found
-
-
-def _frame(spark: SparkSession, listed: list[tuple[str, str, int, int]]) -> DataFrame:
-    rows = spark.createDataFrame(
-        listed, "file_name string, path string, size_bytes bigint, modified bigint"
-    )
-    return rows.select(
-        "file_name", "path", "size_bytes", F.timestamp_millis("modified").alias("modified_at")
     )
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, path, size_bytes, modified_at) of every file, none left out."""
-    return _frame(spark, _listing(spark, path))
-
-
-def _whole_json(spark: SparkSession, path: str, schema: T.StructType | str):
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .json(path)
-    )
+    return folders.list_files(spark, path)
 
 
 def read_metadata_json(
     spark: SparkSession, path: str, schema: T.StructType | str = SIDECAR_SCHEMA
 ) -> DataFrame:
-    """Sidecar files, one row each; a corrupt one yields missing fields.
+    """Sidecar files, one row each: their fields, ``name``, ``path`` and ``corrupt``.
 
-    Adds ``name``, the file the sidecar belongs to.
+    ``name`` is the file that the sidecar belongs to. A file that is not JSON of
+    these fields has them missing and its whole text in ``corrupt``.
     """
-    whole = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
-    owner = F.regexp_replace(whole, r"\.meta\.json$", "")
-    return _whole_json(spark, path, schema).select("*", owner.alias("name"))
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wide = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    text = read_text_files(spark, path).withColumn("parsed", F.from_json("text", wide, options))
+    # an empty file and a bare null parse to nothing at all
+    broken = F.when(F.col("parsed").isNull(), F.col("text")).otherwise(F.col(f"parsed.{CORRUPT}"))
+    return text.select(
+        *[F.col("parsed").getField(f.name).alias(f.name) for f in fields],
+        F.regexp_replace("file_name", r"\.meta\.json$", "").alias("name"),
+        "path",
+        broken.alias(CORRUPT),
+    )
 
 
 def read_access_map(spark: SparkSession, path: str) -> DataFrame:
@@ -146,8 +107,12 @@ def file_catalog(
 
     ``files`` has ``file_name``; ``sidecars`` has ``name`` and ``uploaded_at``.
     JSON files are sidecars themselves and never listed. ``suffixes`` (compared
-    in their own case) narrows the listing; None lists every file.
+    in their own case) narrows the listing; None lists every file. A sidecar's
+    column that the files have too is called ``sidecar_...``.
     """
+    sidecars = sidecars.withColumnsRenamed(
+        {c: f"sidecar_{c}" for c in sidecars.columns if c in files.columns}
+    )
     ending = suffix(F.col("file_name"))
     kept = files.filter(ending != ".json")
     if suffixes is not None:
@@ -210,3 +175,20 @@ def write_reports(
         reports.write.mode(mode).partitionBy("report_type", "report_key").text(path)
     else:
         reports.write.mode(mode).partitionBy("report_type").parquet(path)
+
+
+def write_summary_files(
+    summaries: DataFrame, path: str, created_at: str, mode: str = "errorifexists"
+) -> None:
+    """Store each summary as a text file of its own, under its ``summary_file`` name."""
+    named = summary_records(summaries, created_at)
+    folders.write_files(
+        named.select(F.col("summary_file").alias("file_name"), F.col("summary").alias("content")), path, mode
+    )
+
+
+def write_report_files(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store each report as a Markdown file of its own, under its ``report_name``."""
+    folders.write_files(
+        reports.select(F.col("report_name").alias("file_name"), "content"), path, mode
+    )

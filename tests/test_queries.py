@@ -21,5 +21,4 @@ def test_agrees_with_sql(spark, sf_dir, connection, name):
 def test_contract(spark):
     assert contract.entry(spark).columns[:2] == ["position", "column_name"]
     assert set(queries.ALL) <= set(contract.queries())
-    assert set(oracles.ALL) == set(queries.ALL) - {"ingest_manifest"}
-    assert set(oracles.ALL) <= set(queries.ALL)
+    assert set(oracles.ALL) == set(queries.ALL)

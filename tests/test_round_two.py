@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallywright.operators import documents, profile
@@ -20,8 +19,8 @@ def test_no_file_is_lost(spark, tmp_path):
     listed = {r["file_name"] for r in files.list_files(spark, str(tmp_path)).collect()}
     assert listed == {*names, "_budget.txt", ".hidden.txt"}
     assert files.ingest_manifest(spark, str(tmp_path), "txt").count() == len(names) + 2
-    with pytest.raises(ValueError, match="_budget.txt"):
-        files.read_text_files(spark, str(tmp_path))
+    texts = {r["file_name"]: r["text"] for r in files.read_text_files(spark, str(tmp_path)).collect()}
+    assert texts["_budget.txt"] == "1" and texts[".hidden.txt"] == "2"
     (tmp_path / "a b.txt.meta.json").write_text('{"filename": "a b.txt"}')
     side = files.read_metadata_json(spark, str(tmp_path / "*.meta.json")).collect()
     assert [r["name"] for r in side] == ["a b.txt"]
