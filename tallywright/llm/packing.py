@@ -96,8 +96,9 @@ class _Encoder:
     """Token ids of whole texts. Words between ASCII white space are encoded once.
 
     So are letters and the punctuation behind them, which the vocabulary's tokenizer
-    takes apart; words of letters alone go to it many to a text, and the tokens that
-    end a word part them again.
+    takes apart where the letters are letters once it has normalised them (some become
+    a letter and a mark, which stays with the punctuation); words of letters alone go
+    to it many to a text, and the tokens that end a word part them again.
     """
 
     def __init__(self, path: str, separator: int) -> None:
@@ -122,12 +123,16 @@ class _Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _letters(self, core: str) -> bool:
+        normalizer = self.tokenizer.normalizer
+        return normalizer is None or normalizer.normalize_str(core).isalpha()
+
     def _learn(self, words: list[bytes]) -> None:
         parted, whole = [], []
         for word in words:
             text = word.decode()
             core = text.rstrip(".,;:!?")
-            if core.isalpha():
+            if core.isalpha() and (core.isascii() or self._letters(core)):
                 tail = text[len(core) :]
                 parted.append((word, core.lower() if core.isascii() else core, tail))
             else:

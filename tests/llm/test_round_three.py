@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -16,7 +18,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallywright.llm import conversations, line_quality, oracles, phrases, queries, quotient
+import public_tokenizers
+
+from tallywright.llm import conversations, line_quality, oracles, packing, phrases, queries, quotient
 
 # ---- counting quotient filters
 
@@ -313,3 +317,36 @@ def test_odd_rows_of_quality(spark):
     assert line_quality.score(table.limit(0), model).count() == 0
     assert line_quality.fit(table.limit(0), table) is None
     assert {r["score"] for r in line_quality.score(table, None).collect()} == {0.5}
+
+
+# ---- packing: ids are those of the tokenizer
+
+
+def _ids(encoder, texts):
+    return [np.frombuffer(raw, "<u4")[:-1].tolist() for raw in encoder([t.encode() for t in texts])]
+
+
+def test_ids_of_every_letter_before_every_closing_mark():
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    for mark in ".,;:!?":
+        words = [f"a{c}{mark}" for c in letters if ord(c) > 127]
+        plain = encoder.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        wrong = [w for w, p, found in zip(words, plain, _ids(encoder, words)) if p.ids != found]
+        assert not wrong
+        encoder.known.clear()
+        encoder.cores.clear()
+
+
+def test_ids_of_random_texts_in_several_scripts():
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    rng = random.Random(7)
+    blocks = [(32, 127), (0xC0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x900, 0xA80), (0x1100, 0x1200), (0x4E00, 0x4F00), (0xAC00, 0xAD00)]
+    made = []
+    for _ in range(10_000):
+        low, high = rng.choice(blocks)
+        some = [chr(rng.randrange(low, high)) for _ in range(rng.randrange(1, 12))]
+        made.append("".join(rng.choice(["", "", " ", ".", "!?", "\n", "\u0130", "\u0307"]) + c for c in some) + rng.choice(["", ".", "?!"]))
+    made += ["TAT\u0130L\u0130.", "TAT\u0130L\u0130, ev", "\u0958.", "caf\u00e9!", "cafe\u0301!"]
+    plain = encoder.tokenizer.encode_batch_fast(made, add_special_tokens=False)
+    assert [p.ids for p in plain] == _ids(encoder, made)
