@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,9 +109,9 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
-        self.tail = np.array([separator], "<u4").tobytes()
+        self.tail = np.uint32(separator)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
@@ -123,21 +124,27 @@ class _Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _letters(self, core: str) -> bool:
+    def _all_letters(self, cores: list[str]) -> list[bool]:
+        """Whether each core, letters alone, still is so as the tokenizer normalises it."""
         normalizer = self.tokenizer.normalizer
-        return normalizer is None or normalizer.normalize_str(core).isalpha()
+        if normalizer is None or not cores:
+            return [True] * len(cores)
+        parts = normalizer.normalize_str(" ".join(cores)).split(" ")
+        if len(parts) != len(cores):
+            parts = [normalizer.normalize_str(core) for core in cores]
+        return [part.isalpha() for part in parts]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        cores = [word.rstrip(".,;:!?") for word in words]
+        wide = list({c for c in cores if not c.isascii() and c.isalpha()})
+        unsafe = {c for c, fine in zip(wide, self._all_letters(wide)) if not fine}
         parted, whole = [], []
-        for word in words:
-            text = word.decode()
-            core = text.rstrip(".,;:!?")
-            if core.isalpha() and (core.isascii() or self._letters(core)):
-                tail = text[len(core) :]
-                parted.append((word, core.lower() if core.isascii() else core, tail))
+        for word, core in zip(words, cores):
+            if core.isalpha() and core not in unsafe:
+                parted.append((word, core.lower() if core.isascii() else core, word[len(core) :]))
             else:
-                whole.append((word, text))
-        self.known.update(zip((w for w, _ in whole), self._encode([t for _, t in whole])))
+                whole.append(word)
+        self.known.update(zip(whole, self._encode(whole)))
         new = list({c for _, c, _ in parted}.difference(self.cores))
         for at in range(0, len(new), 256):
             some = new[at : at + 256]
@@ -151,16 +158,29 @@ class _Encoder:
         tails = list({t for _, _, t in parted}.difference(self.cores))
         self.cores.update(zip(tails, self._encode(tails)))
         for word, core, tail in parted:
-            self.known[word] = self.cores[core] + self.cores[tail]
+            self.known[word] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [text.split() for text in texts]
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text and the separator; words are looked up once per call."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
             self.cores.clear()
-        self._learn(list(set().union(*split).difference(self.known)))
-        for listed in split:
-            yield b"".join(map(self.known.__getitem__, listed)) + self.tail
+        self._learn([w for w in words if w not in self.known])
+        found = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = split.offsets.to_numpy()
+        edges = ends[bounds - bounds[0]].tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield np.append(ids[a:b], self.tail)
 
 
 def pack(
@@ -235,11 +255,7 @@ def pack(
 
         for batch in textops.slices(batches):
             schema = batch.schema.field("doc_id").type
-            content, bounds = textops.flat(batch.column("text"))
-            raw = content.tobytes()
-            texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-            for name, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
-                ids = np.frombuffer(ids, "<u4")
+            for name, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 waiting.append((name, 0, ids, len(ids)))
                 tokens += len(ids)
                 if tokens >= BLOCK_TOKENS:

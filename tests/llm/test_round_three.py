@@ -323,7 +323,7 @@ def test_odd_rows_of_quality(spark):
 
 
 def _ids(encoder, texts):
-    return [np.frombuffer(raw, "<u4")[:-1].tolist() for raw in encoder([t.encode() for t in texts])]
+    return [found[:-1].tolist() for found in encoder(pa.array(texts))]
 
 
 def test_ids_of_every_letter_before_every_closing_mark():
