@@ -187,8 +187,8 @@ _SHOWN = [
 _NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
-def _sample(rows: int) -> str:
-    """CTE ``sample``: an aligned table of each segment's first customers."""
+def _sample(rows: int, key: str) -> str:
+    """CTE ``sample``: an aligned table of each report's first customers."""
     printed, widths, line, head = [], [], [], []
     for c, kind in _SHOWN:
         sign = f"CASE WHEN {c} < 0 THEN '' ELSE ' ' END"
@@ -207,8 +207,8 @@ def _sample(rows: int) -> str:
         line.append(f"' ' || lpad({c}, w_{c}, ' ')")
         head.append(f"' ' || lpad('{title}', max(w_{c}), ' ')")
     return f"""
-    first AS (SELECT *, c_mktsegment AS k,
-        row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i
+    first AS (SELECT *, {key} AS k,
+        row_number() OVER (PARTITION BY {key} ORDER BY c_custkey) - 1 AS i
         FROM customer QUALIFY i < {rows}),
     measured AS (SELECT *, max(CASE WHEN round(c_acctbal, 1) = c_acctbal THEN 1
         ELSE 2 END) OVER (PARTITION BY k) AS decimals FROM first),
@@ -219,7 +219,7 @@ def _sample(rows: int) -> str:
         FROM wide GROUP BY k)"""
 
 
-def _data_report(report_type: str) -> str:
+def _data_report(report_type: str, key: str = "c_mktsegment") -> str:
     template, head, line, _ = reports._LAYOUTS[report_type]
     measures = {
         "mean": "avg({c})",
@@ -255,15 +255,16 @@ def _data_report(report_type: str) -> str:
         sample="sample",
     )
     return f"""
-    WITH {_sample(reports.SAMPLE_ROWS[report_type])},
-    figures AS (SELECT c_mktsegment AS k, count(*) AS n, {present} AS present,
-        concat({', '.join(lines)}) AS numbers FROM customer GROUP BY c_mktsegment)
+    WITH {_sample(reports.SAMPLE_ROWS[report_type], key)},
+    figures AS (SELECT {key} AS k, count(*) AS n, {present} AS present,
+        concat({', '.join(lines)}) AS numbers FROM customer GROUP BY k)
     SELECT k AS report_key, '{report_type}' AS report_type,
         concat('{report_type}_report_', k, '.md') AS report_name,
         {content} AS content
     FROM figures JOIN sample USING (k)"""
 
 
+_WITH_TOTALS = "{} SELECT * EXCLUDE (mean), round(mean * n, 4) AS total FROM ({})"
 _PAGE, _HTML = PAGE_MARK + "{text}", reports.HTML_PAGE.split("REPORT")
 _ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _CSV_COLUMNS = "conv_id, turn, role, text"
@@ -371,6 +372,12 @@ ALL: dict[str, str] = {
     "profile_by_many_groups": _stats(
         "orders", ["o_totalprice"], by="o_custkey", mean_digits=6
     ),
+    "profile_by_supplier": _WITH_TOTALS.format(
+        "", _stats("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], by="l_suppkey", mean_digits=15)
+    ),
+    "profile_by_event_type": _WITH_TOTALS.format(
+        _EVENTS, _stats("events_missing", ["event_id", "user_id", "value"], by="event_type", mean_digits=15)
+    ),
     "head_n": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "column_average": "SELECT round(avg(o_totalprice), 4) AS average FROM orders",
     "count_unique": "SELECT count(DISTINCT user_id) AS unique_count FROM events",
@@ -429,4 +436,5 @@ ALL: dict[str, str] = {
     FROM scored QUALIFY rank <= 3""",
     "report_document": _document_reports("CAST(doc_id AS varchar) AS report_key"),
 }
+ALL["report_whole_table"] = _data_report("executive", "'customers'")
 ALL |= {f"report_{t}": _data_report(t) for t in reports.REPORT_TYPES}

@@ -228,15 +228,33 @@ def profile_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_by_many_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A group per customer: too many to be handled as one, but small ones.
+    """A group per customer.
 
     Means over few prices often end in a 5 at the fifth place, hence six places.
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
-    stats = profile.profile_by_group(orders, ["o_custkey"], max_groups=100)
+    stats = profile.profile_by_group(orders, ["o_custkey"])
     return _rounded(stats, *_STATISTICS[1:]).withColumn("mean", F.round("mean", 6))
 
 
+def _with_totals(stats: DataFrame) -> DataFrame:
+    """A sum in place of the mean: many a mean ends in a 5, whatever place it is cut at."""
+    total = F.round(F.col("mean") * F.col("n"), 4)
+    return _rounded(stats.withColumn("total", total), *_STATISTICS[1:]).drop("mean")
+
+
+def profile_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    return _with_totals(profile.profile_by_group(items, ["l_suppkey"], columns))
+
+
+def profile_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a group of rows that have no type."""
+    events = view(spark, sf_dir, "events_missing")
+    return _with_totals(profile.profile_by_group(events, ["event_type"]))
+
+
 # --- documented question shapes ---------------------------------------------------
 
 
@@ -379,6 +397,16 @@ def _data_report(report_type: str) -> Query:
     return query
 
 
+def report_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.data_reports(
+        table(spark, sf_dir, "customer"),
+        "executive",
+        order_by=["c_custkey"],
+        generated=REPORT_TIME,
+        source="customers",
+    )
+
+
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = documents.attach_responses(
         _whole(spark, sf_dir), view(spark, sf_dir, "label_responses")
@@ -418,6 +446,8 @@ ALL: dict[str, Query] = {
         numeric_stats_missing,
         profile_by_group,
         profile_by_many_groups,
+        profile_by_supplier,
+        profile_by_event_type,
         head_n,
         column_average,
         count_unique,
@@ -438,6 +468,7 @@ ALL: dict[str, Query] = {
         lead_summary,
         topk_similar,
         report_document,
+        report_whole_table,
     )
 }
 ALL |= {f"report_{t}": _data_report(t) for t in reports.REPORT_TYPES}

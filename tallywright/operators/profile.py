@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import cells
 from tallywright.operators import ranks
+from tallywright.session import written_once
 
-FEW_GROUPS = 100
-SMALL_GROUP = 50_000
-LARGE_GROUPS = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -250,11 +248,6 @@ def schema_description(
     )
 
 
-def at_most(df: DataFrame, limit: int) -> bool:
-    """Has the table no more than ``limit`` rows? Counts no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def _zero_if_all_missing(column: str) -> Column:
     return F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col(column)).alias(column)
 
@@ -272,82 +265,41 @@ def _statistics(
     return ranks.quantiles(long, ["position"], probabilities, few_groups=True)
 
 
-def _group_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    max_groups: int,
-    small_group: int,
-    max_large: int,
-) -> DataFrame:
-    """Exact statistics per (key0, ..., position), by how many groups there are.
-
-    Few groups are counted through together; how many there are is read from the
-    key columns first. Beyond that counters would hardly combine, so groups of bounded size go through
-    Spark's own percentile in one shuffle, and only the large ones, few by
-    their size, are counted through.
-    """
-    probabilities = (0.5,)
-    group = [*[f"key{i}" for i in range(len(keys))], "position"]
-    key_columns = [cells.name(k) for k in keys]
-    if at_most(df.select(*key_columns).distinct(), max_groups):
-        long = _numeric_cells(df, keys, columns)
-        return ranks.quantiles(long, group, probabilities, few_groups=True)
-    large = (
-        df.groupBy(*[k.alias(f"large{i}") for i, k in enumerate(key_columns)])
-        .agg(F.count(F.lit(1)).alias("size"))
-        .filter(F.col("size") > small_group)
-        .drop("size")
-    )
-    # read up to the bound: few large groups need no second look at the keys
-    head = large.limit(max_large + 1).toArrow()
-    few = head.num_rows <= max_large
-    if few:
-        known = df.sparkSession.createDataFrame(head, large.schema)
-        large = F.broadcast(known)
-    same = F.lit(True)
-    for i, k in enumerate(key_columns):
-        same = same & k.eqNullSafe(F.col(f"large{i}"))
-    rest = df.join(large, same, "left_anti") if head.num_rows else df
-    small = ranks.small_group_quantiles(
-        _numeric_cells(rest, keys, columns), group, probabilities
-    )
-    if not head.num_rows:
-        return small
-    big = _numeric_cells(df.join(large, same, "left_semi"), keys, columns)
-    return small.unionByName(ranks.quantiles(big, group, probabilities, few))
-
-
 def profile_by_group(
     df: DataFrame,
     by: Sequence[str],
     columns: Sequence[str] | None = None,
     approx: bool = False,
-    max_groups: int = FEW_GROUPS,
-    small_group: int = SMALL_GROUP,
-    max_large: int = LARGE_GROUPS,
 ) -> DataFrame:
-    """Numeric statistics of every column within every group, in one job.
-
-    More than ``max_groups`` groups are split by size: those of up to
-    ``small_group`` rows are aggregated at once, larger ones counted through,
-    with a broadcast only where there are at most ``max_large`` of them.
+    """Numeric statistics of every column within every group.
+
+    Any number of groups of any size takes the same plan: one scan counts values by
+    their leading bits, a second one counts exactly inside the bucket that holds the
+    median, and only where such a bucket has over a million rows a third one splits
+    it. So a group's figures don't depend on what else is in the table. A missing
+    group is a group. The columns ``position``, ``column_name``, ``n``, ``mean``,
+    ``median``, ``min``, ``max``, ``std`` are the result's; a key of such a name is
+    called ``key_...``.
     """
     by = list(by)
     if columns is None:
         columns = [c for c in cells.numeric_columns(df) if c not in by]
+    group = [*[f"key{i}" for i in range(len(by))], "position"]
+    long = _numeric_cells(df, by, columns)
     if approx:
-        group = [*[f"key{i}" for i in range(len(by))], "position"]
-        stats = ranks.approximate_quantiles(
-            _numeric_cells(df, by, columns), group, (0.5,)
-        )
+        stats = ranks.approximate_quantiles(long, group, (0.5,))
     else:
-        stats = _group_statistics(
-            df, by, columns, max_groups, small_group, max_large
-        )
+        stats = ranks.quantiles(long, group, (0.5,), few_groups=False)
+    return _group_rows(stats, by, columns)
+
+
+_RESULTS = ("position", "column_name", "n", "mean", "median", "min", "max", "std")
+
+
+def _group_rows(stats: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(c) for c in columns])
     return stats.select(
-        *[F.col(f"key{i}").alias(k) for i, k in enumerate(by)],
+        *[F.col(f"key{i}").alias(f"key_{k}" if k in _RESULTS else k) for i, k in enumerate(by)],
         "position",
         F.get(names, F.col("position")).alias("column_name"),
         "n",
@@ -359,6 +311,41 @@ def profile_by_group(
     )
 
 
+def group_profile(
+    df: DataFrame, key: str, columns: Sequence[str], numeric: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Totals and numeric statistics per value of ``key``, both from one first scan.
+
+    That scan counts, per group and column, rows, values and moments by leading bits
+    (a column that isn't numeric only has present and missing cells); the counts are
+    stored. Totals (as ``table_totals``) and the buckets of the medians are read from
+    them, and only the medians take a second scan.
+    """
+    listed = [*numeric, *[c for c in columns if c not in numeric]]
+    entries = [cells.present(df, c).cast("double") for c in numeric]
+    entries += [F.when(~cells.is_missing(df, c), F.lit(0.0)) for c in listed[len(numeric) :]]
+    clean = df.select(cells.name(key).alias("key0"), *[e.alias(f"v{i}") for i, e in enumerate(entries)])
+    pairs = ", ".join(f"{i}, v{i}" for i in range(len(listed)))
+    long = clean.selectExpr("key0", f"stack({len(listed)}, {pairs}) AS (position, value)")
+    group = ["key0", "position"]
+    counts = written_once(ranks.coarse_counts(long, group), "group-counts")
+    each = [
+        F.sum(F.when(F.col("position") == listed.index(c), F.col("rows") - F.col("cnt")).otherwise(0)).alias(f"missing{i}")
+        for i, c in enumerate(columns)
+    ]
+    totals = (
+        counts.groupBy(F.col("key0").alias(key))
+        .agg(F.sum(F.when(F.col("position") == 0, F.col("rows"))).alias("total_rows"), *each)
+        .withColumn("total_columns", F.lit(len(columns)).cast("bigint"))
+        .withColumn("missing_values", _sum([F.col(f"missing{i}") for i in range(len(columns))]))
+    )
+    few = f"position < {len(numeric)}"
+    stats = ranks.quantiles(
+        _numeric_cells(df, [key], numeric), group, (0.5,), few_groups=False, buckets=counts.where(few)
+    )
+    return totals, _group_rows(stats, [key], numeric)
+
+
 def numeric_stats(
     df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False
 ) -> DataFrame:

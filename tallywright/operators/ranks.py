@@ -14,7 +14,9 @@ hold at most a few million counters per group, however many rows it has:
 Rounding to fewer bits keeps the order of values, so counting buckets from the
 smallest gives exact ranks. Rows are combined before each shuffle and spread
 by bucket, so a group holding most of the rows costs no more than the others.
-Only the picked buckets travel from one pass to the next.
+Only the picked buckets travel from one pass to the next. Where the number of
+groups has no bound they are stored in between: the next pass joins the table with
+a side of known size, broadcast where it is small, else by group *and* bucket.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.session import written_once
+
 SIGNIFICAND_BITS = 53
 COARSE_BITS = 9
 FINE_BITS = 30
@@ -75,22 +79,37 @@ def _before(keys: Sequence[str], label: str) -> str:
     )
 
 
+def coarse_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first pass: rows, values and moments per key and leading 9 bits."""
+    coarse = leading_bits("value", COARSE_BITS) + " AS coarse"
+    return long.selectExpr(*keys, "value", coarse).groupBy(*keys, "coarse").agg(
+        F.expr("count(1) AS rows"),
+        F.expr("count(value) AS cnt"),
+        F.expr("avg(value) AS b_mean"),
+        F.expr("var_pop(value) AS b_var"),
+        F.expr("min(value) AS b_min"),
+        F.expr("max(value) AS b_max"),
+    )
+
+
 def quantiles(
     long: DataFrame,
     keys: Sequence[str],
     probabilities: Sequence[float],
     few_groups: bool,
     few_rows: int = FEW_ROWS,
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """Per key: n, mean, std, min, max and ``q0, q1, ...`` for the probabilities.
 
     ``long`` has the keys and a double column ``value``, NULL where missing. A
     key whose values are all missing stays, with n = 0 and NULL statistics.
-    Quantiles interpolate linearly. ``few_groups`` says the caller has bounded
-    the number of keys, so the picked buckets (two per key and probability at
-    most) may be broadcast; otherwise they are joined by key and bucket, which
-    spreads a large key over many tasks. Buckets of up to ``few_rows`` rows are
-    counted by value at once.
+    Quantiles interpolate linearly. ``few_groups`` says the schema bounds the
+    number of keys, so the picked buckets (two per key and probability at most)
+    are broadcast; otherwise they are stored, and joined by key and bucket unless
+    the stored size allows a broadcast. Buckets of up to ``few_rows`` rows are
+    counted by value at once. ``buckets`` are the table's ``coarse_counts``, if
+    the caller has them already.
     """
     keys = list(keys)
     group = ", ".join(keys)
@@ -98,13 +117,8 @@ def quantiles(
     over_key = f"OVER (PARTITION BY {group})"
 
     rows = long.selectExpr(*keys, "value", coarse)
-    buckets = rows.groupBy(*keys, "coarse").agg(
-        F.expr("count(value) AS cnt"),
-        F.expr("avg(value) AS b_mean"),
-        F.expr("var_pop(value) AS b_var"),
-        F.expr("min(value) AS b_min"),
-        F.expr("max(value) AS b_max"),
-    )
+    if buckets is None:
+        buckets = coarse_counts(long, keys)
     picked = (
         buckets.selectExpr(
             "*",
@@ -122,6 +136,8 @@ def quantiles(
         .filter(_picked(probabilities))
         .selectExpr(*keys, "coarse", "below", "cnt AS held", *_MOMENTS)
     )
+    if not few_groups:
+        picked = written_once(picked, "picked-buckets")
     exact = "coalesce(value, double('NaN'))"
     fine = leading_bits("value", FINE_BITS)
     picked = _recount(
@@ -215,14 +231,6 @@ def _listed(probabilities: Sequence[float]) -> str:
     return ", ".join(f"{float(p)}D" for p in probabilities)
 
 
-def small_group_quantiles(
-    long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
-) -> DataFrame:
-    """Exact, in one shuffle, for groups small enough to be held by a task."""
-    several = f"percentile(value, array({_listed(probabilities)}))"
-    return _one_pass(long, keys, several, len(probabilities))
-
-
 def approximate_quantiles(
     long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import cells, text
 from tallywright.operators import profile
 from tallywright.operators.documents import NO_INSIGHTS
-from tallywright.session import ship
+from tallywright.session import ship, written_once
 
 ship(__name__)
 
@@ -268,7 +268,7 @@ def _numbers(stats: DataFrame, line: str) -> DataFrame:
 
 
 def _show(rows: pd.DataFrame) -> pd.DataFrame:
-    """Print one report's sample rows (at most ten) as an aligned text table."""
+    """Print one report's sample rows as an aligned text table."""
     ordered = rows.sort_values("_place")
     table = ordered.drop(columns=[_KEY, "_place"]).reset_index(drop=True)
     return pd.DataFrame({_KEY: ordered[_KEY].iloc[:1], "sample": [table.to_string()]})
@@ -309,39 +309,46 @@ def data_reports(
     source: str | None = None,
     by: str | None = None,
     insights: DataFrame | None = None,
-    max_groups: int = profile.FEW_GROUPS,
+    key_columns: int | None = KEY_COLUMNS,
+    listed_categories: int | None = LISTED_CATEGORIES,
+    sample_rows: int | None = None,
 ) -> DataFrame:
     """(report_key, report_type, report_name, content): reports on a table.
 
     Give ``source``, the table's name, for one report on the whole of it, or
     ``by``, a column, for one per value. ``insights`` (report_key, response)
     adds model output; where it has none a fixed sentence stands. A type other
-    than executive or technical gets the business layout.
+    than executive or technical gets the business layout. The business layout shows
+    the first ``key_columns`` numeric columns and lists the first
+    ``listed_categories`` others (None for all); ``sample_rows`` replaces the
+    layout's number of first rows. Rows without a value of ``by`` have a report of
+    their own, whose key is ``(missing)``, or ``(missing) (missing)`` and so on
+    where the column has such a value itself.
     """
     if (source is None) == (by is None):
         raise ValueError("give either source or by")
     layout = report_type if report_type in _LAYOUTS else "business"
-    template, head, line, limit = _LAYOUTS[layout]
+    template, head, line, limited = _LAYOUTS[layout]
+    limit = key_columns if limited else None
     columns = df.columns
     numeric, categorical = cells.numeric_columns(df), cells.categorical_columns(df)
     shown = numeric[:limit]
 
     if by is None:
         key = F.lit(source)
-        totals = profile.table_totals(df).withColumn(_KEY, key)
-        stats = profile.numeric_stats(df, shown).withColumn(_KEY, key)
+        # one row each; read back, their key is a column to join on, not a constant
+        totals = written_once(profile.table_totals(df).withColumn(_KEY, key), "report-totals")
+        stats = written_once(profile.numeric_stats(df, shown).withColumn(_KEY, key), "report-numbers")
         keyed = df.withColumn(_KEY, key)
     else:
-        key = F.coalesce(cells.name(by).cast("string"), F.lit(_NO_GROUP))
+        # no value of the column reads like the key of the missing ones
+        own = cells.name(by).cast("string")
+        taken = F.regexp_like(own, F.lit(rf"^\(missing\)( \(missing\))*$"))
+        key = F.when(own.isNull(), F.lit(_NO_GROUP)).when(taken, F.concat(own, F.lit(f" {_NO_GROUP}"))).otherwise(own)
         keyed = df.withColumn(_KEY, key)
-        totals = profile.table_totals(keyed, [_KEY], columns)
-        stats = (
-            profile.profile_by_group(keyed, [_KEY], shown, max_groups=max_groups)
-            if shown
-            else None
-        )
+        totals, stats = profile.group_profile(keyed, _KEY, columns, shown)
     report = totals.join(
-        _samples(keyed, by, order_by, SAMPLE_ROWS[layout]), _KEY, "left"
+        _samples(keyed, by, order_by, sample_rows or SAMPLE_ROWS[layout]), _KEY, "left"
     )
     if shown:
         report = report.join(_numbers(stats, line), _KEY, "left")
@@ -369,7 +376,7 @@ def data_reports(
         complete=text.fixed(share, 1),
         numeric=F.lit(len(numeric)),
         categorical=F.lit(len(categorical)),
-        categories=F.lit(", ".join(categorical[:LISTED_CATEGORIES])),
+        categories=F.lit(", ".join(categorical[:listed_categories])),
         numbers=numbers,
         missing=_missing_section(columns),
         sample=F.coalesce("sample", F.lit(empty)),

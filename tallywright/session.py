@@ -6,8 +6,10 @@ import re
 import sys
 import tempfile
 
+from uuid import uuid4
+
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -24,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="tallywright-")
 
 
+def written_once(frame: DataFrame, name: str) -> DataFrame:
+    """The rows, stored in the shared folder and read from there.
+
+    What follows neither computes them again nor guesses their size: the planner
+    broadcasts them only if the stored files are below its own threshold.
+    """
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def ship(module_name: str) -> None:
     """Send a module's functions along with the jobs that use them.
 

@@ -258,12 +258,11 @@ def test_moments_of_groups(spark):
     df = spark.createDataFrame(frame)
     expected = frame.groupby("g").agg(["mean", "median", "min", "max", "std", "count"])
     together = profile.profile_by_group(df, ["g"]).toPandas()
-    by_size = profile.profile_by_group(df, ["g"], max_groups=3, small_group=100)
-    # more large groups than may be broadcast
-    shuffled = profile.profile_by_group(
-        df, ["g"], max_groups=3, small_group=10, max_large=3
-    )
-    for got in (together, by_size.toPandas(), shuffled.toPandas()):
+    # nothing small enough for a broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = profile.profile_by_group(df, ["g"]).toPandas()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for got in (together, shuffled):
         assert len(got) == 2 * len(expected)
         for row in got.itertuples():
             want = expected.loc[row.g, row.column_name]
@@ -279,11 +278,6 @@ def test_group_keys_may_be_missing(spark):
     rows = {r["g"]: r for r in profile.profile_by_group(df, ["g"]).collect()}
     assert rows[None]["median"] == 2.0
     assert (rows["a"]["n"], rows["a"]["median"], rows["a"]["std"]) == (0, 0.0, 0.0)
-    for small in (0, 1, 10):
-        many = profile.profile_by_group(
-            df, ["g"], max_groups=1, small_group=small, max_large=1
-        )
-        assert {r["g"]: r["median"] for r in many.collect()} == {None: 2.0, "a": 0.0}
 
 
 def test_all_missing_column_is_zero_and_single_value_has_no_std(spark):
@@ -312,10 +306,35 @@ def test_approximate_median_is_near(spark):
     assert stats["mean"] == 50000.0
 
 
-def test_at_most(spark):
-    df = spark.createDataFrame([("a",), ("b",), (None,)], "g string")
-    assert profile.at_most(df, 3)
-    assert not profile.at_most(df, 2)
+def test_a_groups_figures_do_not_depend_on_others(spark):
+    rng = np.random.default_rng(8)
+    own = pd.DataFrame({"g": "own", "x": rng.normal(3, 1e-3, 5000)})
+    rest = pd.DataFrame({"g": rng.integers(0, 900, 20000).astype(str), "x": rng.normal(0, 9, 20000)})
+    alone = spark.createDataFrame(own).coalesce(1)
+    beside = alone.union(spark.createDataFrame(rest))
+    figures = [
+        profile.profile_by_group(df, ["g"]).where("g = 'own'").collect() for df in (alone, beside)
+    ]
+    assert figures[0] == figures[1]
+
+
+def test_key_with_the_name_of_a_result(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0)], "n int, x double")
+    stats = profile.profile_by_group(df, ["n"])
+    assert len(set(stats.columns)) == len(stats.columns)
+    assert stats.first()["key_n"] == 1 and stats.first()["median"] == 3.0
+
+
+def test_group_profile_counts_missing_cells(spark):
+    rows = [("a", None, 1.0), ("a", "x", NAN), (None, "y", 2.0), (None, None, None), (None, None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, s string, x double")
+    totals, stats = profile.group_profile(df, "g", df.columns, ["x"])
+    got = {r["g"]: r for r in totals.collect()}
+    wanted = {r["g"]: r for r in profile.table_totals(df, ["g"], df.columns).collect()}
+    assert {k: v.asDict() for k, v in got.items()} == {k: v.asDict() for k, v in wanted.items()}
+    assert {r["g"]: (r["n"], r["median"]) for r in stats.collect()} == {"a": (1, 1.0), None: (2, 3.0)}
+    totals, stats = profile.group_profile(df.select("g", "s"), "g", ["g", "s"], [])
+    assert {r["g"]: r["missing1"] for r in totals.collect()} == {"a": 1, None: 2} and stats.count() == 0
 
 
 def test_cell_class_names(spark):

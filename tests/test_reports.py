@@ -183,3 +183,27 @@ def test_html(spark):
     [row] = reports.report_html(df).collect()
     assert "<pre>a &lt; b &amp; c</pre>" in row["html"]
     assert row["html"].startswith("<html>")
+
+
+def test_missing_group_is_not_the_group_of_that_name(spark):
+    rows = [(1, None, 1.0), (2, "(missing)", 2.0), (3, "(missing)", 4.0), (4, "(missing) (missing)", 8.0)]
+    df = spark.createDataFrame(rows, "k int, s string, x double")
+    got = {r["report_key"]: r["content"] for r in reports.data_reports(df, "executive", ["k"], AT, by="s").collect()}
+    counts = {"(missing)": 1, "(missing) (missing)": 2, "(missing) (missing) (missing)": 1}
+    assert set(got) == set(counts)
+    assert all(f"| Total Records | {n} |" in got[k] for k, n in counts.items())
+
+
+def test_caps_can_be_lifted(spark):
+    wide = spark.range(12).selectExpr("id", *[f"id + {i} AS n{i}" for i in range(8)], *[f"'t' AS c{i}" for i in range(12)])
+    cut, whole = (
+        reports.data_reports(wide, kind, ["id"], AT, source="t", **more).first()["content"]
+        for kind, more in (("business", {}), ("business", {"key_columns": None, "sample_rows": 12}))
+    )
+    assert "n7" not in cut.split("id  ")[0] and whole.count("n7") > cut.count("n7")
+    assert whole.count("\n11") == 1 and cut.count("\n11") == 0
+    few, all_ = (
+        reports.data_reports(wide, "technical", ["id"], AT, source="t", listed_categories=n).first()["content"]
+        for n in (10, None)
+    )
+    assert "c9, c10, c11" in all_ and "c9, c10, c11" not in few
