@@ -31,7 +31,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     `edges` has two columns a and b of one number type, in any direction, repeated or
     not; loops and nulls count for nothing. Large-star and small-star steps take
     turns until every edge points at the least node of its component. Each turn is
-    written to the shared folder, and only a count and a checksum come to the driver.
+    written to the shared folder in place of the one before, and only a count and a
+    checksum come to the driver.
     """
     current = tables.settled(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
@@ -44,5 +45,6 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before = state
-        current = tables.settled(_small_star(_large_star(current)), name)
+        before, last = state, current
+        current = tables.settled(_small_star(_large_star(last)), name)
+        tables.dropped(last)

@@ -114,18 +114,19 @@ def fit(
     )
     if not len(sample):
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS), 0.0)
-    counted = np.stack(
-        [np.frombuffer(v, np.float16) for v in sample["vector"]]
-    ).astype(np.float32)
-    idf = np.log((1 + len(counted)) / (1 + (counted > 0).sum(axis=0))) + 0.05
-    rows, names = _unit(counted * idf.astype(np.float32)), sample["lang"].to_numpy()
+    # whole numbers of rows at half precision; only one language at a time is widened
+    counted = np.stack([np.frombuffer(v, np.float16) for v in sample["vector"]])
+    names = sample["lang"].to_numpy()
+    del sample
+    idf = np.log((1 + len(counted)) / (1 + np.count_nonzero(counted, axis=0))) + 0.05
     languages, centres, near = [], [], []
     for language in sorted(set(names)):
-        own = rows[names == language]
+        own = _unit(counted[names == language].astype(np.float32) * idf.astype(np.float32))
         found = _cluster(own, centroids)
         languages += [language] * len(found)
         centres.append(found)
         near.append((own @ found.T).max(axis=1))
+        del own
     floor = float(np.quantile(np.concatenate(near), 0.01)) * margin
     return Model(languages, np.vstack(centres), idf.astype(np.float32), floor)
 

@@ -470,12 +470,15 @@ def link(
     members = tables.settled(
         placed.join(open_, "signature").select("signature", "a", "n", "component").distinct(), "members"
     )
+    tables.dropped(shared)
     sized = _crowds(members, plain, width, percent, group_rows).join(
         sketches.select(F.col("doc_id").alias("a"), "sketch"), "a"
     )
     rest = _meetings(_dealt(sized, group_rows), percent).distinct()
     rest = tables.settled(rest.join(near, ["a", "b"], "left_anti"), "rest")
+    tables.dropped(marked, members, near)
     nodes = components(links.unionByName(_verified(rest, plain, width, percent)))
+    tables.dropped(rest)
     result = classes.join(nodes.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     shown = lambda c: F.when(c != _NO_ID, c)
     return result.select(

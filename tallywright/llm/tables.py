@@ -30,7 +30,17 @@ def settled(frame: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def dropped(*settled_tables: DataFrame) -> None:
+    """Delete settled tables that no later job reads; what was read of them is settled too."""
+    for table in settled_tables:
+        context = table.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def parallelism(frame: DataFrame) -> int:
