@@ -23,7 +23,7 @@ SENTENCE_CUT = 2
 HARD_CUT = 32
 SEQUENCE_COST = 4
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18  # some 100 MB, kept by a worker process
 _SCHEMA = (
     "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint,"
     " sequence_id bigint, offset bigint"
@@ -167,11 +167,11 @@ class _Encoder:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            self.cores.clear()
         self._learn([w for w in words if w not in self.known])
         found = [self.known[w] for w in words]
+        if len(self.known) > CACHED_WORDS:  # the frequent ones are among these words
+            self.known = dict(zip(words, found))
+            self.cores.clear()
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
         starts = np.cumsum(sizes) - sizes
@@ -185,7 +185,7 @@ class _Encoder:
 
 
 def _encoder(path: str, separator: int) -> _Encoder:
-    """This worker process's encoder, with the words that earlier tasks have met."""
+    """This worker process's encoder, with frequent words that earlier tasks have met."""
     held = vars(sys).setdefault("_tallywright_encoders", {})
     if (path, separator) not in held:
         held.clear()
