@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections import deque
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ SENTENCE_CUT = 2
 HARD_CUT = 32
 SEQUENCE_COST = 4
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 1 << 18  # some 100 MB, kept by a worker process
+CACHED_WORDS = 1 << 18
 _SCHEMA = (
     "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint,"
     " sequence_id bigint, offset bigint"
@@ -184,15 +183,6 @@ class _Encoder:
             yield np.append(ids[a:b], self.tail)
 
 
-def _encoder(path: str, separator: int) -> _Encoder:
-    """This worker process's encoder, with frequent words that earlier tasks have met."""
-    held = vars(sys).setdefault("_tallywright_encoders", {})
-    if (path, separator) not in held:
-        held.clear()
-        held[path, separator] = _Encoder(path, separator)
-    return held[path, separator]
-
-
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -219,7 +209,7 @@ def pack(
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
     def run(batches):
-        encode, number = _encoder(tokenizer, separator), TaskContext.get().partitionId() << 32
+        encode, number = _Encoder(tokenizer, separator), TaskContext.get().partitionId() << 32
         waiting: list[tuple[object, int, np.ndarray, int]] = []
         tokens = 0
         schema = None
