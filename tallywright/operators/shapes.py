@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,21 +65,27 @@ def latest_by_key(
 ) -> DataFrame:
     """One row per key, the last written one, as an upsert leaves it.
 
-    Rows are reduced per key before the shuffle, so a key with most of the
-    rows sends one row per task. A missing order value sorts first.
+    The first scan reads key and order only and finds each key's last order value; the
+    second joins the table with these and so meets the other columns of the winning
+    rows alone. The join is on key *and* order: a key with most of the rows is spread
+    by its order values, and where the winners are few the planner broadcasts them, so
+    no row of the table is sorted or sent. A missing order value sorts first. Of rows
+    equal in key and order one stays.
     """
-    order = F.struct(*[cells.name(c) for c in order_by])
-    kept = [c for c in df.columns if c not in key]
-    newest = F.max_by(F.struct(*[cells.name(c) for c in kept]), order)
-    return (
-        df.groupBy(*[cells.name(k) for k in key])
-        .agg(newest.alias("newest"))
-        .select(
-            *[cells.name(k) for k in key],
-            *[F.col("newest").getField(c).alias(c) for c in kept],
-        )
-        .select(*[cells.name(c) for c in df.columns])
-    )
+    keys = {f"_key{i}": cells.name(k) for i, k in enumerate(key)}
+    orders = {f"_order{i}": cells.name(c) for i, c in enumerate(order_by)}
+    sought = [c.alias(n) for n, c in (keys | orders).items()]
+    narrow = df.select(*sought)
+    if len(orders) == 1:
+        last = narrow.groupBy(*keys).agg(F.max("_order0").alias("_order0"))
+    else:
+        top = F.max(F.struct(*orders)).alias("_top")
+        last = narrow.groupBy(*keys).agg(top).select(*keys, "_top.*")
+    rows = df.select(F.struct(*[cells.name(c) for c in df.columns]).alias("_row"), *sought)
+    rows, last = rows.alias("rows"), last.alias("last")
+    same = [F.col(f"rows.{n}").eqNullSafe(F.col(f"last.{n}")) for n in keys | orders]
+    winners = rows.join(last, reduce(and_, same), "left_semi")
+    return winners.groupBy(*keys).agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def last_accessed(df: DataFrame, column: str, tie_break: Sequence[str]) -> DataFrame:

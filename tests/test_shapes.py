@@ -62,6 +62,36 @@ def test_latest_by_key_keeps_the_last_written_row(spark):
     ]
 
 
+def test_latest_by_key_with_missing_keys_ties_and_odd_names(spark):
+    rows = [
+        (None, 1.0, 7, "a"),
+        (None, NAN, 1, "b"),
+        ("x", None, None, "c"),
+        ("y", 0.0, 1, "d"),
+        ("y", -0.0, 2, "e"),
+        ("z", 1.0, 1, "f"),
+        ("z", 1.0, 1, "f"),
+    ]
+    df = spark.createDataFrame(rows, "`the key` string, `a.b` double, _order0 int, _row string")
+    latest = shapes.latest_by_key(df.repartition(3), ["the key"], ["a.b", "_order0"])
+    assert latest.columns == df.columns
+    assert sorted(r["_row"] for r in latest.collect()) == ["b", "c", "e", "f"]
+    assert shapes.latest_by_key(df.limit(0), ["the key"], ["a.b"]).collect() == []
+
+
+def test_latest_by_key_finds_the_winners_in_a_narrow_scan(spark, tmp_path):
+    columns = ["id % 50 AS k", "id AS at", "repeat('x', 100) AS note", "map('a', id) AS m"]
+    spark.range(1000).selectExpr(*columns).write.parquet(str(tmp_path / "t"))
+    latest = shapes.latest_by_key(spark.read.parquet(str(tmp_path / "t")), ["k"], ["at"])
+    assert sorted(r["at"] for r in latest.collect()) == list(range(950, 1000))
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan") :]
+    narrow = initial[initial.index("BroadcastExchange") :]
+    assert "note" not in narrow and "Sort" not in narrow
+    joined = initial[initial.index("BroadcastHashJoin") : initial.index("BroadcastExchange")]
+    assert "LeftSemi" in joined and "Sort" not in joined and "Exchange" not in joined
+
+
 def test_last_accessed(spark):
     rows = [("f", None), ("g", "2025-01-02"), ("h", "2025-01-02"), ("i", "2025-01-01")]
     df = spark.createDataFrame(rows, "name string, at string")
