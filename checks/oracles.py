@@ -390,6 +390,8 @@ ALL: dict[str, str] = {
     "top_n": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "latest_by_key": "SELECT * FROM events QUALIFY row_number() OVER"
     " (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "upsert_by_key": "SELECT * FROM events QUALIFY row_number() OVER"
+    " (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "last_accessed": "SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 1",
     "attach_responses": with_views("label_responses")
     + f" SELECT doc_id, lang, coalesce(response, {_quote(NO_INSIGHTS)}) AS response"

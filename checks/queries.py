@@ -12,7 +12,7 @@ from checks.inputs import CREATED_AT, REPORT_TIME, table, view
 from tallywright.operators import assemble, documents, profile, retrieval, shapes
 from tallywright.plans import reports
 from tallywright.session import shared_folder
-from tallywright.sources import files, folders, tables
+from tallywright.sources import files, folders, keyed, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -290,6 +290,18 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.latest_by_key(events, ["user_id"], ["ts", "event_id"])
 
 
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event per user: the events of each day's second half come in first."""
+    events = table(spark, sf_dir, "events")
+    path = _fresh(spark, "keyed")
+    keyed.create(spark, path, events._jdf.schema().toDDL(), ["user_id"], ["ts", "event_id"])
+    first = F.coalesce(F.hour("ts") >= 12, F.lit(False))
+    for batch, part in [("second", first), ("first", ~first), ("second", first)]:
+        keyed.upsert(spark, path, events.where(part), batch)
+    keyed.compact(spark, path)
+    return keyed.read(spark, path)
+
+
 def last_accessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.last_accessed(table(spark, sf_dir, "events"), "ts", ["event_id"])
 
@@ -455,6 +467,7 @@ ALL: dict[str, Query] = {
         summary_statistics,
         top_n,
         latest_by_key,
+        upsert_by_key,
         last_accessed,
         attach_responses,
         text_metrics,
