@@ -305,6 +305,8 @@ ALL: dict[str, str] = {
     "parse_metadata": "SELECT event_id,"
     " CAST(json_extract(props, '$.k') AS bigint) AS k FROM events",
     "write_csv": f"SELECT {_CSV_COLUMNS} FROM conversations",
+    "load_csv_with_breaks": "SELECT doc_id, '\"' || text || '\"' || chr(10) || lang AS quoted,"
+    " n_chars FROM documents",
     "write_reports": _document_reports("doc_id"),
     "write_report_files": "SELECT report_name, content FROM ("
     + _document_reports("doc_id")

@@ -100,6 +100,15 @@ def write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def load_csv_with_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in quotes, each with a line break behind, through CSV files."""
+    folder = _fresh(spark, "csv")
+    quoted = F.concat(F.lit('"'), "text", F.lit('"\n'), "lang")
+    source = table(spark, sf_dir, "documents").select("doc_id", quoted.alias("quoted"), "n_chars")
+    tables.write_csv(source, f"{folder}/documents.csv")
+    return tables.load_table(spark, folder, "documents", fmt="csv", schema=source.schema)
+
+
 def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _fresh(spark, "reports")
     files.write_reports(report_document(spark, sf_dir), folder)
@@ -440,6 +449,7 @@ ALL: dict[str, Query] = {
         read_metadata_json,
         parse_metadata,
         write_csv,
+        load_csv_with_breaks,
         write_reports,
         write_report_files,
         report_html,
