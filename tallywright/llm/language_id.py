@@ -15,10 +15,13 @@ from tallywright.session import ship
 
 ship(__name__)
 
-BITS = 12
+BITS = 16
 CENTROIDS = 3
 SAMPLE_ROWS = 4000
-ROWS = 512
+ROWS = 4096
+BANDS = 32
+BAND_ROWS = 20
+MARGIN = 0.4
 UNKNOWN = "und"
 
 # lower-case letters and bytes of other letters stay, all else is a blank
@@ -28,16 +31,63 @@ _LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 @dataclass
 class Model:
-    """Learned languages, one row of `centroids` for each entry of `languages`."""
+    """Learned languages, one row of `centroids` for each entry of `languages`.
+
+    `floors` holds, for each of these rows and each band of length, the similarity below
+    which a text is too far away.
+    """
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray
+
+
+def _nothing() -> Model:
+    none = np.zeros((0, 1 << BITS), np.float32)
+    return Model([], none, np.ones(1 << BITS, np.float32), np.zeros((0, BANDS)))
+
+
+@dataclass
+class _Texts:
+    """Hashed three-byte sequences of texts: a cell and its count per entry."""
+
+    bounds: np.ndarray  # where each text's entries start, and the end
+    cells: np.ndarray
+    counts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
 
+    def band(self) -> np.ndarray:
+        """The number of binary digits of the number of sequences."""
+        total = np.bincount(self.owner, self.counts, len(self))
+        return np.minimum(np.frexp(total)[1], BANDS - 1)
 
-def _counts(column: pa.Array) -> np.ndarray:
-    """Damped counts of hashed three-byte sequences, one row per text."""
+    def weights(self, idf: np.ndarray) -> np.ndarray:
+        """Damped counts times idf, as vectors of length one."""
+        raw = np.sqrt(self.counts) * idf[self.cells]
+        length = np.sqrt(np.bincount(self.owner, raw * raw, len(self)))
+        return raw / np.repeat(np.where(length > 0, length, 1), np.diff(self.bounds))
+
+    def near(self, weights: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Cosine of every text with every centre."""
+        owner, n = self.owner, len(self)
+        each = [np.bincount(owner, weights * c[self.cells], n) for c in centres]
+        return np.array(each).reshape(len(centres), n).T
+
+    def take(self, rows: np.ndarray) -> _Texts:
+        sizes = np.diff(self.bounds)[rows]
+        ends = np.cumsum(sizes)
+        places = np.arange(sizes.sum()) + np.repeat(self.bounds[:-1][rows] - (ends - sizes), sizes)
+        return _Texts(np.concatenate([[0], ends]), self.cells[places], self.counts[places])
+
+
+def _counts(column: pa.Array) -> _Texts:
     content, bounds = textops.flat(column)
     padded, starts = textops.spread(_LETTERS[content], bounds, 2, 32)
     a, b, c = (padded[i : len(padded) - 2 + i].astype(np.uint32) for i in range(3))
@@ -48,49 +98,79 @@ def _counts(column: pa.Array) -> np.ndarray:
     blank = (a == 32) & (b == 32)
     owner = np.searchsorted(starts - 1, np.arange(len(h)), side="right") - 1
     kept = ~blank & (owner >= 0)
-    cells = np.bincount(
-        (owner[kept] << BITS) + h[kept], minlength=len(column) << BITS
-    ).reshape(len(column), 1 << BITS)
-    return np.sqrt(cells.astype(np.float32))
+    found = np.sort((owner[kept].astype(np.uint32) << np.uint32(BITS)) | h[kept])
+    first = np.flatnonzero(np.diff(found, prepend=found[:1] + 1) != 0)
+    counts = np.diff(np.append(first, len(found)))
+    cells = found[first]
+    of_text = np.searchsorted(cells >> np.uint32(BITS), np.arange(len(column) + 1))
+    return _Texts(of_text, (cells & np.uint32((1 << BITS) - 1)).astype(np.int32), counts)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return rows / np.where(length > 0, length, 1)
+def _centre(texts: _Texts, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The direction of the chosen texts' sum."""
+    mine = chosen[texts.owner]
+    total = np.bincount(texts.cells[mine], weights[mine], 1 << BITS)
+    return (total / (np.sqrt(total @ total) or 1.0)).astype(np.float32)
 
 
-def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means, started from the rows farthest from one another."""
-    centres = _unit(rows.mean(axis=0, keepdims=True))
-    while len(centres) < min(k, len(rows)):
-        centres = np.vstack([centres, rows[(rows @ centres.T).max(axis=1).argmin()]])
+def _cluster(texts: _Texts, weights: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means, started from the texts farthest from one another."""
+    n = len(texts)
+    centres = _centre(texts, weights, np.ones(n, bool))[None]
+    while len(centres) < min(k, n):
+        farthest = texts.near(weights, centres).max(axis=1).argmin()
+        centres = np.vstack([centres, _centre(texts, weights, np.arange(n) == farthest)])
     for _ in range(10):
-        nearest = (rows @ centres.T).argmax(axis=1)
-        members = [rows[nearest == i] for i in range(len(centres))]
+        nearest = texts.near(weights, centres).argmax(axis=1)
         centres = np.vstack(
-            [_unit(m.mean(axis=0, keepdims=True)) for m in members if len(m)]
+            [_centre(texts, weights, nearest == i) for i in np.unique(nearest)]
         )
     return centres
 
 
+def _floors(texts: _Texts, idf: np.ndarray, k: int, margin: float) -> np.ndarray:
+    """Per band of length, `margin` times the lowest hundredth of similarities.
+
+    Centres of each half of the texts judge the other half. A band with too few texts
+    has the floor of the next shorter one, as longer texts are nearer.
+    """
+    near, bands = [], []
+    for half in (0, 1):
+        other = texts.take(np.arange(1 - half, len(texts), 2))
+        own = texts.take(np.arange(half, len(texts), 2))
+        if len(own) and len(other):
+            centres = _cluster(other, other.weights(idf), k)
+            near.append(own.near(own.weights(idf), centres).max(axis=1))
+            bands.append(own.band())
+    floors = np.zeros(BANDS)
+    if near:
+        near, bands = np.concatenate(near), np.concatenate(bands)
+        for band in range(1, BANDS):
+            here = near[bands == band]
+            enough = len(here) >= BAND_ROWS
+            floors[band] = margin * np.quantile(here, 0.01) if enough else floors[band - 1]
+    return floors
+
+
 def fit(
     labelled: DataFrame,
     id_column: str = "doc_id",
     sample_rows: int = SAMPLE_ROWS,
     centroids: int = CENTROIDS,
-    margin: float = 0.25,
+    margin: float = MARGIN,
 ) -> Model:
     """Learn from rows with `text` and `lang`; rows lacking either are left out.
 
     At most about `sample_rows` rows, spread evenly over the languages and chosen by
-    a hash of their key, are turned into vectors by tasks and come to the driver;
-    all rows are counted for that. `floor`, below which a text is too far from every
-    language, is `margin` times the lowest hundredth of the sample's similarities.
+    a hash of their key, are counted by tasks and come to the driver; all rows are
+    counted for that. A text is too far from every language if its similarity to the
+    nearest centroid is below that language's floor for texts about as long: `margin`
+    times the lowest hundredth of the similarities of labelled texts.
     """
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS), 0.0)
+        return _nothing()
     each = max(1, sample_rows // len(sizes))
     share = F.lit(0.0)
     for language, size in sizes.items():
@@ -99,36 +179,38 @@ def fit(
 
     def vectors(batches):
         for batch in textops.slices(batches, rows=ROWS):
-            rows = _counts(batch.column("text")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())],
-                ["lang", "vector"],
+            texts = _counts(batch.column("text"))
+            cells, counts = (
+                pa.LargeListArray.from_arrays(texts.bounds, pa.array(part.astype(np.int32))).cast(pa.list_(pa.int32()))
+                for part in (texts.cells, texts.counts)
             )
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), cells, counts], ["lang", "cells", "counts"])
 
     sample = (
         usable.where(chosen)
         .select("lang", "text")
-        .mapInArrow(vectors, "lang string, vector binary")
-        .toPandas()
-        .sort_values(["lang", "vector"])
+        .mapInArrow(vectors, "lang string, cells array<int>, counts array<int>")
+        .toArrow()
     )
-    if not len(sample):
-        return Model([], np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS), 0.0)
-    # whole numbers of rows at half precision; only one language at a time is widened
-    counted = np.stack([np.frombuffer(v, np.float16) for v in sample["vector"]])
-    names = sample["lang"].to_numpy()
-    del sample
-    idf = np.log((1 + len(counted)) / (1 + np.count_nonzero(counted, axis=0))) + 0.05
-    languages, centres, near = [], [], []
+    names = np.array(sample["lang"].to_pylist())
+    cells, counts = (sample[c].combine_chunks() for c in ("cells", "counts"))
+    flat = lambda lists: lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(cells.offsets.to_numpy())
+    texts = _Texts(np.concatenate([[0], np.cumsum(sizes)]), flat(cells), flat(counts))
+    if not len(texts):
+        return _nothing()
+    idf = np.log((1 + len(texts)) / (1 + np.bincount(texts.cells, minlength=1 << BITS))) + 0.05
+    idf = idf.astype(np.float32)
+    # the same order whatever task came first
+    order = np.lexsort((np.add.reduceat(np.append(texts.cells, 0), texts.bounds[:-1]), sizes))
+    languages, centres, floors = [], [], []
     for language in sorted(set(names)):
-        own = _unit(counted[names == language].astype(np.float32) * idf.astype(np.float32))
-        found = _cluster(own, centroids)
+        own = texts.take(order[names[order] == language])
+        found = _cluster(own, own.weights(idf), centroids)
         languages += [language] * len(found)
         centres.append(found)
-        near.append((own @ found.T).max(axis=1))
-        del own
-    floor = float(np.quantile(np.concatenate(near), 0.01)) * margin
-    return Model(languages, np.vstack(centres), idf.astype(np.float32), floor)
+        floors += [_floors(own, idf, centroids, margin)] * len(found)
+    return Model(languages, np.vstack(centres), idf, np.array(floors))
 
 
 def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -136,7 +218,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
 
     `und` with score 0 where the text is missing or has no letter, or nothing was
     learned. Rejected are those and the texts whose similarity to the nearest
-    centroid is below the model's floor. Of equally near languages the first by name
+    centroid is below its floor. Of equally near languages the first by name
     is taken. Columns of these three names are replaced, all others kept.
     """
     kept = docs.drop("lang_pred", "score", "rejected")
@@ -161,15 +243,17 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
             for i in np.flatnonzero(~named & (np.diff(bounds) > 0)):
                 named[i] = any(map(str.isalpha, texts[int(i)].as_py()))
             if known.languages:
-                near = _unit(_counts(texts) * known.idf) @ known.centroids.T
+                counted = _counts(texts)
+                near = counted.near(counted.weights(known.idf), known.centroids)
                 best = near.argmax(axis=1)
+                floor = known.floors[best, counted.band()]
                 score = np.where(
                     named, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0
                 ).astype(np.float64)
                 names = [known.languages[b] if n else UNKNOWN for b, n in zip(best, named)]
             else:
-                score, names = np.zeros(len(named)), [UNKNOWN] * len(named)
-            rejected = (score < known.floor) | ~named | (not known.languages)
+                score, names, floor = np.zeros(len(named)), [UNKNOWN] * len(named), 0.0
+            rejected = (score < floor) | ~named | (not known.languages)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
                 [*batch.schema.names, "lang_pred", "score", "rejected"],
