@@ -32,7 +32,10 @@ def _ranked(docs: DataFrame, source: Column, key: str, buckets: int) -> DataFram
     over as many tasks as it has buckets.
     """
     mixed = F.xxhash64(F.col(key), F.lit("mix"))
-    rows = docs.withColumn("_source", source).withColumn("_hash", mixed)
+    # own columns in one, whatever their names are
+    rows = docs.select(
+        F.struct("*").alias("_row"), source.alias("_source"), F.col(key).alias("_key"), mixed.alias("_hash")
+    )
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
@@ -40,7 +43,7 @@ def _ranked(docs: DataFrame, source: Column, key: str, buckets: int) -> DataFram
         .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .drop("_size")
     )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", key)
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_key")
     return (
         rows.withColumn("_inside", F.row_number().over(inside) - 1)
         .join(sizes, ["_source", "_bucket"])
@@ -158,7 +161,7 @@ def mix(
     joined = rows.join(F.broadcast(table), ["stretch", "place", "turn"])
     slot = F.col("first_slot") + (F.col("_round") - F.col("first_round")) * F.col("slots") + F.col("slot")
     return joined.withColumn("block_slot", slot).select(
-        *docs.columns,
+        "_row.*",
         "block",
         "block_slot",
         (F.col("block_slot") * block_rows + F.col("_rank") % block_rows).alias("mix_position"),

@@ -145,6 +145,15 @@ def test_mixing_keeps_within_a_block(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["turn", "place", "slot", "slots", "deadline", "stretch", "_rank", "_source", "_row", "_share", "a.b"]
+    fields = ", ".join(f"`{n}` int" for n in names)
+    rows = [(i, "x" if i % 3 else "y", *[i * 10 + k for k in range(len(names))]) for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, f"doc_id bigint, source string, {fields}"), block_rows=4)
+    assert got.columns == ["doc_id", "source", *names, "block", "block_slot", "mix_position"]
+    assert sorted(tuple(r)[: len(names) + 2] for r in got.collect()) == rows
+
+
 def test_lattice_sums_all_segmentations():
     pieces = lm_scoring.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     logs = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallywright.llm import mixing, tables
 
@@ -36,6 +38,21 @@ def test_sequences_follow_the_mixture(spark, sf_dir):
     assert order == sorted(place, key=place.get)
 
 
+def test_own_columns_pass_and_repeated_rows_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    names = ["score", "Rejected", "lang_pred", "spans", "block", "block_slot", "mix_position", "turn", "slot", "count"]
+    own = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    nameless = own.limit(3).withColumn("doc_id", F.lit(None).cast("bigint"))
+    table = tables.settled(own.unionByName(own).unionByName(nameless), "own")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = tables.settled(stage(spark, table, sf_dir), name)
+        assert table.columns == own.columns
+    got = table.where("doc_id IS NOT NULL").collect()
+    assert got and len({r["doc_id"] for r in got}) == len(got)
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    assert table.where("doc_id IS NULL").count() == 3
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
