@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 
 import public_tokenizers
 
-from tallywright.llm import conversations, line_quality, oracles, packing, phrases, queries, quotient
+from tallywright.llm import conversations, line_quality, lm_scoring, oracles, packing, phrases, queries, quotient
 
 # ---- counting quotient filters
 
@@ -350,3 +350,59 @@ def test_ids_of_random_texts_in_several_scripts():
     made += ["TAT\u0130L\u0130.", "TAT\u0130L\u0130, ev", "\u0958.", "caf\u00e9!", "cafe\u0301!"]
     plain = encoder.tokenizer.encode_batch_fast(made, add_special_tokens=False)
     assert [p.ids for p in plain] == _ids(encoder, made)
+
+
+def test_scores_against_plain_counts(spark):
+    """Every column of a score, by plain Python over the same pieces."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["The cat the CAT\tsat", "a cat\nö sat  x" * 30, "", None, "q" * 40 + " zebra the", " \t ", "the the"]
+    rows = [(i, t, i in (2, 4)) for i, t in enumerate(texts)] + [(None, "the end", False), (0, texts[0], False)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, held_out boolean").repartition(3)
+    got = sorted(lm_scoring.score(docs, path, rounds=0).collect(), key=str)
+    words = [(t or "").translate({c: c + 32 for c in range(65, 91)}).split() for _, t, _ in rows]
+    counts = Counter(w for ws, (_, _, held) in zip(words, rows) if not held for w in ws)
+    ends = sum(not held for _, _, held in rows)
+    every, distinct = sum(counts.values()) + ends, len(counts) + 1
+    pieces = lm_scoring.read_vocabulary(path)
+    share = (ends + 1) / (every + 2)
+
+    def log(w):
+        return lm_scoring._Lattice([w.encode()], pieces).log_probability()[0] + np.log10(1 - share)
+
+    def mixed(c, x):
+        return np.log10((max(c - 0.75, 0) + (0.75 * distinct + 1) * 10**x) / (every + 1))
+
+    want = []
+    for (key, _, held), ws in zip(rows, words):
+        base = sum(np.log10((counts[w] + 1) / (every + distinct + 1)) for w in ws)
+        want.append((
+            key, held, len(ws) + 1, sum(w in counts for w in ws) + 1, every,
+            base + np.log10((ends + 1) / (every + distinct + 1)),
+            sum(map(log, ws)) + np.log10(share),
+            sum(mixed(counts[w], log(w)) for w in ws) + mixed(ends, np.log10(share)),
+        ))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(map(tuple, got), key=lambda r: str(r[:5])), sorted(want, key=lambda r: str(r[:5]))):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:])
+
+
+def test_long_words_in_chunks(monkeypatch):
+    pieces = lm_scoring.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    words = [
+        "".join(rng.choice("theinformation0é漢") for _ in range(n)).encode() for n in (1, 7, 63, 64, 65, 300, 1000)
+    ]
+    words += [b"a" * 500, b"information" * 40]
+    want = lm_scoring._Lattice(words, pieces).log_probability()
+    monkeypatch.setattr(lm_scoring, "_CHUNKS", 3)
+    for chunk in (5, 64):
+        monkeypatch.setattr(lm_scoring, "_CHUNK", chunk)
+        assert np.allclose([lm_scoring._long_log_probability(w, pieces) for w in words], want)
+
+
+def test_words_weigh_by_their_counts():
+    pieces = lm_scoring.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    words, weights = [b"cat", b"the", b"zebra"], np.array([5.0, 0.0, 2.0])
+    got, total = lm_scoring._Lattice(words, pieces).expected(len(pieces.logs), weights)
+    want = sum(w * lm_scoring._Lattice([x], pieces).expected(len(pieces.logs))[0] for x, w in zip(words, weights))
+    assert np.allclose(got, want) and np.isclose(total, want.sum())
