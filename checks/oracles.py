@@ -386,6 +386,9 @@ ALL: dict[str, str] = {
     "value_counts": f"{_EVENTS} SELECT event_type, count(*) AS count"
     " FROM events_missing WHERE event_type IS NOT NULL GROUP BY event_type"
     " ORDER BY count DESC, event_type",
+    "frequent_values": "SELECT props, count(*) AS count FROM events GROUP BY props"
+    " HAVING count(*) > 0.01 * (SELECT count(props) FROM events)"
+    " ORDER BY count DESC, props",
     "summary_statistics": _summary(
         "events_missing", ["event_id", "user_id", "value"], _EVENTS
     ),
@@ -438,6 +441,14 @@ ALL: dict[str, str] = {
         CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id)
         AS integer) AS rank
     FROM scored QUALIFY rank <= 3""",
+    "topk_pruned": """
+    WITH scored AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(
+        CAST(c.embedding AS double[]), CAST(q.embedding AS double[])), 12) AS exact
+        FROM embeddings q, embeddings c)
+    SELECT query_id, vec_id, round(exact, 6) AS score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id)
+        AS integer) AS rank
+    FROM scored QUALIFY rank <= 3""",
     "report_document": _document_reports("CAST(doc_id AS varchar) AS report_key"),
 }
 ALL["report_whole_table"] = _data_report("executive", "'customers'")

@@ -284,6 +284,11 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.value_counts(view(spark, sf_dir, "events_missing"), "event_type")
 
 
+def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of props that more than a hundredth of the events have."""
+    return shapes.frequent_values(table(spark, sf_dir, "events"), "props", 0.01)
+
+
 def summary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = profile.summary_statistics(view(spark, sf_dir, "events_missing"))
     return _rounded(summary, "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -402,6 +407,15 @@ def topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector the three nearest of all, with blocks of few queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = retrieval.topk_pruned(
+        vectors, vectors, "vec_id", "embedding", "vec_id", "embedding", max_queries=512
+    )
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 # --- reports --------------------------------------------------------------------------
 
 
@@ -474,6 +488,7 @@ ALL: dict[str, Query] = {
         column_average,
         count_unique,
         value_counts,
+        frequent_values,
         summary_statistics,
         top_n,
         latest_by_key,
@@ -490,6 +505,7 @@ ALL: dict[str, Query] = {
         chunk_text,
         lead_summary,
         topk_similar,
+        topk_pruned,
         report_document,
         report_whole_table,
     )

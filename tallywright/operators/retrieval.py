@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import cells
-from tallywright.session import ship
+from tallywright.session import ship, written_once
 
 ship(__name__)
 
 RESULTS = 3  # fixed value: results returned per query
 MAX_QUERIES = 2048
 SLICE_ROWS = 50_000
+PIVOTS = 256
+_SLACK = 1e-9  # far more than a bound or a rounded score can be off
 _SCORE_DIGITS = 12  # equal vectors must tie, whatever block they are scored in
 _BLOCK_CELLS = 4_000_000
 _SCHEMA = "query_id bigint, vec_id bigint, score double"
@@ -108,8 +110,9 @@ def topk_similar(
     Exact; equal scores rank by corpus id. Every task scores its part of the
     corpus as matrix products and passes on k rows per query, so pairs never
     become rows. Up to ``max_queries`` queries (read first, to check) are sent
-    to every task; more are cut into blocks that meet slices of the corpus by
-    shuffle. A vector without a direction is never found and finds nothing.
+    to every task; more meet only the blocks of the corpus that can hold one of
+    their k best, as in ``topk_pruned``. A vector without a direction is never
+    found and finds nothing.
     """
     q = _vectors(queries, query_id, query_vector, "q")
     c = _vectors(corpus, corpus_id, corpus_vector, "c")
@@ -117,7 +120,47 @@ def topk_similar(
     if head.num_rows <= max_queries:
         found = _against_all(head, c, k)
     else:
-        found = _by_blocks(q, c, k, max_queries, slice_rows)
+        found, _ = _pruned(q, c, k, max_queries, slice_rows, PIVOTS)
+    return _best(found, k)
+
+
+def topk_pruned(
+    queries: DataFrame,
+    corpus: DataFrame,
+    query_id: str,
+    query_vector: str,
+    corpus_id: str,
+    corpus_vector: str,
+    k: int = RESULTS,
+    max_queries: int = MAX_QUERIES,
+    slice_rows: int = SLICE_ROWS,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """(query_id, vec_id, score, rank, compared): the same rows as ``topk_similar``.
+
+    The corpus is cut into one block per pivot, the nearest to each vector. A query
+    first meets the nearest blocks that hold k vectors together. By the triangle
+    inequality of angles no vector of a block is nearer to it than the block's bound,
+    so blocks whose bound is below the k-th score so far are left out, and the rest
+    are met. ``compared`` is the number of corpus vectors that the query met: few
+    where the vectors lie in clusters, nearly all where they have no structure.
+
+    The pivots are up to ``pivots`` corpus vectors; whichever they are, the result is
+    exact. Large blocks are cut into slices of about ``slice_rows`` vectors, and
+    their queries into parts of about ``max_queries``, which meet in one task each.
+    """
+    found, compared = _pruned(
+        _vectors(queries, query_id, query_vector, "q"),
+        _vectors(corpus, corpus_id, corpus_vector, "c"),
+        k,
+        max_queries,
+        slice_rows,
+        pivots,
+    )
+    return _best(found, k).join(compared, "query_id")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     ranked = F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     )
@@ -140,37 +183,149 @@ def _against_all(head: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.mapInArrow(score, _SCHEMA)
 
 
-def _by_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, max_queries: int, slice_rows: int
-) -> DataFrame:
-    """Every block of queries meets every slice of the corpus in one task."""
-    n_blocks = ceil(queries.count() / max_queries)
-    n_slices = max(1, ceil(corpus.count() / slice_rows))
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
-    def part(column: str, parts: int):
-        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
-    def every(parts: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+def _placed(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The corpus vectors with a direction, each in the block of its nearest pivot."""
 
-    blocks = queries.select(
-        "*", part("q_id", n_blocks).alias("block"), every(n_slices).alias("slice")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column(1), pivots.shape[1])
+            unit, usable = _normalised(vectors)
+            angles = _angles(unit[usable], pivots)
+            block = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "c_id": batch.column(0).filter(pa.array(usable)),
+                    "c_vec": pa.array(list(vectors[usable]), pa.list_(pa.float64())),
+                    "block": pa.array(block, pa.int32()),
+                    "angle": pa.array(angles[np.arange(len(block)), block]),
+                }
+            )
+
+    return corpus.mapInArrow(
+        place, "c_id bigint, c_vec array<double>, block int, angle double"
+    )
+
+
+def _pruned(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    max_queries: int,
+    slice_rows: int,
+    pivots: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Found rows, of which the best k per query count, and vectors met per query."""
+    spark = corpus.sparkSession
+    pivots = min(pivots, 1 + isqrt(4 * corpus.count()))  # small corpora take few blocks
+    head = corpus.orderBy(F.xxhash64("c_id"), "c_id").limit(pivots).toArrow()
+    centres = _matrix(_vector_column(head, "c_vec"))
+    centres, usable = _normalised(centres)
+    centres = centres[usable]
+    if not len(centres):
+        if corpus.isEmpty() or queries.isEmpty():
+            none = spark.createDataFrame([], "query_id bigint, compared bigint")
+            return spark.createDataFrame([], _SCHEMA), none
+        # no direction among them: one block, whose bound leaves nothing out
+        centres = np.eye(1, centres.shape[1])
+    placed = written_once(_placed(corpus, centres), "placed")
+    sizes, low, high = (
+        np.zeros(len(centres), np.int64),
+        np.zeros(len(centres)),
+        np.zeros(len(centres)),
+    )
+    rows = placed.groupBy("block").agg(F.count("*"), F.min("angle"), F.max("angle"))
+    for block, n, least, most in rows.collect():  # at most one per pivot
+        sizes[block], low[block], high[block] = n, least, most
+
+    def blocks(second: bool):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit, usable = _normalised(_matrix(batch.column(1), centres.shape[1]))
+                angles = _angles(unit, centres)
+                # the nearest blocks that hold k vectors together
+                order = np.argsort(angles, axis=1, kind="stable")
+                before = sizes[order].cumsum(axis=1) - sizes[order]
+                chosen = np.zeros(angles.shape, bool)
+                np.put_along_axis(chosen, order, before < k, axis=1)
+                if second:
+                    apart = np.maximum(np.maximum(angles - high, low - angles), 0.0)
+                    reached = batch.column(2).to_numpy(zero_copy_only=False)
+                    chosen = ~chosen & (np.cos(apart) >= reached[:, None] - _SLACK)
+                chosen &= (sizes > 0) & usable[:, None]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "q_id": batch.column(0),
+                        "q_vec": batch.column(1).cast(pa.list_(pa.float64())),
+                        "blocks": pa.array(
+                            [np.flatnonzero(row) for row in chosen], pa.list_(pa.int32())
+                        ),
+                        "compared": pa.array(chosen @ sizes, pa.int64()),
+                    }
+                )
+
+        return choose
+
+    schema = "q_id bigint, q_vec array<double>, blocks array<int>, compared bigint"
+    near = written_once(queries.mapInArrow(blocks(False), schema), "near")
+    first = written_once(
+        _meet(near, placed, sizes, k, max_queries, slice_rows), "first"
     )
-    slices = corpus.select(
-        "*", part("c_id", n_slices).alias("slice"), every(n_blocks).alias("block")
+    best = _best(first, k).groupBy(F.col("query_id").alias("best_id"))
+    reached = best.agg(F.count("*").alias("n"), F.min("score").alias("reached"))
+    asked = queries.join(
+        reached.filter(F.col("n") == k), F.col("q_id") == F.col("best_id"), "left"
+    ).select("q_id", "q_vec", F.coalesce("reached", F.lit(-2.0)).alias("reached"))
+    far = written_once(asked.mapInArrow(blocks(True), schema), "far")
+    found = first.unionByName(
+        _meet(far, placed, sizes, k, max_queries, slice_rows)
     )
+    compared = near.select("q_id", "compared").unionByName(far.select("q_id", "compared"))
+    compared = compared.groupBy(F.col("q_id").alias("query_id"))
+    return found, compared.agg(F.sum("compared").alias("compared"))
+
+
+def _meet(
+    asked: DataFrame,
+    placed: DataFrame,
+    sizes: np.ndarray,
+    k: int,
+    max_queries: int,
+    slice_rows: int,
+) -> DataFrame:
+    """The best k of each block for each query that asks for it."""
+    asked = asked.select("q_id", "q_vec", F.explode("blocks").alias("block"))
+    counts = {r["block"]: r["count"] for r in asked.groupBy("block").count().collect()}
+    if not counts:
+        return placed.sparkSession.createDataFrame([], _SCHEMA)
+
+    def of_block(values: list[int]):
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("block"))
+
+    def own(column: str, parts):
+        return F.pmod(F.xxhash64(column), parts).cast("int")
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    slices = of_block([max(1, ceil(int(n) / slice_rows)) for n in sizes])
+    parts = of_block([ceil(counts.get(b, 0) / max_queries) for b in range(len(sizes))])
+    left = asked.select("*", own("q_id", parts).alias("part"), every(slices).alias("slice"))
+    met = placed.filter(F.col("block").isin(sorted(counts))).drop("angle")
+    right = met.select("*", own("c_id", slices).alias("slice"), every(parts).alias("part"))
 
     def score(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = _Best(
-            q["q_id"].to_numpy(), _matrix(_vector_column(q, "q_vec")), k
-        )
+        best = _Best(q["q_id"].to_numpy(), _matrix(_vector_column(q, "q_vec")), k)
         if q.num_rows and c.num_rows:
             width = best.queries.shape[1]
             best.add(c["c_id"].to_numpy(), _matrix(_vector_column(c, "c_vec"), width))
         return pa.table(best.table())
 
     return (
-        blocks.groupBy("block", "slice")
-        .cogroup(slices.groupBy("block", "slice"))
+        left.groupBy("block", "part", "slice")
+        .cogroup(right.groupBy("block", "part", "slice"))
         .applyInArrow(score, _SCHEMA)
     )

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.functions import cells
 
+_SKETCH_ITEMS = 1_000_000  # fixed value: as many items as a sketch may track
+
 
 def _required(order_by: Sequence[str]) -> list[Column]:
     if not order_by:
@@ -60,6 +64,34 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def frequent_values(df: DataFrame, column: str, share: float) -> DataFrame:
+    """Exact counts of all values that make up more than ``share`` of the present ones.
+
+    Where a column has too many values to count them all. The first scan keeps a
+    frequent-items sketch of 8 / share values per task; sketches merge, and none with
+    more than the share of the rows can be missing from the merged one, whose error is
+    below 3 / 8 of the share. The second scan counts its candidates, at most 2 / share,
+    so that is all that is broadcast and shuffled. Largest first.
+    """
+    if not 8 / _SKETCH_ITEMS <= share < 1:
+        raise ValueError(f"share must lie between {8 / _SKETCH_ITEMS} and 1")
+    values = df.filter(~cells.is_missing(df, column)).select(cells.name(column).alias("_v"))
+    if isinstance(values.schema["_v"].dataType, (T.FloatType, T.DoubleType)):
+        # minus zero is the same value
+        values = values.select((F.col("_v") + F.lit(0).cast(values.schema["_v"].dataType)).alias("_v"))
+    sketch = F.expr(f"approx_top_k(_v, {ceil(2 / share)}, {ceil(8 / share)})")
+    candidates = values.agg(sketch.alias("top"), F.count("_v").alias("_n"))
+    listed = candidates.select("_n", F.explode("top.item").alias("_v"))
+    return (
+        values.join(F.broadcast(listed), "_v")
+        .groupBy("_v", "_n")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .filter(F.col("count") > F.lit(share) * F.col("_n"))
+        .select(F.col("_v").alias(column), "count")
+        .orderBy(F.desc("count"), F.col(f"`{column.replace('`', '``')}`"))
+    )
+
+
 def latest_by_key(
     df: DataFrame, key: Sequence[str], order_by: Sequence[str]
 ) -> DataFrame:

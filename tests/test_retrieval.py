@@ -77,3 +77,38 @@ def test_vectors_of_unequal_width_are_refused(spark):
     c = frame(spark, {1: [1.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [1.0]})
     with pytest.raises(Exception, match="vectors must have 2 elements"):
         retrieval.topk_similar(q, c, "id", "v", "id", "v").collect()
+
+
+@pytest.mark.parametrize("pivots", [1, 6, 400])
+def test_pruned_search_is_exact(spark, vectors, pivots):
+    queries, corpus = vectors
+    sides = frame(spark, queries), frame(spark, corpus).repartition(6), "id", "v", "id", "v"
+    found = retrieval.topk_pruned(*sides, k=4, max_queries=5, slice_rows=60, pivots=pivots).collect()
+    got = {(r["query_id"], r["vec_id"], r["rank"], round(r["score"], 9)) for r in found}
+    assert got == brute_force(queries, corpus, 4)
+    assert all(4 <= r["compared"] <= len(corpus) for r in found)
+
+
+def test_pruning_leaves_far_clusters_out(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    corpus = {i: (centres[i % 20] + 0.05 * rng.normal(size=16)).tolist() for i in range(1000)}
+    queries = {i: corpus[i] for i in range(0, 1000, 10)}
+    sides = frame(spark, queries), frame(spark, corpus), "id", "v", "id", "v"
+    found = retrieval.topk_pruned(*sides, pivots=100, max_queries=30).collect()
+    got = {(r["query_id"], r["vec_id"], r["rank"], round(r["score"], 9)) for r in found}
+    assert got == brute_force(queries, corpus, 3)
+    assert sum(r["compared"] for r in found) < 0.2 * 1000 * len(found)
+
+
+def test_pruned_search_without_any_direction(spark):
+    zeros = frame(spark, {i: [0.0, 0.0] for i in range(5)})
+    some = frame(spark, {1: [1.0, 0.0], 2: [0.0, 0.0]})
+    late = frame(spark, {**{i: [0.0, 0.0] for i in range(5)}, 9: [0.0, 2.0]})
+    assert retrieval.topk_pruned(some, zeros, "id", "v", "id", "v").count() == 0
+    for pivots in (1, 2, 9):
+        found = retrieval.topk_pruned(some, late, "id", "v", "id", "v", pivots=pivots).collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(1, 9, 0.0)]
+    assert retrieval.topk_pruned(zeros, late, "id", "v", "id", "v").count() == 0
+    assert retrieval.topk_pruned(some.limit(0), late, "id", "v", "id", "v").count() == 0
+    assert retrieval.topk_pruned(some, late.limit(0), "id", "v", "id", "v").count() == 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
 from tallywright.operators import shapes
@@ -97,3 +100,26 @@ def test_last_accessed(spark):
     df = spark.createDataFrame(rows, "name string, at string")
     assert [r["name"] for r in shapes.last_accessed(df, "at", ["name"]).collect()] == ["g"]
     assert shapes.last_accessed(df.limit(0), "at", ["name"]).collect() == []
+
+
+@pytest.mark.parametrize("share", [0.003, 0.01, 0.2])
+def test_frequent_values_are_all_there(spark, share):
+    """Rare values come first, in between and last, many more than a sketch holds."""
+    rng = random.Random(5)
+    values = [f"rare{i}" for i in range(20_000)] + [f"v{i}" for i in range(40) for _ in range(30 * i)]
+    values += ["hot"] * 15_000
+    rng.shuffle(values)
+    rows = [(v,) for v in values] + [(None,)] * 500
+    df = spark.createDataFrame(rows, "`a.b` string").repartition(7)
+    got = [tuple(r) for r in shapes.frequent_values(df, "a.b", share).collect()]
+    counts = Counter(values)
+    want = [(v, n) for v, n in counts.items() if n > share * len(values)]
+    assert got == sorted(want, key=lambda x: (-x[1], x[0])) and got
+
+
+def test_frequent_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, -0.0, 1.5, float("nan"), None, 2.5, 1.5, 0.0)], "x double")
+    assert [tuple(r) for r in shapes.frequent_values(df, "x", 0.2).collect()] == [(0.0, 3), (1.5, 2)]
+    assert shapes.frequent_values(df.limit(0), "x", 0.2).count() == 0
+    with pytest.raises(ValueError, match="share"):
+        shapes.frequent_values(df, "x", 0.0)
