@@ -474,9 +474,10 @@ def link(
     sized = _crowds(members, plain, width, percent, group_rows).join(
         sketches.select(F.col("doc_id").alias("a"), "sketch"), "a"
     )
-    rest = _meetings(_dealt(sized, group_rows), percent).distinct()
-    rest = tables.settled(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    tables.dropped(marked, members, near)
+    # a pair comes out once per signature it shares: it is told apart before it is joined
+    met = tables.settled(_meetings(_dealt(sized, group_rows), percent).distinct(), "met")
+    rest = tables.settled(met.join(near, ["a", "b"], "left_anti"), "rest")
+    tables.dropped(marked, members, near, met)
     nodes = components(links.unionByName(_verified(rest, plain, width, percent)))
     tables.dropped(rest)
     result = classes.join(nodes.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
