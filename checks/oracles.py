@@ -154,7 +154,7 @@ _EXTRACTOR = (
 )
 
 
-def _document_reports(order: str) -> str:
+def _document_reports(order: str, *further: str) -> str:
     content = _fill(
         reports.DOCUMENT,
         title="'Executive'",
@@ -169,7 +169,7 @@ def _document_reports(order: str) -> str:
         with_views("documents_named", "label_responses")
         + f" SELECT {order}, 'executive' AS report_type,"
         " concat('doc_executive_report_', doc_id, '.md') AS report_name,"
-        f" {content} AS content"
+        f" {', '.join([f'{content} AS content', *further])}"
         " FROM documents_named LEFT JOIN label_responses USING (doc_id)"
     )
 
@@ -307,14 +307,14 @@ ALL: dict[str, str] = {
     "write_csv": f"SELECT {_CSV_COLUMNS} FROM conversations",
     "load_csv_with_breaks": "SELECT doc_id, '\"' || text || '\"' || chr(10) || lang AS quoted,"
     " n_chars FROM documents",
-    "write_reports": _document_reports("doc_id"),
+    "write_reports": _document_reports("doc_id", f"{_LEAD} AS lead"),
     "write_report_files": "SELECT report_name, content FROM ("
     + _document_reports("doc_id")
     + ")",
     "report_html": "SELECT doc_id, concat("
     f"{_quote(_HTML[0])}, {_ESCAPED}, {_quote(_HTML[1])}) AS html FROM documents",
     "write_summaries": f"{_NAMED} SELECT doc_id, file_name AS original_file,"
-    " text AS summary,"
+    f" text AS summary, {_LEAD} AS lead,"
     r" concat(regexp_replace(file_name, '\.[^.]+$', ''), '_summary.txt')"
     f" AS summary_file, CAST(length(text) AS integer) AS summary_length,"
     f" '{CREATED_AT}' AS created_at FROM documents_named",
@@ -449,7 +449,9 @@ ALL: dict[str, str] = {
         CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id)
         AS integer) AS rank
     FROM scored QUALIFY rank <= 3""",
-    "report_document": _document_reports("CAST(doc_id AS varchar) AS report_key"),
+    "report_document": _document_reports(
+        "CAST(doc_id AS varchar) AS report_key", f"{_LEAD} AS lead"
+    ),
 }
 ALL["report_whole_table"] = _data_report("executive", "'customers'")
 ALL |= {f"report_{t}": _data_report(t) for t in reports.REPORT_TYPES}

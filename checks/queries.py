@@ -117,6 +117,7 @@ def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "report_type",
         "report_name",
         "content",
+        "lead",
     )
 
 
@@ -139,7 +140,7 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _fresh(spark, "summaries")
     summaries = _whole(spark, sf_dir).select(
-        "doc_id", F.col("file_name").alias("original_file"), "summary"
+        "doc_id", F.col("file_name").alias("original_file"), "summary", "lead"
     )
     files.write_summaries(summaries, folder, CREATED_AT)
     return spark.read.parquet(folder)
@@ -379,8 +380,9 @@ def _summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their whole text in place of a summary."""
-    return view(spark, sf_dir, "documents_named").withColumn("summary", F.col("text"))
+    """Documents with their whole text in place of a summary, and the leading words beside it."""
+    led = _summarised(spark, sf_dir).withColumnRenamed("summary", "lead")
+    return led.withColumn("summary", F.col("text"))
 
 
 def lead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,7 +449,7 @@ def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         _whole(spark, sf_dir), view(spark, sf_dir, "label_responses")
     )
     return reports.document_reports(
-        answered, "executive", generated=REPORT_TIME, insights="response"
+        answered, "executive", generated=REPORT_TIME, insights="response", keep=["lead"]
     )
 
 

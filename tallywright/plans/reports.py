@@ -399,8 +399,12 @@ def document_reports(
     source: str = "file_name",
     summary: str = "summary",
     insights: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One report per document: its summary, insights and fixed notes."""
+    """One report per document: its summary, insights and fixed notes.
+
+    The columns of ``keep`` are passed on beside it.
+    """
     response = (
         F.coalesce(cells.name(insights).cast("string"), F.lit(NO_INSIGHTS))
         if insights
@@ -424,6 +428,7 @@ def document_reports(
             "report_name"
         ),
         content.alias("content"),
+        *[cells.name(c).alias(c) for c in keep],
     )
 
 

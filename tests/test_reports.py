@@ -7,6 +7,7 @@ from datetime import datetime
 import pandas as pd
 import pytest
 
+from checks import queries
 from tallywright.plans import reports
 
 AT = datetime(2025, 3, 9, 8, 5, 7)
@@ -207,3 +208,16 @@ def test_caps_can_be_lifted(spark):
         for n in (10, None)
     )
     assert "c9, c10, c11" in all_ and "c9, c10, c11" not in few
+
+
+@pytest.mark.parametrize("name", ["write_summaries", "write_reports", "report_document"])
+def test_whole_texts_and_leading_words(spark, tmp_path, name):
+    long = " ".join(f"word{i}" for i in range(2500))
+    rows = [(1, long, "en"), (2, "a  b", "de"), (3, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    found = {int(r[0]): r for r in getattr(queries, name)(spark, str(tmp_path)).collect()}
+    assert {k: r["lead"] for k, r in found.items()} == {1: " ".join(long.split()[:500]), 2: "a b", 3: None}
+    assert long in (found[1]["summary"] if name == "write_summaries" else found[1]["content"])
