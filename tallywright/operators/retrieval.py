@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, isqrt
+from math import ceil, isqrt, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,12 @@ ship(__name__)
 RESULTS = 3  # fixed value: results returned per query
 MAX_QUERIES = 2048
 SLICE_ROWS = 50_000
+QUERY_ROWS = 32_768  # queries that meet a slice in one task, at most
 PIVOTS = 256
 _SLACK = 1e-9  # far more than a bound or a rounded score can be off
 _SCORE_DIGITS = 12  # equal vectors must tie, whatever block they are scored in
 _BLOCK_CELLS = 4_000_000
+_DEALT_ROWS = 256  # each comes out once per bin it asks for
 _SCHEMA = "query_id bigint, vec_id bigint, score double"
 
 
@@ -48,36 +50,40 @@ class _Best:
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
         self.query_ids, self.k = query_ids, k
         self.queries, self.usable = _normalised(queries)
-        self.scores = np.full((len(query_ids), 0), -np.inf)
-        self.ids = np.zeros((len(query_ids), 0), dtype=np.int64)
+        self.scores = np.full((len(query_ids), k), -np.inf)
+        self.ids = np.zeros((len(query_ids), k), dtype=np.int64)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Vectors that all queries meet, or those in the given rows."""
+        rows = np.arange(len(self.query_ids)) if rows is None else rows
         # ascending ids: the first of equal scores is then the smaller id
         by_id = np.argsort(ids, kind="stable")
         ids, vectors = ids[by_id], vectors[by_id]
-        step = max(1, _BLOCK_CELLS // max(1, len(self.query_ids)))
+        step = max(1, _BLOCK_CELLS // max(1, len(rows)))
         for start in range(0, len(ids), step):
             block, usable = _normalised(vectors[start : start + step])
-            self._merge(ids[start : start + step][usable], block[usable])
+            self._merge(ids[start : start + step][usable], block[usable], rows)
 
-    def _merge(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = np.round(self.queries @ vectors.T, _SCORE_DIGITS)
+    def _merge(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> None:
+        scores = np.round(self.queries[rows] @ vectors.T, _SCORE_DIGITS)
         every = np.arange(len(scores))
+        best, names = [self.scores[rows]], [self.ids[rows]]
         for _ in range(min(self.k, len(ids))):
             place = scores.argmax(axis=1)
-            self.scores = np.column_stack([self.scores, scores[every, place]])
-            self.ids = np.column_stack([self.ids, ids[place]])
+            best.append(scores[every, place][:, None])
+            names.append(ids[place][:, None])
             scores[every, place] = -np.inf
-        order = np.lexsort((self.ids, -self.scores), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(self.scores, order, axis=1)
-        self.ids = np.take_along_axis(self.ids, order, axis=1)
+        best, names = np.hstack(best), np.hstack(names)
+        order = np.lexsort((names, -best), axis=1)[:, : self.k]
+        self.scores[rows] = np.take_along_axis(best, order, axis=1)
+        self.ids[rows] = np.take_along_axis(names, order, axis=1)
 
     def table(self) -> dict[str, np.ndarray]:
-        scores, ids = self.scores[self.usable], self.ids[self.usable]
+        found = (self.scores > -np.inf) & self.usable[:, None]
         return {
-            "query_id": np.repeat(self.query_ids[self.usable], scores.shape[1]),
-            "vec_id": ids.reshape(-1),
-            "score": scores.reshape(-1),
+            "query_id": np.repeat(self.query_ids, found.sum(axis=1)),
+            "vec_id": self.ids[found],
+            "score": self.scores[found],
         }
 
 
@@ -146,8 +152,11 @@ def topk_pruned(
     where the vectors lie in clusters, nearly all where they have no structure.
 
     The pivots are up to ``pivots`` corpus vectors; whichever they are, the result is
-    exact. Large blocks are cut into slices of about ``slice_rows`` vectors, and
-    their queries into parts of about ``max_queries``, which meet in one task each.
+    exact. Blocks are joined to bins, large ones cut into slices, of at most about
+    ``slice_rows`` vectors. A bin and up to ``QUERY_ROWS`` of its queries meet in a
+    task, ``max_queries`` at a time. There are about twice as many such meetings as
+    a shuffle has partitions until those sizes are reached, so what is shuffled
+    grows as the input does: a vector goes to the square root of their number.
     """
     found, compared = _pruned(
         _vectors(queries, query_id, query_vector, "q"),
@@ -199,14 +208,15 @@ def _placed(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "c_id": batch.column(0).filter(pa.array(usable)),
-                    "c_vec": pa.array(list(vectors[usable]), pa.list_(pa.float64())),
+                    "c_vec": batch.column(1).filter(pa.array(usable)),
                     "block": pa.array(block, pa.int32()),
                     "angle": pa.array(angles[np.arange(len(block)), block]),
                 }
             )
 
+    vector = corpus.schema["c_vec"].dataType.simpleString()
     return corpus.mapInArrow(
-        place, "c_id bigint, c_vec array<double>, block int, angle double"
+        place, f"c_id bigint, c_vec {vector}, block int, angle double"
     )
 
 
@@ -259,7 +269,7 @@ def _pruned(
                 yield pa.RecordBatch.from_pydict(
                     {
                         "q_id": batch.column(0),
-                        "q_vec": batch.column(1).cast(pa.list_(pa.float64())),
+                        "q_vec": batch.column(1),
                         "blocks": pa.array(
                             [np.flatnonzero(row) for row in chosen], pa.list_(pa.int32())
                         ),
@@ -269,7 +279,8 @@ def _pruned(
 
         return choose
 
-    schema = "q_id bigint, q_vec array<double>, blocks array<int>, compared bigint"
+    vector = queries.schema["q_vec"].dataType.simpleString()
+    schema = f"q_id bigint, q_vec {vector}, blocks array<int>, compared bigint"
     near = written_once(queries.mapInArrow(blocks(False), schema), "near")
     first = written_once(
         _meet(near, placed, sizes, k, max_queries, slice_rows), "first"
@@ -288,6 +299,60 @@ def _pruned(
     return found, compared.agg(F.sum("compared").alias("compared"))
 
 
+def _bins(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per block its first bin and how many it fills.
+
+    Neighbouring blocks share a bin of at most `rows` vectors; a larger one is cut
+    into slices, each a bin of its own.
+    """
+    first, count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    at = filled = 0
+    for block, size in enumerate(sizes.tolist()):
+        if filled + size > rows and filled:
+            at, filled = at + 1, 0
+        first[block] = at
+        if size > rows:
+            count[block] = ceil(size / rows)
+            at += int(count[block])
+        else:
+            filled += size
+    return first, count
+
+
+def _dealt(asked: DataFrame, first: np.ndarray, count: np.ndarray, schema: str) -> DataFrame:
+    """A row per query and bin that it asks for, with the blocks it wants there."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _DEALT_ROWS):
+                batch = whole.slice(at, _DEALT_ROWS)
+                wanted = batch.column(2)
+                block = wanted.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths())
+                copies = count[block]
+                begin = np.cumsum(copies) - copies
+                place = np.repeat(first[block] - begin, copies) + np.arange(copies.sum())
+                row, block = np.repeat(row, copies), np.repeat(block, copies)
+                if not len(row):
+                    continue
+                # blocks ascend in each list, and bins with them
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+                edges = np.flatnonzero(new)
+                offsets = pa.array(np.append(edges, len(row)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(row[edges])),
+                        batch.column(1).take(pa.array(row[edges])),
+                        pa.ListArray.from_arrays(offsets, pa.array(block, pa.int32())),
+                        pa.array(place[edges], pa.int32()),
+                    ],
+                    ["q_id", "q_vec", "blocks", "bin"],
+                )
+
+    return asked.mapInArrow(deal, schema)
+
+
 def _meet(
     asked: DataFrame,
     placed: DataFrame,
@@ -296,36 +361,69 @@ def _meet(
     max_queries: int,
     slice_rows: int,
 ) -> DataFrame:
-    """The best k of each block for each query that asks for it."""
-    asked = asked.select("q_id", "q_vec", F.explode("blocks").alias("block"))
-    counts = {r["block"]: r["count"] for r in asked.groupBy("block").count().collect()}
+    """The best k of each bin for each query that asks for blocks of it."""
+    spark = placed.sparkSession
+    asked = asked.where(F.size("blocks") > 0).select("q_id", "q_vec", "blocks")
+    wanted = asked.select(F.explode("blocks").alias("block")).groupBy("block").count()
+    counts = {r["block"]: r["count"] for r in wanted.collect()}  # at most one per pivot
     if not counts:
-        return placed.sparkSession.createDataFrame([], _SCHEMA)
-
-    def of_block(values: list[int]):
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("block"))
+        return spark.createDataFrame([], _SCHEMA)
+    blocks = len(sizes)
+    asks = np.array([counts.get(b, 0) for b in range(blocks)])
+    queries = asked.count()
+    met = np.where(asks > 0, sizes, 0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = ceil(sqrt(2 * tasks))
+    first, count = _bins(met, min(slice_rows, ceil(int(met.sum()) / side)))
+    limit = min(QUERY_ROWS, max(max_queries, ceil(queries / side)))
+    of_bin = np.zeros(int((first + count).max()), np.int64)
+    for block in range(blocks):
+        of_bin[first[block] : first[block] + count[block]] += asks[block]
+    parts_of = np.maximum(1, -(-np.minimum(of_bin, queries) // limit))
+
+    def looked_up(values: np.ndarray, column: str):
+        return F.get(F.array(*[F.lit(v) for v in values.tolist()]), F.col(column))
 
     def own(column: str, parts):
         return F.pmod(F.xxhash64(column), parts).cast("int")
 
-    def every(parts):
-        return F.explode(F.sequence(F.lit(0), parts - 1))
-
-    slices = of_block([max(1, ceil(int(n) / slice_rows)) for n in sizes])
-    parts = of_block([ceil(counts.get(b, 0) / max_queries) for b in range(len(sizes))])
-    left = asked.select("*", own("q_id", parts).alias("part"), every(slices).alias("slice"))
-    met = placed.filter(F.col("block").isin(sorted(counts))).drop("angle")
-    right = met.select("*", own("c_id", slices).alias("slice"), every(parts).alias("part"))
+    vector = asked.schema["q_vec"].dataType.simpleString()
+    schema = f"q_id bigint, q_vec {vector}, blocks array<int>, bin int"
+    parts = looked_up(parts_of, "bin")
+    left = _dealt(asked, first, count, schema).withColumn("part", own("q_id", parts))
+    place = looked_up(first, "block") + own("c_id", looked_up(count, "block"))
+    right = (
+        placed.filter(F.col("block").isin(sorted(counts)))
+        .select("c_id", "c_vec", "block", place.cast("int").alias("bin"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    )
 
     def score(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = _Best(q["q_id"].to_numpy(), _matrix(_vector_column(q, "q_vec")), k)
+        found = [{"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}]
         if q.num_rows and c.num_rows:
-            width = best.queries.shape[1]
-            best.add(c["c_id"].to_numpy(), _matrix(_vector_column(c, "c_vec"), width))
-        return pa.table(best.table())
+            block = c["block"].to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, ids = block[order], c["c_id"].to_numpy()[order]
+            edges = np.searchsorted(block, np.arange(blocks + 1))
+            wide = _matrix(_vector_column(q.slice(0, 1), "q_vec")).shape[1]
+            vectors = _matrix(_vector_column(c, "c_vec"), wide)[order]
+            for at in range(0, q.num_rows, max_queries):
+                some = q.slice(at, max_queries)
+                best = _Best(some["q_id"].to_numpy(), _matrix(_vector_column(some, "q_vec"), wide), k)
+                lists = _vector_column(some, "blocks")
+                asks = np.zeros((some.num_rows, blocks), bool)
+                asks[np.repeat(np.arange(some.num_rows), lists.value_lengths()), lists.flatten()] = True
+                all_ask = asks.all(axis=0)
+                common = all_ask[block]
+                best.add(ids[common], vectors[common])
+                for b in np.flatnonzero(asks.any(axis=0) & ~all_ask & (edges[1:] > edges[:-1])):
+                    here = slice(edges[b], edges[b + 1])
+                    best.add(ids[here], vectors[here], np.flatnonzero(asks[:, b]))
+                found.append(best.table())
+        return pa.table({c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
     return (
-        left.groupBy("block", "part", "slice")
-        .cogroup(right.groupBy("block", "part", "slice"))
+        left.groupBy("bin", "part")
+        .cogroup(right.groupBy("bin", "part"))
         .applyInArrow(score, _SCHEMA)
     )

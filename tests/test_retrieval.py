@@ -112,3 +112,21 @@ def test_pruned_search_without_any_direction(spark):
     assert retrieval.topk_pruned(zeros, late, "id", "v", "id", "v").count() == 0
     assert retrieval.topk_pruned(some.limit(0), late, "id", "v", "id", "v").count() == 0
     assert retrieval.topk_pruned(some, late.limit(0), "id", "v", "id", "v").count() == 0
+
+
+def test_few_copies_of_vectors_are_shuffled(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng = np.random.default_rng(11)
+    corpus = {i: rng.normal(size=8).tolist() for i in range(800)}  # nothing to leave out
+    met, apply = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(
+        PandasCogroupedOps,
+        "applyInArrow",
+        lambda ops, *args: met.append(ops._gd1._df.count() + ops._gd2._df.count()) or apply(ops, *args),
+    )
+    sides = frame(spark, corpus), frame(spark, corpus), "id", "v", "id", "v"
+    found = retrieval.topk_pruned(*sides, pivots=40, max_queries=10).collect()
+    got = {(r["query_id"], r["vec_id"], r["rank"], round(r["score"], 9)) for r in found}
+    assert got == brute_force(corpus, corpus, 3)
+    assert sum(met) < 20 * len(corpus)
