@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from tallywright.session import shared_folder, ship
 
@@ -29,6 +29,7 @@ ship(__name__)
 
 NAMED_FILES = "named_files"
 _BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_ROWS = 2048
 _TASK_BYTES = 64 << 20
 _LISTED = pa.schema(
@@ -74,7 +75,7 @@ class _Shared:
         with open(self.plain(path), "rb") as file:
             return file.read()
 
-    def write(self, path: str, content: bytes) -> None:
+    def write(self, path: str, content: bytes | pa.Buffer) -> None:
         """The file appears under its name with all its content, or not at all."""
         plain = self.plain(path)
         part = f"{os.path.dirname(plain)}/.{uuid.uuid4().hex}"
@@ -118,7 +119,7 @@ class _Remote:
         with self.system.open_input_stream(self.plain(path)) as file:
             return file.read()
 
-    def write(self, path: str, content: bytes) -> None:
+    def write(self, path: str, content: bytes | pa.Buffer) -> None:
         with self.system.open_output_stream(self.plain(path)) as file:
             file.write(content)
 
@@ -249,21 +250,23 @@ class _Written(WriterCommitMessage):
     files: int
 
 
-class _NamedFilesWriter(DataSourceWriter):
+class _NamedFilesWriter(DataSourceArrowWriter):
+    """Contents go from Arrow's buffers into their files and never become Python text."""
+
     def __init__(self, path: str, staging: str, columns: list[str]) -> None:
         self.path, self.staging = path, staging
         self.name, self.content = (columns.index(c) for c in ("file_name", "content"))
 
     def write(self, iterator) -> _Written:
         system, count = _system(self.staging), 0
-        for row in iterator:
-            name, content = row[self.name], row[self.content]
-            if not name or "/" in name or "\0" in name or name in (".", ".."):
-                raise ValueError(f"no name for a file: {name!r}")
-            content = b"" if content is None else content
-            data = content.encode() if isinstance(content, str) else bytes(content)
-            system.write(f"{self.staging}/{name}", data)
-            count += 1
+        for batch in iterator:
+            contents = batch.column(self.content)
+            for name, content in zip(batch.column(self.name).to_pylist(), contents):
+                if not name or "/" in name or "\0" in name or name in (".", ".."):
+                    raise ValueError(f"no name for a file: {name!r}")
+                data = content.as_buffer()
+                system.write(f"{self.staging}/{name}", b"" if data is None else data)
+                count += 1
         return _Written(count)
 
     def commit(self, messages) -> None:
@@ -295,7 +298,7 @@ def write_files(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     Tasks write into a hidden folder beside the target; a file takes its name there once
     it is complete, so a task run twice leaves one file. When all tasks are done the
     folder is renamed to the target, and after a failure it is removed: readers see the
-    whole set or none of it. `mode` is errorifexists or overwrite. Content is text
+    whole set or none of it. A task holds a batch of about 16 MB, or one row. `mode` is errorifexists or overwrite. Content is text
     (UTF-8) or bytes, a missing one is an empty file. A name that is missing, empty,
     given twice or not a plain file name is refused.
     """
@@ -313,8 +316,11 @@ def write_files(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     staging = f"{parent}/.{name}-{uuid.uuid4().hex}"
     system.make(staging)
     spark.dataSource.register(NamedFiles)
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
     try:
         writer = rows.write.format(NAMED_FILES).mode("append")
         writer.option("path", path).option("staging", staging).save()
     finally:
+        spark.conf.unset(_BATCH_SETTING) if before is None else spark.conf.set(_BATCH_SETTING, before)
         system.remove(staging)

@@ -127,3 +127,39 @@ def test_summaries_and_reports_as_files(spark, tmp_path):
     reports = spark.createDataFrame([("k", "x_k.md", "# one\ntwo")], "report_key string, report_name string, content string")
     files.write_report_files(reports, str(tmp_path / "r"))
     assert (tmp_path / "r" / "x_k.md").read_text() == "# one\ntwo"
+
+
+def test_contents_are_written_without_python_copies(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"📄{i}" + "x" * 20_000 for i in range(500)])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.md" for i in range(500)]), texts], ["file_name", "content"])
+    writer = folders._NamedFilesWriter(str(tmp_path), str(tmp_path), ["file_name", "content"])
+    tracemalloc.start()
+    assert writer.write(iter([batch])).files == 500
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    assert (tmp_path / "7.md").read_text() == "📄7" + "x" * 20_000
+
+
+def test_batches_of_long_contents_are_bounded(spark, tmp_path, monkeypatch):
+    class Noted(folders._NamedFilesWriter):
+        def write(self, iterator):
+            def bounded():
+                for batch in iterator:
+                    if batch.nbytes > 40 << 20:
+                        raise ValueError(f"{batch.nbytes} bytes at once")
+                    yield batch
+
+            return super().write(bounded())
+
+    monkeypatch.setattr(folders, "_NamedFilesWriter", Noted)
+    long = spark.range(0, 100, 1, 1).select(
+        F.concat("id", F.lit(".md")).alias("file_name"), F.repeat(F.lit("text"), 250_000).alias("content")
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    folders.write_files(long, str(tmp_path / "set"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    assert sum(p.stat().st_size for p in (tmp_path / "set").iterdir()) == 100_000_000
