@@ -24,6 +24,7 @@ _CELLS = 1 << 22
 GROUP_ROWS = 2048  # members on either side of a comparison in one task
 _CROWD = 16  # blocks outside the largest component from which a second signature pays
 _SECOND = np.uint64(0xA5A5)
+_BATCH = "16m"  # sets and sketches in Python at a time
 
 
 def shingle_sets(content: np.ndarray, bounds: np.ndarray, width: int):
@@ -226,7 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         .select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
     )
     found = one.join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint")
-    return tables.settled(found.distinct(), "links")
+    return tables.settled(found.distinct(), "links", _BATCH)
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
@@ -271,6 +272,17 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     )
 
 
+def _told_apart(members: DataFrame) -> DataFrame:
+    """Of the groups with the very same members one stays: it holds the same pairs.
+
+    Near copies share most of their signatures, so most groups repeat others.
+    """
+    mark = lambda salt: F.bit_xor(F.xxhash64("a", F.lit(salt)))
+    marks = members.groupBy("signature").agg(F.count(F.lit(1)).alias("all"), mark("x").alias("x"), mark("y").alias("y"))
+    first = marks.groupBy("all", "x", "y").agg(F.min("signature").alias("signature"))
+    return members.join(first.select("signature"), "signature", "left_semi")
+
+
 def _sizes(members: DataFrame) -> DataFrame:
     """Per open signature: all members, the largest component, members outside of it."""
     parts = members.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("own"))
@@ -426,7 +438,7 @@ def link(
     """
     key = F.coalesce(F.col(id_column), F.lit(_NO_ID))
     plain = docs.select(key.alias("doc_id"), F.col(text_column).alias("text"))
-    marked = tables.settled(_fingerprinted(plain, width, percent), "signatures")
+    marked = tables.settled(_fingerprinted(plain, width, percent), "signatures", _BATCH)
     heads = marked.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("class_id"))
     classes = tables.settled(
         marked.select("doc_id", "n", "one", "two").join(heads, ["one", "two", "n"], "left").select(
@@ -446,7 +458,7 @@ def link(
     heads_of = to_class.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("b"))
     sketches = marked.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     near = shared.select("a", "hub").distinct().join(heads_of, "hub").where("a <> b").select("a", "b").distinct()
-    near = tables.settled(_plausible(near, sketches, percent), "stars")
+    near = tables.settled(_plausible(near, sketches, percent), "stars", _BATCH)
 
     # a document's least partner first: it mostly joins them, and the others need no check
     links = _verified(near.groupBy("a").agg(F.min("b").alias("b")), plain, width, percent)
@@ -467,15 +479,17 @@ def link(
         .where("x < y")
         .select("signature")
     )
-    members = tables.settled(
-        placed.join(open_, "signature").select("signature", "a", "n", "component").distinct(), "members"
+    every = tables.settled(
+        placed.join(open_, "signature").select("signature", "a", "n", "component").distinct(), "open"
     )
     tables.dropped(shared)
+    members = tables.settled(_told_apart(every), "members")
+    tables.dropped(every)
     sized = _crowds(members, plain, width, percent, group_rows).join(
         sketches.select(F.col("doc_id").alias("a"), "sketch"), "a"
     )
     # a pair comes out once per signature it shares: it is told apart before it is joined
-    met = tables.settled(_meetings(_dealt(sized, group_rows), percent).distinct(), "met")
+    met = tables.settled(_meetings(_dealt(sized, group_rows), percent).distinct(), "met", _BATCH)
     rest = tables.settled(met.join(near, ["a", "b"], "left_anti"), "rest")
     tables.dropped(marked, members, near, met)
     nodes = components(links.unionByName(_verified(rest, plain, width, percent)))

@@ -406,3 +406,13 @@ def test_words_weigh_by_their_counts():
     got, total = lm_scoring._Lattice(words, pieces).expected(len(pieces.logs), weights)
     want = sum(w * lm_scoring._Lattice([x], pieces).expected(len(pieces.logs))[0] for x, w in zip(words, weights))
     assert np.allclose(got, want) and np.isclose(total, want.sum())
+
+
+def test_groups_of_the_same_members_meet_once(spark):
+    from tallywright.llm import ngram_join
+
+    groups = {1: [5, 6, 7], 2: [5, 6], 3: [5, 6, 7], 4: [6, 7], 9: [5, 6, 7], 11: [5, 6]}
+    rows = [(s, a, 10, a) for s, held in groups.items() for a in held]
+    members = spark.createDataFrame(rows, "signature bigint, a bigint, n bigint, component bigint")
+    kept = ngram_join._told_apart(members.repartition(5))
+    assert sorted(kept.collect()) == [r for r in rows if r[0] in (1, 2, 4)]
