@@ -20,7 +20,7 @@ PERCENT = 80
 _NO_ID = -(1 << 63)
 _COLLISION_COST = 10.0
 _NO_WORD = np.uint64(0x1234567)
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 GROUP_ROWS = 2048  # members on either side of a comparison in one task
 _CROWD = 16  # blocks outside the largest component from which a second signature pays
 _SECOND = np.uint64(0xA5A5)
@@ -231,26 +231,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Counts of a set by the last bits of its hashes, one or two tokens to a cell."""
-    cells = 1 << max(5, int(len(tokens) - 1).bit_length() - 1)
+    """A set's tokens counted modulo two, by the last bits of their hashes: 4 to 8 bits a token."""
+    cells = 1 << max(6, int(len(tokens) - 1).bit_length() + 2)
     counts = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def _aligned(sketches: list[bytes]) -> np.ndarray:
     """Sketches in rows; longer ones are folded to the shortest one's cells."""
-    cells = min(map(len, sketches), default=1)
-    rows = [np.frombuffer(x, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32) for x in sketches]
-    return np.stack(rows) if rows else np.zeros((0, cells), np.int32)
+    words = min(map(len, sketches), default=8) // 8
+    rows = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in sketches]
+    return np.stack(rows) if rows else np.zeros((0, words), np.uint64)
 
 
 def _near(one: np.ndarray, other: np.ndarray, n, m, percent: int) -> np.ndarray:
     """Whether sets may be linked, by their sizes and sketches.
 
-    Sets differ in at least as many tokens as their counts by cell do, and linked ones
-    in no more than (1 - similarity) / (1 + similarity) of both sizes.
+    A cell that differs holds a token of one set only, so sets differ in at least as many
+    tokens as cells, and linked ones in no more than (1 - similarity) / (1 + similarity)
+    of both sizes.
     """
-    apart = np.abs(one - other).sum(axis=-1, dtype=np.int64)
+    apart = np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (
         apart * (100 + percent) <= (100 - percent) * (n + m)
     )

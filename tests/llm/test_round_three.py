@@ -416,3 +416,49 @@ def test_groups_of_the_same_members_meet_once(spark):
     members = spark.createDataFrame(rows, "signature bigint, a bigint, n bigint, component bigint")
     kept = ngram_join._told_apart(members.repartition(5))
     assert sorted(kept.collect()) == [r for r in rows if r[0] in (1, 2, 4)]
+
+
+def test_sketches_rule_out_sets_just_below_the_limit(spark):
+    """Sets a little too far apart don't pass as pairs, in joins or in blocks; linked ones all do."""
+    from pyspark.sql import functions as F
+
+    from tallywright.llm import ngram_join
+
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+
+    def family(first, changed):
+        return {
+            first + i: np.sort(np.concatenate([base[rng.permutation(len(base))[changed:]], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
+            for i in range(40)
+        }
+
+    sets = family(0, 28) | family(100, 14)  # alike by 0.76, and by more than 0.8
+    rows = [(i, 7, len(x), i, ngram_join._sketch(x)) for i, x in sets.items()]
+    members = spark.createDataFrame(rows, "a bigint, signature bigint, n bigint, component bigint, sketch binary")
+    sized = members.join(ngram_join._sizes(members), "signature")
+    met = {tuple(r) for r in ngram_join._meetings(ngram_join._dealt(sized, 16), 80).distinct().collect()}
+    pairs = [(a, b) for a in sets for b in sets if a > b]
+    sketches = members.select(F.col("a").alias("doc_id"), "n", "sketch")
+    asked = spark.createDataFrame(pairs, "a bigint, b bigint")
+    assert {tuple(r) for r in ngram_join._plausible(asked, sketches, 80).collect()} == met
+    alike = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+    alike = {p: both / (len(sets[p[0]]) + len(sets[p[1]]) - both) for p, both in alike.items()}
+    linked = {p for p, share in alike.items() if share >= 0.8}
+    far = {p for p, share in alike.items() if share < 0.775}
+    assert len(linked) > 700 and len(far) > 700
+    assert linked <= met and len(met & far) < len(far) / 20
+
+
+def test_sketches_of_unlike_sizes_lose_no_link():
+    from tallywright.llm import ngram_join
+
+    rng = np.random.default_rng(9)
+    for size in (1, 2, 5, 17, 33, 64, 65, 70, 257, 270, 1025, 1100):
+        one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for drop in range(0, len(one) // 5 + 1, max(1, len(one) // 40)):
+            other = one[drop:]
+            x, y = ngram_join._aligned([ngram_join._sketch(one), ngram_join._sketch(other)])
+            assert np.bitwise_count(x ^ y).sum() <= drop
+            linked = 100 * len(other) >= 80 * len(one)
+            assert not linked or ngram_join._near(x, y, len(one), len(other), 80)
