@@ -462,3 +462,26 @@ def test_sketches_of_unlike_sizes_lose_no_link():
             assert np.bitwise_count(x ^ y).sum() <= drop
             linked = 100 * len(other) >= 80 * len(one)
             assert not linked or ngram_join._near(x, y, len(one), len(other), 80)
+
+
+def test_python_meets_distinct_words_only(monkeypatch):
+    """Letters are encoded once, whatever mark follows; ids are the tokenizer's own."""
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    marks = ["", *'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', "...", "$$$", "###", "'", "',", "'s", "),", ".'", "--'"]
+    words = [w + m for w in ("plain", "Plain", "üchü", "TATİLİ", "क़", "o'clock", "a-b", "x1", "1", "") for m in marks]
+    texts = [" ".join(words), "\n".join(words[::-1]), None, "", "  plain  "]
+    given, whole = [], encoder._encode
+
+    def watched(some):
+        given.extend(some)
+        return whole(some)
+
+    monkeypatch.setattr(encoder, "_encode", watched)
+    found = _ids(encoder, texts)
+    plain = encoder.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert found == [p.ids for p in plain]
+    assert not any(w in given for w in ("plain$", "plain$$$", "plain...", "Plain)", "üchü###"))
+    before = len(given)
+    assert _ids(encoder, texts) == found and len(given) == before
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    assert _ids(encoder, texts) == _ids(encoder, texts[::-1])[::-1] == found
