@@ -25,6 +25,7 @@ GROUP_ROWS = 2048  # members on either side of a comparison in one task
 _CROWD = 16  # blocks outside the largest component from which a second signature pays
 _SECOND = np.uint64(0xA5A5)
 _BATCH = "16m"  # sets and sketches in Python at a time
+TURNS = 4  # parts of the largest shuffles, one on disk at a time
 
 
 def shingle_sets(content: np.ndarray, bounds: np.ndarray, width: int):
@@ -187,6 +188,12 @@ def _shared(signatures: DataFrame) -> DataFrame:
     )
 
 
+def _turns(frame: DataFrame, column: str) -> list[DataFrame]:
+    """The rows in TURNS parts; those with the same value of the column lie in one."""
+    turn = F.pmod(F.xxhash64(column, F.lit("turn")), F.lit(TURNS))
+    return [frame.where(turn == i) for i in range(TURNS)]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their exact intersection.
 
@@ -333,8 +340,10 @@ def _crowds(members: DataFrame, docs: DataFrame, width: int, percent: int, rows:
 def _dealt(sized: DataFrame, rows: int) -> DataFrame:
     """Members in blocks of about `rows`: a row for each comparison they take part in.
 
-    Those outside the largest component (left) meet all (right), block by block.
+    Those outside the largest component (left) meet all (right), block by block. Other
+    columns are passed on.
     """
+    own = [c for c in sized.columns if c not in ("signature", "all", "major", "few")]
     blocks = lambda c: F.ceil(F.col(c) / rows).cast("bigint")
     every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
     i = F.pmod(F.xxhash64("a", F.lit("left")), blocks("few"))
@@ -349,10 +358,7 @@ def _dealt(sized: DataFrame, rows: int) -> DataFrame:
         .withColumn("at", F.explode(F.when(minor, F.array_union(met, asks)).otherwise(met)))
         .select(
             F.xxhash64("signature", "at.i", "at.j").alias("signature"),
-            "a",
-            "n",
-            "component",
-            "sketch",
+            *own,
             (minor & (F.col("at.i") == F.col("own_i"))).alias("left"),
             (F.col("at.j") == F.col("own_j")).alias("right"),
         )
@@ -435,31 +441,41 @@ def link(
     largest component, only those that share a second signature. Sizes and small
     sketches of the sets rule most pairs out before any set is fetched, without losing
     a link, and no pair that they rule out leaves a task. Only documents of the pairs left have their sets
-    computed again. Equality is that of 64-bit hashes of the shingles.
+    computed again. Equality is that of 64-bit hashes of the shingles. What is shuffled with
+    signatures or sketches goes in TURNS parts, one after the other.
     """
     key = F.coalesce(F.col(id_column), F.lit(_NO_ID))
     plain = docs.select(key.alias("doc_id"), F.col(text_column).alias("text"))
     marked = tables.settled(_fingerprinted(plain, width, percent), "signatures", _BATCH)
-    heads = marked.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("class_id"))
+    sets = tables.settled(marked.select("doc_id", "n", "one", "two", "sketch"), "sets")
+    heads = sets.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("class_id"))
     classes = tables.settled(
-        marked.select("doc_id", "n", "one", "two").join(heads, ["one", "two", "n"], "left").select(
+        sets.select("doc_id", "n", "one", "two").join(heads, ["one", "two", "n"], "left").select(
             "doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")
         ),
         "classes",
     )
     exploded = marked.select("doc_id", F.explode("signatures").alias("signature"))
-    shared = _shared(exploded)
     to_class = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n").alias("n"))
-    shared = tables.settled(
-        shared.join(to_class, "doc_id")
-        .select("signature", F.col("class_id").alias("a"), "n", "hub")
-        .distinct(),
+    shared = tables.settled_in_turns(
+        [
+            _shared(part)
+            .join(to_class, "doc_id")
+            .select("signature", F.col("class_id").alias("a"), "n", "hub")
+            .distinct()
+            for part in _turns(exploded, "signature")
+        ],
         "shared",
     )
+    tables.dropped(marked)
     heads_of = to_class.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("b"))
-    sketches = marked.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    near = shared.select("a", "hub").distinct().join(heads_of, "hub").where("a <> b").select("a", "b").distinct()
-    near = tables.settled(_plausible(near, sketches, percent), "stars", _BATCH)
+    sketches = sets.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    spokes = shared.select("a", "hub").distinct().join(heads_of, "hub").where("a <> b").select("a", "b").distinct()
+    spokes = tables.settled(spokes, "spokes")
+    near = tables.settled_in_turns(
+        [_plausible(part, sketches, percent) for part in _turns(spokes, "b")], "stars", _BATCH
+    )
+    tables.dropped(spokes)
 
     # a document's least partner first: it mostly joins them, and the others need no check
     links = _verified(near.groupBy("a").agg(F.min("b").alias("b")), plain, width, percent)
@@ -486,13 +502,18 @@ def link(
     tables.dropped(shared)
     members = tables.settled(_told_apart(every), "members")
     tables.dropped(every)
-    sized = _crowds(members, plain, width, percent, group_rows).join(
-        sketches.select(F.col("doc_id").alias("a"), "sketch"), "a"
-    )
+    dealt = tables.settled(_dealt(_crowds(members, plain, width, percent, group_rows), group_rows), "dealt")
+    tables.dropped(members)
+    sketch_of = sketches.select(F.col("doc_id").alias("a"), "sketch")
     # a pair comes out once per signature it shares: it is told apart before it is joined
-    met = tables.settled(_meetings(_dealt(sized, group_rows), percent).distinct(), "met", _BATCH)
-    rest = tables.settled(met.join(near, ["a", "b"], "left_anti"), "rest")
-    tables.dropped(marked, members, near, met)
+    met = tables.settled_in_turns(
+        [_meetings(part.join(sketch_of, "a"), percent).distinct() for part in _turns(dealt, "signature")],
+        "met",
+        _BATCH,
+    )
+    tables.dropped(dealt, sets)
+    rest = tables.settled(met.distinct().join(near, ["a", "b"], "left_anti"), "rest")
+    tables.dropped(near, met)
     nodes = components(links.unionByName(_verified(rest, plain, width, percent)))
     tables.dropped(rest)
     result = classes.join(nodes.select(F.col("node").alias("class_id"), "component"), "class_id", "left")

@@ -19,18 +19,29 @@ def settled(frame: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     files behind them have served their purpose and go with the write. `batch` bounds
     the bytes of an Arrow batch meanwhile.
     """
-    spark = frame.sparkSession
+    return settled_in_turns([frame], name, batch)
+
+
+def settled_in_turns(frames: list[DataFrame], name: str, batch: str | None = None) -> DataFrame:
+    """The rows of all frames as one settled table.
+
+    One frame is written after the other, so only the shuffle files of one at a time
+    are on disk.
+    """
+    spark = frames[0].sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    parts = [f"{path}/{i}" for i in range(len(frames))] if len(frames) > 1 else [path]
     wanted = {_CLEANUP: "true"} | ({_BATCH: batch} if batch else {})
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        frame.write.parquet(path)
+        for frame, part in zip(frames, parts):
+            frame.write.parquet(part)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    table = spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frames[0].schema).parquet(*parts)
     table.settled_at = path
     return table
 

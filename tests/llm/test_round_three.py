@@ -10,6 +10,7 @@ import re
 import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -485,3 +486,35 @@ def test_python_meets_distinct_words_only(monkeypatch):
     assert _ids(encoder, texts) == found and len(given) == before
     monkeypatch.setattr(packing, "CACHED_WORDS", 3)
     assert _ids(encoder, texts) == _ids(encoder, texts[::-1])[::-1] == found
+
+
+def test_links_are_found_in_turns(spark, monkeypatch):
+    """Signatures go before sketches meet, and no write shuffles all rows of a step."""
+    from tallywright.llm import ngram_join
+
+    rng = random.Random(4)
+    rows = []
+    for family in range(60):
+        own = [f"w{i}" for i in range(60)]
+        for at in rng.sample(range(5, 55), 6):
+            own[at] = f"f{family}x{at}"
+        rows += [(len(rows) + i, " ".join([*own, f"c{family}y{i}"])) for i in range(3)]
+    rng.shuffle(rows)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before, stored, there, writer = set(shared.iterdir()), Counter(), {}, type(table.write)
+
+    def watched(self, path, *args, plain=writer.parquet, **more):
+        plain(self, path, *args, **more)
+        name, part = re.fullmatch(r"([a-z]+)-[0-9a-f]{32}/?(.*)", str(Path(path).relative_to(shared))).groups()
+        stored[name, part] = spark.read.parquet(path).count()
+        there[name] = {x.name.split("-")[0] for x in set(shared.iterdir()) - before}
+
+    monkeypatch.setattr(writer, "parquet", watched)
+    found = ngram_join.link(table, 3, 90, group_rows=8).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 3) for i, _ in rows}
+    for step in ("shared", "stars", "met"):
+        parts = [n for (name, _), n in stored.items() if name == step]
+        assert max(parts) <= 0.6 * sum(parts), (step, parts)
+        assert step == "shared" or "signatures" not in there[step]
+    assert {"shared", "spokes", "sets", "dealt"}.isdisjoint(there["rest"])
