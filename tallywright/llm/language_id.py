@@ -19,6 +19,7 @@ BITS = 16
 CENTROIDS = 3
 SAMPLE_ROWS = 4000
 ROWS = 4096
+SLICE_BYTES = 1 << 19
 BANDS = 32
 BAND_ROWS = 20
 MARGIN = 0.4
@@ -178,7 +179,7 @@ def fit(
     chosen = F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < share * (1 << 30)
 
     def vectors(batches):
-        for batch in textops.slices(batches, rows=ROWS):
+        for batch in textops.slices(batches, rows=ROWS, size=SLICE_BYTES):
             texts = _counts(batch.column("text"))
             cells, counts = (
                 pa.LargeListArray.from_arrays(texts.bounds, pa.array(part.astype(np.int32))).cast(pa.list_(pa.int32()))
@@ -233,7 +234,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
 
     def run(batches):
         known = model  # sent along: bounded by languages * centroids
-        for batch in textops.slices(batches, text_column, rows=ROWS):
+        for batch in textops.slices(batches, text_column, rows=ROWS, size=SLICE_BYTES):
             texts = batch.column(batch.schema.get_field_index(text_column))
             content, bounds = textops.flat(texts)
             letters = np.concatenate(

@@ -26,6 +26,7 @@ _CROWD = 16  # blocks outside the largest component from which a second signatur
 _SECOND = np.uint64(0xA5A5)
 _BATCH = "16m"  # sets and sketches in Python at a time
 TURNS = 4  # parts of the largest shuffles, one on disk at a time
+_SLICE = 1 << 19  # bytes of text whose sets a worker makes at a time
 
 
 def shingle_sets(content: np.ndarray, bounds: np.ndarray, width: int):
@@ -120,7 +121,7 @@ def _signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 def _fingerprinted(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         bands = Bands(percent)
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, size=_SLICE):
             values, edges = shingle_sets(*textops.flat(batch.column("text")), width)
             mixed = [
                 np.concatenate([[np.uint64(0)], np.cumsum(textops.mix(values ^ np.uint64(s)), dtype=np.uint64)])
@@ -202,7 +203,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """
 
     def token_sets(batches):
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, size=_SLICE):
             values, edges = shingle_sets(*textops.flat(batch.column("text")), width)
             found = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -233,7 +234,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         .mapInArrow(token_sets, "doc_id bigint, tokens binary")
         .select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b"))
     )
-    found = one.join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint")
+    # a broadcast would leave both Python steps in one stage, with two workers a core
+    met = one.join(other.hint("merge"), "b").select("a", "b", "set_a", "set_b")
+    found = met.mapInArrow(compare, "a bigint, b bigint")
     return tables.settled(found.distinct(), "links", _BATCH)
 
 
@@ -311,7 +314,7 @@ def _crowds(members: DataFrame, docs: DataFrame, width: int, percent: int, rows:
 
     def run(batches):
         bands = Bands(percent)
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, size=_SLICE):
             values, edges = shingle_sets(*textops.flat(batch.column("text")), width)
             found = [
                 _signatures(np.sort(textops.mix(values[a:b] ^ _SECOND)), bands).view(np.int64) if b > a else []

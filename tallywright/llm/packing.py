@@ -23,7 +23,7 @@ HARD_CUT = 32
 SEQUENCE_COST = 4
 BLOCK_TOKENS = 1 << 18
 CACHED_WORDS = 1 << 18
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a piece with letters
 _SCHEMA = (
     "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint,"

@@ -518,3 +518,51 @@ def test_links_are_found_in_turns(spark, monkeypatch):
         assert max(parts) <= 0.6 * sum(parts), (step, parts)
         assert step == "shared" or "signatures" not in there[step]
     assert {"shared", "spokes", "sets", "dealt"}.isdisjoint(there["rest"])
+
+
+def test_links_keep_their_python_steps_in_stages_of_their_own(spark, monkeypatch):
+    """Sets are made in one stage and compared in another, however few they are."""
+    from tallywright.llm import ngram_join
+
+    plans = []
+
+    def settled(frame, name, batch=None):
+        rows = frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return spark.createDataFrame(rows, frame.schema)
+
+    monkeypatch.setattr(ngram_join.tables, "settled", settled)
+    texts = {1: "a b c d e f g h i j k", 2: "a b c d e f g h i j k l", 3: "x y z u v w"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "a bigint, b bigint")
+    found = ngram_join._verified(pairs, docs, 3, 90)
+    assert [tuple(r) for r in found.collect()] == [(2, 1)]
+    assert "isFinalPlan=true" in plans[0] and "MapInArrow compare" in plans[0]
+    assert "SortMergeJoin [b" in plans[0] and "BroadcastHashJoin [b" not in plans[0]
+
+
+@pytest.mark.parametrize("step", ["sets", "languages"])
+def test_workers_hold_a_small_slice_at_a_time(step):
+    """What a Python worker holds beside a batch doesn't grow with the batch."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from tallywright.llm import language_id, ngram_join
+
+    rng = random.Random(5)
+    text = " ".join(f"word{rng.randrange(10**6)}" for _ in range(400))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": [text] * 1000})
+    docs = SimpleNamespace(mapInArrow=lambda run, schema: run, schema=SimpleNamespace(fields=[]))
+    docs.drop = lambda *names: docs
+    if step == "sets":
+        run = ngram_join._fingerprinted(docs, 5, 80)
+    else:
+        cells = np.random.default_rng(6).random((2, 1 << language_id.BITS), np.float32)
+        run = language_id.predict(docs, language_id.Model(["x", "y"], cells, cells[0], np.zeros((2, language_id.BANDS))))
+    sum(b.num_rows for b in run([batch.slice(0, 1)]))  # what is kept between batches
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run([batch])) == 1000
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
