@@ -20,7 +20,9 @@ _SEGMENT = 1 << 24
 _NO_ID = -(1 << 63)
 _SUFFIXES = "doc_id bigint, key bigint, context bigint, place bigint"
 _STRINGS = "doc_id bigint, key bigint, place bigint"
-_MATCHES = "doc_id bigint, lo bigint, n int, covered boolean"
+_MATCHES = "doc_id bigint, lo bigint, n int, off int, covered boolean"
+# a place is lo, n and off in one whole number; n and off are below the length's limit
+_LO, _N, _LOW = 30, 15, (1 << 15) - 1
 
 
 def _segments(content: np.ndarray, bounds: np.ndarray, length: int):
@@ -33,11 +35,11 @@ def _segments(content: np.ndarray, bounds: np.ndarray, length: int):
         yield part, np.array([0, len(part)]), at
 
 
-def _suffix_rows(names: np.ndarray, key, context, lo, n) -> pa.RecordBatch:
+def _suffix_rows(names: np.ndarray, key, context, lo, n, off) -> pa.RecordBatch:
     """Rows of doc_id, key, context and place; without a context the key is all.
 
-    place is lo * 65536 + n, so rows sort by lo; inverted (below zero) it marks all but
-    the first row of a context.
+    place holds lo, n and off, lo in its highest bits; inverted (below zero) it marks all
+    but the first row of a context.
     """
     whole = key if context is None else context
     order = np.lexsort((lo, names, whole))
@@ -46,7 +48,7 @@ def _suffix_rows(names: np.ndarray, key, context, lo, n) -> pa.RecordBatch:
     # rows of one key and place are one document, not a repeat
     twin = (names[order[1:]] == names[order[:-1]]) & (lo[order[1:]] == lo[order[:-1]])
     same[order[1:][twin]] = False
-    place = (lo << 16) | n
+    place = (lo << _LO) | (n << _N) | off
     columns = {"doc_id": names, "key": key.view(np.int64)}
     if context is not None:
         columns["context"] = context.view(np.int64)
@@ -61,8 +63,9 @@ def sampled_suffixes(docs: DataFrame, length: int = LENGTH, probe: int = PROBE)
     leftmost of equals), so equal strings are represented alike. Rows: doc_id; key,
     the hash of the suffix's first bytes; context, the hash of all bytes of the
     strings represented; and
-    place, which holds those strings' starts, lo to lo + n - 1, and whether an earlier
-    row of the same slice of texts has the same context (`_suffix_rows`).
+    place, which holds those strings' starts, lo to lo + n - 1, how far the suffix lies
+    behind lo, and whether an earlier row of the same slice of texts has the same context
+    (`_suffix_rows`).
     """
     if not probe <= length < 1 << 15:
         raise ValueError("the strings must be longer than the probe, and below 32768 bytes")
@@ -93,6 +96,7 @@ def sampled_suffixes(docs: DataFrame, length: int = LENGTH, probe: int = PROBE)
                     hasher.of(first, last + length),
                     first - edges[owner] + shift,
                     last - first + 1,
+                    anchor[first] - first,
                 )
 
     return docs.mapInArrow(run, _SUFFIXES)
@@ -132,7 +136,7 @@ class Family:
         for level in reversed(self.levels):
             run = level[1:] if run is None else _merged(level[1:], run)
         if run is None or not len(run[0]):
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 4), np.int64)
         same = run[0][1:] == run[0][:-1]
         return run[2][np.concatenate([same, [False]]) | np.concatenate([[False], same])]
 
@@ -159,7 +163,7 @@ def _holds(level_keys, level_contexts, keys, contexts) -> np.ndarray:
 
 
 def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
-    """Scan the suffixes in order of their place: doc_id, lo, n, covered.
+    """Scan the suffixes in order of their place: doc_id, lo, n, off, covered.
 
     Covered suffixes have the context of an earlier one: all their strings repeat.
     The other rows are the first suffixes of contexts whose key is shared by another
@@ -184,9 +188,11 @@ def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
             contexts = table["context"].to_numpy() if "context" in table.schema.names else keys
             again = place < 0
             place = np.where(again, ~place, place)
-            lo, n = place >> 16, (place & 0xFFFF).astype(np.int32)
-            yield ids[again], lo[again], n[again], True
-            ids, keys, contexts, lo, n = (x[~again] for x in (ids, keys, contexts, lo, n))
+            lo, n = place >> _LO, (place >> _N) & _LOW
+            yield ids[again], lo[again], n[again], None
+            ids, keys, contexts, lo, n, off = (
+                x[~again] for x in (ids, keys, contexts, lo, n, place & _LOW)
+            )
             fields = np.stack([ids, lo, contexts], axis=1)
             twin = np.zeros(len(ids), bool)
             twin[1:] = (fields[1:] == fields[:-1]).all(axis=1)
@@ -194,23 +200,26 @@ def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
                 twin[0] = bool((fields[0] == before).all())
             if len(ids):
                 before = fields[-1].copy()
-            ids, keys, contexts, lo, n = (x[~twin] for x in (ids, keys, contexts, lo, n))
+            ids, keys, contexts, lo, n, off = (
+                x[~twin] for x in (ids, keys, contexts, lo, n, off)
+            )
             seen = family.add(
                 keys.view(np.uint64),
                 contexts.view(np.uint64),
-                np.stack([ids, lo, n.astype(np.int64)], axis=1),
+                np.stack([ids, lo, n, off], axis=1),
             )
-            yield ids[seen], lo[seen], n[seen], True
+            yield ids[seen], lo[seen], n[seen], None
 
-        def out(ids, lo, n, covered):
+        def out(ids, lo, n, off):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(lo, pa.int64()),
-                    pa.array(n, pa.int32()),
-                    pa.array(np.full(len(ids), covered)),
+                    pa.array(n.astype(np.int32)),
+                    pa.nulls(len(ids), pa.int32()) if off is None else pa.array(off.astype(np.int32)),
+                    pa.array(np.full(len(ids), off is None)),
                 ],
-                ["doc_id", "lo", "n", "covered"],
+                ["doc_id", "lo", "n", "off", "covered"],
             )
 
         for part in batches:
@@ -224,41 +233,70 @@ def matches(suffixes: DataFrame, batch: int = BATCH) -> DataFrame:
             for found in scan():
                 yield out(*found)
         rest = family.split_keys()
-        yield out(rest[:, 0], rest[:, 1], rest[:, 2].astype(np.int32), False)
+        yield out(*rest.T)
 
+    # rows of one document, place and context must follow one another, whatever their off
+    last = "context" if "context" in suffixes.columns else "key"
     return (
         suffixes.repartition(count, spread)
-        .sortWithinPartitions("doc_id", "place", "key")
+        .sortWithinPartitions("doc_id", F.shiftright("place", _LO), last)
         .mapInArrow(run, _MATCHES)
     )
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
+def _listed(rows: DataFrame, *fields: str) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("listed"))
+
+
+def _widths(length: int, probe: int) -> list[int]:
+    """Into blocks of how many strings the open suffixes are cut, one step after the other."""
+    reach = length - probe + 1
+    return sorted({-(-reach // 2), -(-reach // 9), 1}, reverse=True)
+
 
+def _pieces(docs: DataFrame, open_rows: DataFrame, length: int, probe: int, width: int) -> DataFrame:
+    """The strings of the listed suffixes in blocks of `width`, each a suffix row of its own.
 
-def _single_strings(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
-    """Every string of the listed suffixes as a suffix row of its own."""
+    Blocks are counted from the suffix that stands for the strings, so equal strings lie in
+    equal blocks. A block's key is the hash of the bytes that all its strings share, its
+    context that of all bytes of those strings of it that are listed. Blocks of one are
+    strings, their key is all.
+    """
 
     def run(batches):
         for batch in textops.slices(batches):
-            batch = batch.filter(batch.column("listed").is_valid())
-            if not batch.num_rows:
-                continue
             content, bounds = textops.flat(batch.column("text"))
             lists = batch.column("listed")
             flat = lists.flatten()
+            lo, n, off = (
+                flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "n", "off")
+            )
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            lo, n = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, owner = np.repeat(lo, n) + inner, np.repeat(owner, n)
-            start = bounds[owner] + at
-            code = textops.Hasher(content).of(start, start + length)
-            yield _suffix_rows(
-                batch.column("doc_id").to_numpy()[owner], code, None, at, np.ones(len(at), np.int64)
+            # a row of the same key may have a shorter text
+            n = np.minimum(n, np.diff(bounds)[owner] - length + 1 - lo)
+            owner, lo, n, off = (x[n > 0] for x in (owner, lo, n, off))
+            block, least = off // width, off - n + 1
+            count = block - least // width + 1
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            owner, anchor, block, off, least = (
+                np.repeat(x, count) for x in (owner, lo + off, block, off, least)
             )
+            low = (block - inner) * width
+            high = np.minimum(low + width - 1, length - probe)
+            off, least = np.minimum(off, high), np.maximum(least, low)
+            at, n = anchor - off, off - least + 1
+            base = bounds[owner]
+            hasher = textops.Hasher(content)
+            context = hasher.of(base + at, base + at + (n - 1 + length))
+            names = batch.column("doc_id").to_numpy()[owner]
+            if width == 1:
+                yield _suffix_rows(names, context, None, at, n, np.zeros_like(at))
+                continue
+            key = hasher.of(base + anchor - low, base + anchor - high + length)
+            yield _suffix_rows(names, key, context, at, n, off)
 
-    return docs.join(_listed(open_rows), "doc_id", "left").mapInArrow(run, _STRINGS)
+    listed = _listed(open_rows, "lo", "n", "off")
+    return docs.join(listed, "doc_id").mapInArrow(run, _SUFFIXES if width > 1 else _STRINGS)
 
 
 def deduplicate(
@@ -277,15 +315,20 @@ def deduplicate(
     rows with the same key are one document: they keep each other and lose the same.
 
     Only every fortieth suffix or so is indexed (`sampled_suffixes`). Where a whole
-    context repeats, all its strings do. Where only its beginning repeats, a match
-    ends inside it, and the strings of that context are looked up one by one. Equality
-    is that of 64-bit hashes of the bytes.
+    context repeats, all its strings do. Where only its beginning repeats, a match may
+    end inside it, and its strings are looked up in halves, in smaller blocks of those that
+    share more than a beginning, and one by one in the last ones (`_pieces`). Each look-up
+    is settled, so its shuffle files go before the next. Equality is that of 64-bit hashes
+    of the bytes.
     """
     key = F.coalesce(F.col(id_column), F.lit(_NO_ID))
     plain = docs.select(key.alias("doc_id"), F.col(text_column).alias("text"))
     found = tables.settled(matches(sampled_suffixes(plain, length, probe)), "suffixes")
-    single = matches(_single_strings(plain, found.where("NOT covered"), length))
-    covered = found.where("covered").unionByName(single.where("covered"))
+    covered = found.where("covered")
+    for width in _widths(length, probe):
+        pieces = _pieces(plain, found.where("NOT covered"), length, probe, width)
+        found = tables.settled(matches(pieces), "pieces")
+        covered = covered.unionByName(found.where("covered"))
 
     def run(batches):
         for batch in textops.slices(batches):
@@ -322,7 +365,7 @@ def deduplicate(
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    return plain.join(_listed(covered), "doc_id", "left").mapInArrow(
+    return plain.join(_listed(covered, "lo", "n"), "doc_id", "left").mapInArrow(
         run,
         "doc_id bigint, n_bytes bigint,"
         " spans array<struct<start:bigint,end:bigint>>, kept binary",
